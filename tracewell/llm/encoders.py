@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_UNITS = 700_000
+CACHE_UNITS = 500_000
 SLICE_CHARS = 1_000_000
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import exact_dedup, packing, piece_codec, quality_rules, token_output, url_filter
+from tracewell.llm import exact_dedup, jaccard_join, packing, piece_codec, quality_rules, token_output, url_filter
 from tracewell.llm.common import new_path
 
 
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.default_model()
     encoded = piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), model)
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_piece_codec": op8_piece_codec,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
@@ -54,5 +59,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op10_url_filter": url_filter.SQL,
 }
