@@ -281,8 +281,26 @@ def buckets(packed: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(meet, "hot boolean, bucket long, member long, spare long")
 
 
+def sketch(key: np.ndarray) -> bytes:
+    """How many of the set's hashes fall into each of 2**k equal ranges, two to four a range on average; 255 at most."""
+    bits = max(5, len(key).bit_length() - 2)
+    counts = np.bincount((key >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference: sum of differences of counts, over the coarser of both ranges."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(x) != len(y):
+        if max(x.max(), y.max()) == 255:  # a full count can't be added up
+            return 0
+        n = min(len(x), len(y))
+        x, y = x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)
+    return int(np.abs(x - y).sum())
+
+
 def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """set_id, hashes (sorted, 8 bytes each) of the documents in nodes (doc_id, set_id)."""
+    """set_id, hashes (sorted, 8 bytes each), sketch of the documents in nodes (doc_id, set_id)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,13 +309,28 @@ def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataF
                 key, doc, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 edge = np.concatenate([[0], np.cumsum(sizes)])
                 hashes = pa.array([key[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(key, doc, sizes)), hashes], ["set_id", "hashes"])
+                sketches = pa.array([sketch(key[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(key, doc, sizes)), hashes, sketches], ["set_id", "hashes", "sketch"])
 
     wanted = texts.join(broadcast_if_small(nodes.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
-    found = wanted.mapInArrow(scan, "set_id long, hashes binary")
+    found = wanted.mapInArrow(scan, "set_id long, hashes binary, sketch binary")
     return found.dropDuplicates(["set_id"])
 
 
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, m, n) that their sketches allow to link; sketches are a twentieth of the hashes."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            most = difference(batch.column("m").to_numpy(), batch.column("n").to_numpy())
+            keep = [sketch_distance(i, j) <= d for i, j, d in zip(x, y, most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = sets.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose similarity reaches the bound; b's hashes go to a, once a pair."""
 
@@ -342,11 +375,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = None
     while True:
         sized = pairs.where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("m", "n") >= NUMERATOR * F.greatest("m", "n")))
-        fresh = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ordered = F.struct(F.col("a").alias("v"), F.col("m").alias("s")), F.struct(F.col("b").alias("v"), F.col("n").alias("s"))
+        fresh = sized.select(F.least(*ordered).alias("x"), F.greatest(*ordered).alias("y")).select(
+            F.col("x.v").alias("a"), F.col("x.s").alias("m"), F.col("y.v").alias("b"), F.col("y.s").alias("n")
+        )
+        fresh = fresh.distinct()
         fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "candidate-pairs")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        new = materialise(linked(fresh, sets), "links")
+        tested = fresh.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
+        new = materialise(linked(materialise(possible(fresh, sets), "possible-pairs"), sets), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
         # buckets that still hold several classes
