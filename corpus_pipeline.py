@@ -1,12 +1,57 @@
-"""Corpus pipeline over `documents`."""
+"""Corpus pipeline over `documents`: quality rules, exact dedup, near dedup, masking of personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return
+the columns of `documents`. A stage that only decides reads the texts where they lie: the ids it keeps are
+joined back, broadcast below a counted bound and shuffled beyond it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm import exact_dedup, jaccard_join, packing, pii, quality_rules
+from tracewell.llm.common import broadcast_if_small, materialise
+
+BROADCAST_IDS = 2_000_000
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in kept."""
+    ids = materialise(kept.select("doc_id").distinct(), "kept-ids")
+    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, quality_rules.quality_rules(docs).where("kept"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, jaccard_join.near_duplicates(docs).where("doc_id = component_id"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = pii.mask_pii(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.piece_digest(packing.pack(docs, packing.default_tokenizer()))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("personal_data", personal_data), ("pack", pack)]
 
-STAGES: list = []
+#: Packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`, each stage's rows written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,9 +10,11 @@ for it. How many non-empty partitions survive is known for each set (its `spare`
 partitioned again under another seed, so that no link hangs on luck. Signatures travel as packed binary
 columns, a few bytes each, and meet in parts whose number follows their count.
 
-What meets is a bucket of nodes. Buckets never give all their pairs: each node is compared with the
+What meets is a bucket of nodes. A node that meets others in fewer partitions than it has to spare has no
+partner at all and leaves; this is repeated as buckets shrink, and takes out documents that share no more than
+a passage. Buckets never give all their pairs: each node is compared with the
 bucket's pivot, links are closed to classes, and only buckets that still hold several classes go
-on, pairing nodes of different classes alone. A bucket over BUCKET nodes is taken apart by one pivot per class and round, and
+on, pairing nodes of different classes alone. A bucket over BUCKET nodes is taken apart by pivots of each class, round by round, and
 a node stays in such buckets only if it has too few others to meet its partners in. Every pair is checked by
 its true intersection before it counts.
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytescan import Words, mix, slices, text_buffers, windows
@@ -104,12 +106,14 @@ def partitions(top: np.ndarray) -> np.ndarray:
 
 
 def signatures(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set index, spare of each set) of sets whose hashes are sorted and in a row.
+    """(signature, set index, spare of each set by parity) of sets whose hashes are sorted and in a row.
+
+    A signature's last bit is the parity of its instance's number; a set is in one instance of each parity.
 
     Sets of under three elements link with equal ones only and have no signature.
     """
     n = len(sizes)
-    spare = np.full(n, np.iinfo(np.int64).max)
+    spare = np.full((n, 2), 1 << 30, np.int64)
     out_sig, out_set = [], []
     if not n or sizes.max() < 3:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
@@ -132,18 +136,19 @@ def signatures(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
             new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])]))
             sums = np.add.reduceat(mix(value), new)
             place = (band[active][row[new]].astype(np.uint64) << np.uint64(40)) + (np.uint64(seed) << np.uint64(36)) + cell[new]
-            out_sig.append(mix(sums ^ mix(place)))
+            parity = (band[active] & 1).astype(np.uint64)
+            out_sig.append(mix(sums ^ mix(place)) & ~np.uint64(1) | parity[row[new]])
             out_set.append(active[row[new]])
             filled = np.bincount(row[new], minlength=len(active))
             left = filled - difference(size, np.minimum(size * DENOMINATOR // NUMERATOR, t))
             if not seed:
-                spare[active] = np.minimum(spare[active], left)
+                spare[active, parity.astype(np.int64)] = left
             poor = left <= 0
             if seed == SEEDS - 1 and poor.any():  # both sets of a pair this far have an empty partition in common
                 for i in np.flatnonzero(poor):
                     have = cell[new[row[new] == i]]
                     gone = np.setdiff1d(np.arange(m[i], dtype=np.uint64), have)
-                    out_sig.append(mix(mix((np.uint64(band[active[i]]) << np.uint64(40)) + gone) + np.uint64(7)))
+                    out_sig.append(mix(mix((np.uint64(band[active[i]]) << np.uint64(40)) + gone) + np.uint64(7)) & ~np.uint64(1) | parity[i])
                     out_set.append(np.full(len(gone), active[i]))
             active = active[poor]
             if not len(active):
@@ -156,17 +161,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (0 for an empty set) of each document."""
+    """doc_id, n_shingles, set_id (0 for an empty set), sketch of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets):
                 key, doc, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                ids = pa.array(set_ids(key, doc, sizes))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), ids], ["doc_id", "n_shingles", "set_id"])
+                edge = np.concatenate([[0], np.cumsum(sizes)])
+                sketches = pa.array([sketch(key[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(set_ids(key, doc, sizes)), sketches]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return texts.mapInArrow(scan, "doc_id long, n_shingles long, set_id long")
+    return texts.mapInArrow(scan, "doc_id long, n_shingles long, set_id long, sketch binary")
 
 
 def packed_signatures(texts: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
@@ -183,10 +190,10 @@ def packed_signatures(texts: DataFrame, parts: int, width: int = WIDTH) -> DataF
             sig = np.concatenate([h[0] for h in held])
             row = np.concatenate([h[1] + b for h, b in zip(held, before, strict=False)])
             held, count = [], 0
-            part = (sig % np.uint64(parts)).astype(np.int64)
+            part = ((sig >> np.uint64(41)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edge = np.searchsorted(part[order], np.arange(parts + 1))
-            rest = (sig // np.uint64(parts)) & np.uint64((1 << 40) - 1)
+            rest = sig & np.uint64((1 << 40) - 1)
             for p in range(parts):
                 own = order[edge[p] : edge[p + 1]]
                 if len(own):
@@ -209,7 +216,7 @@ def packed_signatures(texts: DataFrame, parts: int, width: int = WIDTH) -> DataF
                         fresh[d] = True
                 key = key[fresh[doc]]
                 sig, row, spare = signatures(key, sizes[fresh])
-                held.append((sig, row, ids[fresh], np.minimum(spare, 1 << 30).astype(np.int32)))
+                held.append((sig, row, ids[fresh], spare.astype(np.int32)))
                 count += len(sig)
                 if count >= FLUSH_SIGNATURES:
                     yield from flush()
@@ -220,13 +227,15 @@ def packed_signatures(texts: DataFrame, parts: int, width: int = WIDTH) -> DataF
 
 
 def buckets(packed: DataFrame, parts: int) -> DataFrame:
-    """hot, bucket, member, spare: nodes that share a signature; equal small buckets of a part once."""
+    """hot, bucket, member, parity, spare, times: nodes that share signatures; equal small buckets of a part are one, met `times` times."""
+    names = ["hot", "bucket", "member", "parity", "spare", "times"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size, hot_keys = -1, [], 0, np.zeros(0, np.uint64)
 
-        def rows(hot: bool, bucket: np.ndarray, member: np.ndarray, spare: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), hot)), pa.array(bucket.view(np.int64)), pa.array(member), pa.array(spare.astype(np.int64))], ["hot", "bucket", "member", "spare"])
+        def rows(hot: bool, bucket: np.ndarray, member: np.ndarray, parity: np.ndarray, spare: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(bucket), hot), bucket.view(np.int64), member, parity.astype(np.int32), spare.astype(np.int64), times.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
             """Sort what is held; large buckets leave at once, single nodes and small buckets when the part ends."""
@@ -244,7 +253,7 @@ def buckets(packed: DataFrame, parts: int) -> DataFrame:
             hot_keys = np.union1d(hot_keys, sig[first[hot]])
             if hot.any():
                 at = np.repeat(hot, length)
-                yield rows(True, mix(sig[at] * np.uint64(parts) + np.uint64(part)), member[at], spare[at])
+                yield rows(True, mix(sig[at] ^ mix(np.array([part + 1]))), member[at], sig[at] & np.uint64(1), spare[at], np.ones(int(at.sum())))
             at = np.repeat(~hot, length)
             if last:
                 several = ~hot & (length > 1)
@@ -252,13 +261,13 @@ def buckets(packed: DataFrame, parts: int) -> DataFrame:
                 if at.any():
                     sizes = length[several]
                     begin = np.cumsum(sizes) - sizes
-                    m, s = member[at], spare[at]
-                    name = mix(np.add.reduceat(mix(m.view(np.uint64)), begin) + sizes.astype(np.uint64))
-                    _, one = np.unique(name, return_index=True)
-                    keep = np.zeros(len(name), bool)
-                    keep[one] = True
-                    at = np.repeat(keep, sizes)
-                    yield rows(False, np.repeat(name, sizes)[at], m[at], s[at])
+                    m, s, parity = member[at], spare[at], sig[at] & np.uint64(1)
+                    name = mix(np.add.reduceat(mix(m.view(np.uint64)), begin) + (sizes.astype(np.uint64) << np.uint64(1)) + parity[begin])
+                    _, one, times = np.unique(name, return_index=True, return_counts=True)
+                    each = np.zeros(len(name), np.int64)
+                    each[one] = times
+                    at = np.repeat(each > 0, sizes)
+                    yield rows(False, np.repeat(name, sizes)[at], m[at], parity[at], s[at], np.repeat(each, sizes)[at])
                 held, size, hot_keys = [], 0, np.zeros(0, np.uint64)
             else:
                 held, size = [(sig[at], member[at], spare[at])], int(at.sum())
@@ -270,15 +279,26 @@ def buckets(packed: DataFrame, parts: int) -> DataFrame:
                     part = p
                 wide = np.zeros((len(sigs) // 5, 8), np.uint8)
                 wide[:, :5] = np.frombuffer(sigs, np.uint8).reshape(-1, 5)
-                at = np.frombuffer(local, np.uint32)
-                held.append((wide.reshape(-1).view(np.uint64), np.frombuffer(sets, np.int64)[at], np.frombuffer(spares, np.int32)[at]))
+                sig, at = wide.reshape(-1).view(np.uint64), np.frombuffer(local, np.uint32)
+                spare = np.frombuffer(spares, np.int32).reshape(-1, 2)[at, (sig & np.uint64(1)).astype(np.int64)]
+                held.append((sig, np.frombuffer(sets, np.int64)[at], spare))
                 size += len(at)
                 if size > 2 * PART_SIGNATURES:
                     yield from settle(False)
         yield from settle(True)
 
     dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "hot boolean, bucket long, member long, spare long")
+    return dealt.mapInArrow(meet, "hot boolean, bucket long, member long, parity int, spare long, times long")
+
+
+def peeled(met: DataFrame, rounds: int = 3) -> DataFrame:
+    """Buckets without the nodes that meet others in fewer partitions than they have to spare, and without single nodes."""
+    for _ in range(rounds):
+        enough = met.groupBy("member", "parity").agg(F.sum("times").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member", "parity")
+        met = materialise(met.join(materialise(enough, "nodes-met"), ["member", "parity"], "left_semi"), "buckets-met")
+        several = met.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+        met = materialise(met.join(materialise(several, "buckets-of-several"), "bucket", "left_semi"), "buckets-met")
+    return met
 
 
 def sketch(key: np.ndarray) -> bytes:
@@ -300,7 +320,7 @@ def sketch_distance(x: bytes, y: bytes) -> int:
 
 
 def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """set_id, hashes (sorted, 8 bytes each), sketch of the documents in nodes (doc_id, set_id)."""
+    """set_id, hashes (sorted, 8 bytes each) of the documents in nodes (doc_id, set_id)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,12 +329,10 @@ def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataF
                 key, doc, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 edge = np.concatenate([[0], np.cumsum(sizes)])
                 hashes = pa.array([key[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                sketches = pa.array([sketch(key[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(key, doc, sizes)), hashes, sketches], ["set_id", "hashes", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(key, doc, sizes)), hashes], ["set_id", "hashes"])
 
     wanted = texts.join(broadcast_if_small(nodes.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
-    found = wanted.mapInArrow(scan, "set_id long, hashes binary, sketch binary")
-    return found.dropDuplicates(["set_id"])
+    return wanted.mapInArrow(scan, "set_id long, hashes binary").dropDuplicates(["set_id"])
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -354,25 +372,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     found = materialise(document_sets(texts, width), "shingle-sets")
-    nodes = found.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    nodes = found.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "shingle-nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_SIGNATURES))
     met = materialise(buckets(packed_signatures(texts, parts, width), parts), "signature-buckets")
-    met = met.groupBy("bucket", "member", "hot").agg(F.min("spare").alias("spare"))
+    met = met.groupBy("bucket", "member", "parity", "hot").agg(F.min("spare").alias("spare"), F.sum("times").alias("times"))
+    met = peeled(met)
 
     # a node with fewer large buckets than partitions to spare meets each partner in a small one as well
     large = met.where("hot")
-    staying = large.groupBy("member").agg(F.count("*").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member")
-    members = met.where("not hot").select("hot", "bucket", "member").unionByName(large.join(staying, "member", "left_semi").select("hot", "bucket", "member"))
-    members = materialise(members.join(nodes.select(F.col("set_id").alias("member"), "n"), "member"), "bucket-members")
-    sets = materialise(member_sets(texts, nodes.join(members.select(F.col("member").alias("set_id")).distinct(), "set_id", "left_semi"), width), "member-sets")
+    staying = large.groupBy("member", "parity").agg(F.count("*").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member", "parity")
+    members = met.where("not hot").unionByName(large.join(materialise(staying, "nodes-staying"), ["member", "parity"], "left_semi"))
+    members = members.select("hot", "bucket", "member").join(nodes.select(F.col("set_id").alias("member"), "n"), "member")
+    members = materialise(members, "bucket-members")
 
     pivots = members.groupBy("bucket").agg(F.min(F.struct("member", "n")).alias("p"))
     pairs = members.join(materialise(pivots, "pivots"), "bucket").select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("member").alias("b"), "n")
     links = labels = None
     used = None
     tested = None
+    per_class = 1  # pivots of each class in a large bucket; more each round, as fewer nodes are left
     while True:
         sized = pairs.where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("m", "n") >= NUMERATOR * F.greatest("m", "n")))
         ordered = F.struct(F.col("a").alias("v"), F.col("m").alias("s")), F.struct(F.col("b").alias("v"), F.col("n").alias("s"))
@@ -383,9 +403,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "candidate-pairs")
         tested = fresh.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
-        new = materialise(linked(materialise(possible(fresh, sets), "possible-pairs"), sets), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        near = materialise(possible(fresh, nodes), "possible-pairs")
+        ends = near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct()
+        sets = materialise(member_sets(texts, nodes.join(ends, "set_id", "left_semi"), width), "member-sets")
+        new = materialise(linked(near, sets), "links")
+        if labels is None or new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
         # buckets that still hold several classes
         labelled = members.drop("label").join(labels.select(F.col("node").alias("member"), F.col("component").alias("c")), "member", "left")
         labelled = labelled.withColumn("label", F.coalesce("c", "member")).drop("c")
@@ -398,8 +422,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # small buckets: all pairs of different classes; large ones: a pivot of each class against the others
         small = members.where("not hot")
-        first = members.where("hot").groupBy("bucket", "label").agg(F.min(F.struct("member", "n")).alias("p"))
-        first = materialise(first.select("bucket", F.col("p.member").alias("member"), F.col("p.n").alias("n"), "label"), "pivots")
+        large = members.where("hot").select("bucket", "member", "n", "label")
+        if per_class == 1:
+            first = large.groupBy("bucket", "label").agg(F.min(F.struct("member", "n")).alias("p"))
+            first = first.select("bucket", F.col("p.member").alias("member"), F.col("p.n").alias("n"), "label")
+        else:
+            nth = F.row_number().over(Window.partitionBy("bucket", "label").orderBy("member"))
+            first = large.withColumn("nth", nth).where(F.col("nth") <= per_class).drop("nth")
+        per_class *= 8
+        first = materialise(first, "pivots")
         chosen = first.unionByName(small.select("bucket", "member", "n", "label"))
         left = chosen.select("bucket", F.col("member").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
         pairs = left.join(members.select("bucket", F.col("member").alias("b"), "n", F.col("label").alias("lb")), "bucket").where("la <> lb")

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import exact_dedup, jaccard_join, packing, piece_codec, quality_rules, token_output, url_filter
+from tracewell.llm import (
+    exact_dedup,
+    importance,
+    jaccard_join,
+    packing,
+    pii,
+    piece_codec,
+    quality_rules,
+    token_counts,
+    token_output,
+    url_filter,
+)
 from tracewell.llm.common import new_path
 
 
@@ -23,14 +34,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("reason")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), piece_codec.default_model())
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.default_model()
     encoded = piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), model)
@@ -49,8 +72,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_importance": op5_importance,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_pii": op7_pii,
     "op8_piece_codec": op8_piece_codec,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
