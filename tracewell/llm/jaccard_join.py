@@ -301,6 +301,20 @@ def peeled(met: DataFrame, rounds: int = 3) -> DataFrame:
     return met
 
 
+def undecided(labelled: DataFrame, rounds: int = 3) -> DataFrame:
+    """Rows whose bucket holds several classes and whose node meets other classes as often as a link to one would make it.
+
+    Linked nodes of different classes share at least `spare` buckets, all of them mixed, and a pair that is
+    still undecided shares none that has been decided.
+    """
+    for _ in range(rounds):
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("bucket")
+        labelled = materialise(labelled.join(materialise(mixed, "mixed-buckets"), "bucket", "left_semi"), "mixed-members")
+        enough = labelled.groupBy("member", "parity").agg(F.sum("times").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member", "parity")
+        labelled = materialise(labelled.join(materialise(enough, "nodes-mixed"), ["member", "parity"], "left_semi"), "mixed-members")
+    return labelled
+
+
 def sketch(key: np.ndarray) -> bytes:
     """How many of the set's hashes fall into each of 2**k equal ranges, two to four a range on average; 255 at most."""
     bits = max(5, len(key).bit_length() - 2)
@@ -380,18 +394,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.groupBy("bucket", "member", "parity", "hot").agg(F.min("spare").alias("spare"), F.sum("times").alias("times"))
     met = peeled(met)
 
-    # a node with fewer large buckets than partitions to spare meets each partner in a small one as well
-    large = met.where("hot")
-    staying = large.groupBy("member", "parity").agg(F.count("*").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member", "parity")
-    members = met.where("not hot").unionByName(large.join(materialise(staying, "nodes-staying"), ["member", "parity"], "left_semi"))
-    members = members.select("hot", "bucket", "member").join(nodes.select(F.col("set_id").alias("member"), "n"), "member")
-    members = materialise(members, "bucket-members")
+    members = materialise(met.join(nodes.select(F.col("set_id").alias("member"), "n"), "member"), "bucket-members")
 
     pivots = members.groupBy("bucket").agg(F.min(F.struct("member", "n")).alias("p"))
     pairs = members.join(materialise(pivots, "pivots"), "bucket").select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("member").alias("b"), "n")
     links = labels = None
-    used = None
-    tested = None
+    used = tested = None
+    small_done = False
     per_class = 1  # pivots of each class in a large bucket; more each round, as fewer nodes are left
     while True:
         sized = pairs.where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("m", "n") >= NUMERATOR * F.greatest("m", "n")))
@@ -413,29 +422,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # buckets that still hold several classes
         labelled = members.drop("label").join(labels.select(F.col("node").alias("member"), F.col("component").alias("c")), "member", "left")
         labelled = labelled.withColumn("label", F.coalesce("c", "member")).drop("c")
-        if used is not None:  # pivots whose pairs are all decided, and small buckets, which are decided as a whole
-            labelled = labelled.where("hot").join(used, ["bucket", "member"], "left_anti")
-        labelled = materialise(labelled, "labelled-members")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("bucket")
-        members = materialise(labelled.join(materialise(mixed, "mixed-buckets"), "bucket", "left_semi"), "bucket-members")
+        if small_done:  # small buckets are decided as a whole, and so are the pairs of pivots
+            labelled = labelled.where("hot")
+            labelled = labelled if used is None else labelled.join(used, ["bucket", "member"], "left_anti")
+        members = kept = undecided(labelled)
         if members.limit(1).count() == 0:
             break
-        # small buckets: all pairs of different classes; large ones: a pivot of each class against the others
-        small = members.where("not hot")
-        large = members.where("hot").select("bucket", "member", "n", "label")
-        if per_class == 1:
-            first = large.groupBy("bucket", "label").agg(F.min(F.struct("member", "n")).alias("p"))
-            first = first.select("bucket", F.col("p.member").alias("member"), F.col("p.n").alias("n"), "label")
+        # first all pairs of different classes in small buckets, then pivots of each class in large ones against the others
+        if not small_done:
+            small_done = True
+            members = members.where("not hot")  # of this round; the large buckets come back in the next
+            chosen = members.select("bucket", "member", "n", "label")
         else:
-            nth = F.row_number().over(Window.partitionBy("bucket", "label").orderBy("member"))
-            first = large.withColumn("nth", nth).where(F.col("nth") <= per_class).drop("nth")
-        per_class *= 8
-        first = materialise(first, "pivots")
-        chosen = first.unionByName(small.select("bucket", "member", "n", "label"))
+            large = members.select("bucket", "member", "n", "label")
+            if per_class == 1:
+                chosen = large.groupBy("bucket", "label").agg(F.min(F.struct("member", "n")).alias("p"))
+                chosen = chosen.select("bucket", F.col("p.member").alias("member"), F.col("p.n").alias("n"), "label")
+            else:
+                nth = F.row_number().over(Window.partitionBy("bucket", "label").orderBy("member"))
+                chosen = large.withColumn("nth", nth).where(F.col("nth") <= per_class).drop("nth")
+            per_class *= 8
+            chosen = materialise(chosen, "pivots")
+            used = chosen.select("bucket", "member")
         left = chosen.select("bucket", F.col("member").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
         pairs = left.join(members.select("bucket", F.col("member").alias("b"), "n", F.col("label").alias("lb")), "bucket").where("la <> lb")
         pairs = pairs.select("a", "m", "b", "n")
-        used = materialise(first.select("bucket", "member"), "used-pivots")
+        members = kept
 
     least = nodes.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = materialise(least, "node-classes")
