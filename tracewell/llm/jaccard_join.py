@@ -12,11 +12,11 @@ columns, a few bytes each, and meet in parts whose number follows their count.
 
 What meets is a bucket of nodes. A node that meets others in fewer partitions than it has to spare has no
 partner at all and leaves; this is repeated as buckets shrink, and takes out documents that share no more than
-a passage. Buckets never give all their pairs: each node is compared with the
-bucket's pivot, links are closed to classes, and only buckets that still hold several classes go
-on, pairing nodes of different classes alone. A bucket over BUCKET nodes is taken apart by pivots of each class, round by round, and
-a node stays in such buckets only if it has too few others to meet its partners in. Every pair is checked by
-its true intersection before it counts.
+a passage. Buckets never give all their pairs: each node is compared with the bucket's pivot, the node that
+meets most others and so the likeliest centre of near copies, and links are closed to classes. Only buckets that
+still hold several classes go on. Up to BUCKET nodes, they pair nodes of different classes. Larger ones of one pivot make a family; its
+nodes outside the largest class are a query set held against all of it in blocks of bounded size, and only links
+leave a block. Every pair is checked by its true intersection before it counts.
 
 Defined cases: a null text and one without words have an empty set and link with nothing; under five words the
 whole sequence is the one shingle; repeated rows and equal texts are one class; of a repeated doc_id with different texts
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytescan import Words, mix, slices, text_buffers, windows
@@ -40,12 +40,14 @@ from tracewell.llm.common import broadcast_if_small, components, materialise
 WIDTH = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Nodes of a bucket that are paired across classes at once.
+#: Nodes of a bucket whose pairs across classes are joined.
 BUCKET = 64
 SEEDS = 6
 PART_SIGNATURES = 1_500_000
 FLUSH_SIGNATURES = 3_000_000
 BROADCAST_ROWS = 2_000_000
+#: Hashes in a block of a family.
+BLOCK = 65_536
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -381,6 +383,75 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
+def bitmap(key: np.ndarray) -> np.ndarray:
+    """Parities of how many of the set's hashes fall into each of 2**k equal ranges, eight to sixteen ranges an element."""
+    bits = max(8, (8 * len(key)).bit_length())
+    return (np.bincount((key >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)
+
+
+def near_pairs(xs: list[np.ndarray], ys: list[np.ndarray], lx: np.ndarray, ly: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of the linked pairs of sets with different labels: parities bound the difference from below, true intersections decide."""
+    nx, ny = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    mx, my = [bitmap(x) for x in xs], [bitmap(y) for y in ys]
+    wx, wy = np.array([len(m) for m in mx]), np.array([len(m) for m in my])
+    for width in np.unique(wx):
+        rows = np.flatnonzero(wx == width)
+        for other in np.unique(wy):
+            if max(width, other) > 2 * min(width, other):  # sizes too far apart to link
+                continue
+            cols, narrow = np.flatnonzero(wy == other), min(width, other)
+            fold = lambda m: np.bitwise_xor.reduce(m.reshape(narrow, -1), 1)
+            x, y = np.stack([fold(mx[i]) for i in rows]), np.stack([fold(my[j]) for j in cols])
+            both = np.zeros((len(rows), len(cols)), np.float32)
+            for k in range(0, narrow, 8192):
+                both += x[:, k : k + 8192].astype(np.float32) @ y[:, k : k + 8192].astype(np.float32).T
+            apart = x.sum(1, dtype=np.int64)[:, None] + y.sum(1, dtype=np.int64)[None] - 2 * both.astype(np.int64)
+            near = (apart <= difference(nx[rows][:, None], ny[cols][None])) & (lx[rows][:, None] != ly[cols][None])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                a, b = xs[rows[i]], ys[cols[j]]
+                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                common = int((a[at] == b).sum())
+                if DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common):
+                    yield int(rows[i]), int(cols[j])
+
+
+def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between nodes of different classes of a family; members: family, member, label, n.
+
+    The nodes outside a family's largest class are the query set, and are held against all its nodes in blocks
+    of some BLOCK hashes; no pair is a row but those that link.
+    """
+    sizes = materialise(members.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n")), "family-classes")
+    info = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("n").alias("n"))
+    info = materialise(info.select("family", F.col("top.label").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "families")
+    rows = members.join(info, "family").withColumn("asks", F.col("label") != F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("member"), "blocks")).join(sets, F.col("member") == F.col("set_id"))
+    columns = [F.struct("member", "label", "hashes").alias("x")]
+    packed = rows.select("family", "asks", "block", *columns).groupBy("family", "asks", "block").agg(F.collect_list("x").alias("held"))
+    packed = materialise(packed, "family-blocks")
+    names = packed.select("family", "asks", "block")
+    asking = names.where("asks").select("family", F.col("block").alias("bx"))
+    against = names.select("family", F.col("asks").alias("ay"), F.col("block").alias("by"))
+    meetings = asking.join(against, "family").where("not ay or bx <= by")
+    x = packed.where("asks").select("family", F.col("block").alias("bx"), F.col("held").alias("x"))
+    y = packed.select("family", F.col("asks").alias("ay"), F.col("block").alias("by"), F.col("held").alias("y"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for name in ("x", "y"):
+                    held = batch.column(name)[i].values
+                    hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in held.field("hashes")]
+                    sides.append((hashes, held.field("label").to_numpy(), held.field("member").to_numpy()))
+                (xs, lx, ids_x), (ys, ly, ids_y) = sides
+                found = list(near_pairs(xs, ys, lx, ly))
+                columns = [pa.array([ids_x[f[0]] for f in found], pa.int64()), pa.array([ids_y[f[1]] for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    return meetings.join(x, ["family", "bx"]).join(y, ["family", "ay", "by"]).select("x", "y").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of each document."""
     spark = docs.sparkSession
@@ -394,60 +465,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.groupBy("bucket", "member", "parity", "hot").agg(F.min("spare").alias("spare"), F.sum("times").alias("times"))
     met = peeled(met)
 
-    members = materialise(met.join(nodes.select(F.col("set_id").alias("member"), "n"), "member"), "bucket-members")
+    # the node that meets most others is the likeliest centre of its near copies
+    crowd = materialise(met.groupBy("bucket").agg(F.count("*").alias("crowd")), "bucket-sizes")
+    weights = materialise(met.join(crowd, "bucket").groupBy("member").agg(F.sum(F.col("crowd") * F.col("times")).alias("weight")), "node-weights")
+    sizes = nodes.select(F.col("set_id").alias("member"), "n").join(weights, "member")
+    members = materialise(met.join(materialise(sizes, "node-sizes"), "member"), "bucket-members")
+    pivots = materialise(members.groupBy("bucket").agg(F.max(F.struct("weight", "member", "n")).alias("p")), "pivots")
+    pairs = members.join(pivots, "bucket").select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("member").alias("b"), "n")
 
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("member", "n")).alias("p"))
-    pairs = members.join(materialise(pivots, "pivots"), "bucket").select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("member").alias("b"), "n")
-    links = labels = None
-    used = tested = None
-    small_done = False
-    per_class = 1  # pivots of each class in a large bucket; more each round, as fewer nodes are left
-    while True:
+    def true_links(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(links, pairs) of those that were not tested before."""
         sized = pairs.where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("m", "n") >= NUMERATOR * F.greatest("m", "n")))
         ordered = F.struct(F.col("a").alias("v"), F.col("m").alias("s")), F.struct(F.col("b").alias("v"), F.col("n").alias("s"))
         fresh = sized.select(F.least(*ordered).alias("x"), F.greatest(*ordered).alias("y")).select(
             F.col("x.v").alias("a"), F.col("x.s").alias("m"), F.col("y.v").alias("b"), F.col("y.s").alias("n")
         )
         fresh = fresh.distinct()
-        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = materialise(fresh, "candidate-pairs")
-        tested = fresh.select("a", "b") if tested is None else tested.unionByName(fresh.select("a", "b"))
+        fresh = materialise(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
         near = materialise(possible(fresh, nodes), "possible-pairs")
         ends = near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct()
         sets = materialise(member_sets(texts, nodes.join(ends, "set_id", "left_semi"), width), "member-sets")
-        new = materialise(linked(near, sets), "links")
-        if labels is None or new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        # buckets that still hold several classes
-        labelled = members.drop("label").join(labels.select(F.col("node").alias("member"), F.col("component").alias("c")), "member", "left")
-        labelled = labelled.withColumn("label", F.coalesce("c", "member")).drop("c")
-        if small_done:  # small buckets are decided as a whole, and so are the pairs of pivots
-            labelled = labelled.where("hot")
-            labelled = labelled if used is None else labelled.join(used, ["bucket", "member"], "left_anti")
-        members = kept = undecided(labelled)
-        if members.limit(1).count() == 0:
-            break
-        # first all pairs of different classes in small buckets, then pivots of each class in large ones against the others
-        if not small_done:
-            small_done = True
-            members = members.where("not hot")  # of this round; the large buckets come back in the next
-            chosen = members.select("bucket", "member", "n", "label")
-        else:
-            large = members.select("bucket", "member", "n", "label")
-            if per_class == 1:
-                chosen = large.groupBy("bucket", "label").agg(F.min(F.struct("member", "n")).alias("p"))
-                chosen = chosen.select("bucket", F.col("p.member").alias("member"), F.col("p.n").alias("n"), "label")
-            else:
-                nth = F.row_number().over(Window.partitionBy("bucket", "label").orderBy("member"))
-                chosen = large.withColumn("nth", nth).where(F.col("nth") <= per_class).drop("nth")
-            per_class *= 8
-            chosen = materialise(chosen, "pivots")
-            used = chosen.select("bucket", "member")
-        left = chosen.select("bucket", F.col("member").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-        pairs = left.join(members.select("bucket", F.col("member").alias("b"), "n", F.col("label").alias("lb")), "bucket").where("la <> lb")
-        pairs = pairs.select("a", "m", "b", "n")
-        members = kept
+        return materialise(linked(near, sets), "links"), fresh.select("a", "b")
+
+    def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+        both = members.drop("label").join(labels.select(F.col("node").alias("member"), F.col("component").alias("c")), "member", "left")
+        return both.withColumn("label", F.coalesce("c", "member")).drop("c")
+
+    links, tested = true_links(pairs, None)
+    labels = components(links)
+    members = undecided(labelled(members, labels), 1)
+    small = members.where("not hot").select("bucket", "member", "n", "label")
+    if small.limit(1).count():  # pairs of different classes, BUCKET nodes a bucket at most
+        left = small.select("bucket", F.col("member").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
+        right = small.select("bucket", F.col("member").alias("b"), "n", F.col("label").alias("lb"))
+        pairs = left.join(right, "bucket").where("la <> lb and a < b").select("a", "m", "b", "n")
+        links = links.unionByName(true_links(pairs, tested)[0])
+        labels = components(links)
+    # pairs that meet in no small bucket: large buckets of one pivot are a family
+    members = undecided(labelled(members.where("hot"), labels), 1)
+    if members.limit(1).count():
+        centre = members.groupBy("bucket").agg(F.max(F.struct("weight", "member")).alias("p"))
+        family = materialise(centre.select("bucket", F.col("p.member").alias("family")), "bucket-families")
+        family = materialise(members.join(family, "bucket").select("family", "member", "label", "n").distinct(), "family-members")
+        ends = family.select(F.col("member").alias("set_id")).distinct()
+        sets = materialise(member_sets(texts, nodes.join(ends, "set_id", "left_semi"), width), "member-sets")
+        links = links.unionByName(materialise(family_links(family, sets), "links"))
+        labels = components(links)
 
     least = nodes.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = materialise(least, "node-classes")
