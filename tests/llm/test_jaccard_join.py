@@ -94,3 +94,35 @@ def test_word_scan_equals_regex(texts):
     want = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     got = [bytes(data[s:e]).decode() for s, e in zip(w.start, w.end, strict=True)]
     assert got == [x for ws in want for x in ws] and w.per_doc.tolist() == list(map(len, want))
+
+
+def test_family_blocks_find_all_links():
+    """Without Spark: bitmaps of different widths rule out no link, and equal labels give no pair."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 130).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, 40)) :], rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)])) for _ in range(120)]
+    labels = rng.integers(0, 4, len(sets))
+    want = set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            if labels[i] != labels[j] and 100 * both >= 75 * (len(a) + len(b) - both):
+                want.add((i, j))
+    got = list(jaccard_join.near_pairs(sets, sets, labels, labels))
+    assert set(got) == want and len(got) == len(want) > 0
+    assert len({len(jaccard_join.bitmap(s)) for s in sets}) > 1
+
+
+def test_family_of_near_copies_equals_brute_force(spark):
+    """A group of more than BUCKET near copies whose edits lie around the bound, and copies of what they share."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base, rows = rng.choices(vocabulary, k=150), []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randint(0, 7)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    rows += [(260 + i, " ".join(base[:80] + rng.choices(vocabulary, k=70))) for i in range(100)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == naive(rows)
