@@ -28,6 +28,8 @@ BUCKETS = 10_000
 SHARE, SCALE, SEED = 0.8, 20.0, 42
 #: Rows among which the last places are settled by a sort.
 SETTLE = 10_000
+#: Target ids that are broadcast at most; beyond that the join is shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +109,8 @@ def importance_resample(
     """doc_id, weight, key, kept of each document; labels: (doc_id, quality), all rows of quality 1 are the target."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    good = materialise(good, "target-ids")
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good  # texts stay where they lie, but for a longer list
     marked = texts.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     shared = docs.sparkSession.sparkContext.broadcast(models(marked))
 
