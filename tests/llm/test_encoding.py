@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -68,6 +69,18 @@ def test_piece_codec_equals_library(docs, texts):
     assert digest.collect() == []
 
 
+def test_round_trip_digest_is_that_of_the_library(docs, texts):
+    model = piece_codec.default_model()
+    library = piece_codec.codec(model).library
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    ids = [library.encode(t or "") for t in texts]
+    want = [(len(i), sha(",".join(map(str, i))), sha(library.decode(i))) for i in ids]
+    rows = piece_codec.round_trip_digest(docs, model).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == want
+    again = piece_codec.codec_digest(piece_codec.decode_pieces(piece_codec.encode_pieces(docs, model), model))
+    assert again.orderBy("doc_id").collect() == rows
+
+
 def test_decode_of_any_ids():
     codec = piece_codec.codec(piece_codec.default_model())
     rng = np.random.default_rng(5)

@@ -169,56 +169,74 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int> of each whole text."""
+def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, ids)."""
+    c = codec(model)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            rows = batch.slice(at, 1000)
+            flat, lengths = c.encode(rows.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), id_lists(flat, lengths)], ["doc_id", "ids"])
+
+
+def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) to (doc_id, ids, text)."""
+    c = codec(model)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            rows = batch.slice(at, 1000)
+            ids = rows.column("ids")
+            flat, lengths = ids.flatten().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy())
+            text = pa.array(c.decode(flat, lengths), pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids, text], ["doc_id", "ids", "text"])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    spelt = np.zeros(0, object)  # decimal spellings, grown as ids turn up
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        if len(flat) and int(flat.max()) >= len(spelt):
+            spelt = np.array([str(i).encode() for i in range(int(flat.max()) + 1)], object)
+        shas = [hashlib.sha256(b",".join(spelt[flat[i:j]].tolist())).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
+        texts = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                flat, lengths = c.encode(rows.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), id_lists(flat, lengths)], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids array<int>")
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int> of each whole text."""
+    return _rows(docs, id_col, text_col).mapInArrow(lambda b: _encode(b, model), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, ids and the text decoded from them."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decode(b, model), "doc_id long, ids array<int>, text string")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                ids = rows.column("ids")
-                flat, lengths = ids.flatten().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy())
-                text = pa.array(c.decode(flat, lengths), pa.string())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids, text], ["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(decode, "doc_id long, ids array<int>, text string")
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def codec_digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [np.char.encode(np.arange(1).astype(str))]  # decimal spellings, grown as ids turn up
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            if len(flat) and int(flat.max()) >= len(names[0]):
-                names[0] = np.array([str(i).encode() for i in range(int(flat.max()) + 1)], object)
-            spelt = names[0]
-            shas = [hashlib.sha256(b",".join(spelt[flat[i:j]].tolist())).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
-            texts = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of what `decode_pieces` returns."""
+    return decoded.select("doc_id", "ids", "text").mapInArrow(_digest, DIGEST)
+
+
+def round_trip_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digest of each text encoded and decoded.
+
+    The steps of `encode_pieces` and `decode_pieces` run in one Python worker a task: ids and texts pass between
+    them without going through the JVM, and one worker a core holds a vocabulary and a cache.
+    """
+    steps = lambda b: _digest(_decode(_encode(b, model), model))
+    return _rows(docs, id_col, text_col).mapInArrow(steps, DIGEST)
 
 
 def default_model() -> str:

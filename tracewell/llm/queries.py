@@ -55,9 +55,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_codec.default_model()
-    encoded = piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), model)
-    return piece_codec.codec_digest(piece_codec.decode_pieces(encoded, model))
+    return piece_codec.round_trip_digest(_table(spark, sf_dir, "documents"), piece_codec.default_model())
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
