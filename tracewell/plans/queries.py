@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import aggregates, detectors, features, graph, rules, sets
+from tracewell.operators import aggregates, bandit, detectors, features, graph, rules, sets, walks
 from tracewell.sources.ledgers import accounts, both_sides, events_ledger, orders_ledger, table
 
 L = """L AS (
@@ -415,3 +415,72 @@ def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = both_sides(events_ledger(spark, sf_dir)).where("account = 5")
     return rows.orderBy(F.desc("ts"), F.desc("txn_id"), "direction").limit(10_000).select("account", "other", "direction", "txn_id", "amount")
+
+
+def _chains_sql(window_us: int, min_hops: int, max_hops: int) -> str:
+    steps = [f"""
+, eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst),
+nx AS (SELECT b.txn_id AS next_id FROM eg a JOIN eg b ON a.dst = b.src AND b.t > a.t AND b.t <= a.t + {window_us} WHERE b.dst <> a.src QUALIFY row_number() OVER (PARTITION BY a.txn_id ORDER BY b.t, b.txn_id) = 1),
+c1 AS (SELECT txn_id AS start_id, [src, dst] AS nodes, dst AS at, t AS t0, t, amount AS f, amount AS l FROM eg WHERE txn_id NOT IN (SELECT next_id FROM nx))"""]
+    for k in range(2, max_hops + 1):
+        steps.append(f""",
+c{k} AS (SELECT start_id, list_append(nodes, b.dst) AS nodes, b.dst AS at, t0, b.t, f, b.amount AS l FROM c{k - 1} p JOIN eg b ON p.at = b.src AND b.t > p.t AND b.t <= p.t0 + {window_us}
+       WHERE NOT list_contains(nodes, b.dst) QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY b.t, b.txn_id) = 1)""")
+    every = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, max_hops + 1))
+    return "".join(steps) + f"""
+SELECT start_id, array_to_string(nodes, '>') AS path, CAST(len(nodes) - 1 AS BIGINT) AS hops, (t - t0) // 1000000 AS span_s, round(l / f, 6) AS kept_ratio
+FROM ({every}) WHERE len(nodes) - 1 >= {min_hops} QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY len(nodes) DESC) = 1"""
+
+
+@query("g6_greedy_chains", _chains_sql(7_200_000_000, 3, 6), E)
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.greedy_chains(events_ledger(spark, sf_dir), 7200, 3, 6)
+
+
+@query("g5_long_cycles", """
+, eg AS (SELECT src, dst FROM L WHERE src <> dst GROUP BY ALL HAVING round(sum(amount), 2) >= 95000),
+p2 AS (SELECT src AS s, [src, dst] AS nodes, dst AS z FROM eg WHERE src < dst),
+p3 AS (SELECT s, list_append(nodes, dst) AS nodes, dst AS z FROM p2 JOIN eg ON z = src WHERE dst > s AND NOT list_contains(nodes, dst)),
+p4 AS (SELECT s, list_append(nodes, dst) AS nodes, dst AS z FROM p3 JOIN eg ON z = src WHERE dst > s AND NOT list_contains(nodes, dst)),
+p5 AS (SELECT s, list_append(nodes, dst) AS nodes, dst AS z FROM p4 JOIN eg ON z = src WHERE dst > s AND NOT list_contains(nodes, dst)),
+p AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5),
+c AS (SELECT min(nodes) AS nodes FROM p JOIN eg ON z = src AND dst = s GROUP BY list_sort(nodes))
+SELECT CAST(len(nodes) AS BIGINT) AS length, array_to_string(nodes, '>') AS cycle FROM c""", L)
+def more_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.long_cycles(orders_ledger(spark, sf_dir), 5, 95_000)
+
+
+@query("g18_components", """
+, eg AS (SELECT src, dst FROM L WHERE amount >= 100000 UNION SELECT dst, src FROM L WHERE amount >= 100000),
+k AS (SELECT src AS account, src AS reach FROM eg UNION SELECT account, dst FROM k JOIN eg ON reach = src)
+SELECT account, min(reach) AS component FROM k GROUP BY account""", L)
+def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.components(orders_ledger(spark, sf_dir).where("amount >= 100000"))
+
+
+ORACLE["g18_components"] = ORACLE["g18_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _walk_sql(start: int, restart: float, rounds: int) -> str:
+    steps = [f"""
+, m AS (SELECT s, d, count(*) AS n FROM (SELECT src AS s, dst AS d FROM E WHERE src <> dst UNION ALL SELECT dst, src FROM E WHERE src <> dst) GROUP BY ALL),
+w AS MATERIALIZED (SELECT s, d, n / sum(n) OVER (PARTITION BY s) * (1 - {restart}) AS w FROM m),
+r0 AS (SELECT CAST({start} AS BIGINT) AS account, 1.0::DOUBLE AS score)"""]
+    for k in range(1, rounds + 1):
+        steps.append(f""",
+r{k} AS (SELECT account, sum(score) AS score FROM (SELECT d AS account, score * w AS score FROM r{k - 1} JOIN w ON account = s UNION ALL SELECT {start}, {restart}::DOUBLE) GROUP BY account)""")
+    return "".join(steps) + f"\nSELECT account, round(score, 6) AS score FROM r{rounds}"
+
+
+@query("g17_walk_with_restart", _walk_sql(3, 0.15, 10), E)
+def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.walk_with_restart(events_ledger(spark, sf_dir), 3, 0.15, 10)
+
+
+@query("m10_bandit_state", """
+, x AS (SELECT channel AS action, ln(1 + amount) AS u, CAST(hour(ts) AS DOUBLE) / 24 AS v, CASE WHEN amount >= 50 THEN 1.0 ELSE -0.3 END AS r FROM E)
+SELECT action, count(*) AS n, round(sum(u * u), 4) AS a_0_0, round(sum(u * v), 4) AS a_0_1, round(sum(v * v), 4) AS a_1_1, round(sum(r * u), 4) AS b_0, round(sum(r * v), 4) AS b_1 FROM x GROUP BY action""", E)
+def bandit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events_ledger(spark, sf_dir).select("channel", F.log1p("amount").alias("u"), (F.hour("ts") / 24).alias("v"), F.when(F.col("amount") >= 50, 1.0).otherwise(-0.3).alias("r"))
+    state = bandit.linucb_state(rows, ["u", "v"], "channel", "r")
+    return state.select("action", "n", *[F.round(c, 4).alias(c) for c in state.columns[2:]])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, partitions: int | None = None, app: str = "tracewell") -> SparkSession:
@@ -14,3 +16,11 @@ def build(master: str | None = None, partitions: int | None = None, app: str = "
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names, or in one of our own where it is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+    return df.checkpoint()
