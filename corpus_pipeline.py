@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.piece_digest(packing.pack(docs, packing.default_tokenizer()))
+    return packing.pack(docs, packing.default_tokenizer(), digest=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("personal_data", personal_data), ("pack", pack)]

@@ -160,3 +160,9 @@ def test_components(spark):
     want = {i: 1 for i in range(1, 31)} | {40: 40, 45: 40, 50: 40, 70: 70, 71: 70, 72: 70}
     assert got == want
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_pieces_are_digested_alike_in_one_worker_and_two(docs):
+    apart = packing.piece_digest(packing.pack(docs, packing.default_tokenizer(), window=128))
+    once = packing.pack(docs, packing.default_tokenizer(), window=128, digest=True)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, apart.collect())) and once.columns == apart.columns

@@ -25,6 +25,7 @@ from tracewell.llm.encoders import library_encoder
 from tracewell.llm.token_output import crc_of_lists, id_lists, with_end
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, part int, tail int, tail_rank long, full_rank long"
+DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 #: Rows of the table of rank offsets that may be broadcast; beyond that it is joined by a shuffle.
 BROADCAST_ROWS = 3_000_000
@@ -129,11 +130,12 @@ def encode_for_packing(docs: DataFrame, tokenizer: str, end_id: int, window: int
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
 ) -> DataFrame:
     """Pieces of all documents with their ids and place; see PIECES for the columns.
 
-    Texts are encoded once and written; counts come from two narrow columns of that table.
+    Texts are encoded once and written; counts come from two narrow columns of that table. digest: what `piece_digest`
+    makes of the pieces, in the Python worker that cuts them.
     """
     encoded = materialise(encode_for_packing(docs, tokenizer, end_id, window, id_col, text_col), "packing")
     # the number of pieces of each length in each partition; length `window` stands for full windows
@@ -178,7 +180,7 @@ def pack(
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return placed.mapInArrow(cut, PIECES)
+    return placed.mapInArrow(lambda b: _digest(cut(b)), DIGEST) if digest else placed.mapInArrow(cut, PIECES)
 
 
 def padded_length(length: int, window: int = 2048) -> int:
@@ -186,16 +188,16 @@ def padded_length(length: int, window: int = 2048) -> int:
     return length if length > 0 and length & (length - 1) == 0 else window
 
 
-def piece_digest(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids_crc32 in place of the ids."""
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    for batch in batches:
+        crc = pa.array(crc_of_lists(batch.column("ids")), pa.int64())
+        yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c in names], names)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
-            crc = pa.array(crc_of_lists(batch.column("ids")), pa.int64())
-            yield pa.RecordBatch.from_arrays([crc if c == "ids_crc32" else batch.column(c) for c in names], names)
 
-    return pieces.mapInArrow(digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def piece_digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with ids_crc32 in place of the ids."""
+    return pieces.mapInArrow(_digest, DIGEST)
 
 
 def default_tokenizer() -> str:

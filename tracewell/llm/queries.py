@@ -59,7 +59,7 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents"), packing.default_tokenizer()))
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.default_tokenizer(), digest=True)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
