@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import bandit, walks
+from tracewell.plans import queries
 
 SCHEMA = "txn_id long, src string, dst string, amount double, ts timestamp"
 
@@ -42,6 +43,21 @@ def test_components(ledger):
     assert walks.components(ledger([])).count() == 0
 
 
+def test_registered_components_take_small_transfers(spark, tmp_path):
+    n, moved = 9, [(0, 1, 99_999.0), (1, 2, 150_000.0), (3, 4, 0.01), (5, 5, 7.0), (6, 7, 200_000.0), (7, 2, 1.0)]
+    spark.createDataFrame([(i, i % 3) for i in range(n)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, s, "x") for i, (s, *_) in enumerate(moved)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i, 1, n + d, 0, a, dt.datetime(2024, 1, 1), "R") for i, (_, d, a) in enumerate(moved)]
+    schema = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = list(range(n))
+    for s, d, _ in moved:  # union-find; small enough to relabel all
+        low, high = sorted((root[s], root[d]))
+        root = [low if r == high else r for r in root]
+    got = {r.account: r.component for r in queries.QUERIES["g18_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {v: root[v] for s, d, _ in moved for v in (s, d)}
+
+
 def test_walk_equals_the_linear_system(ledger):
     rows = [("A", "B", 1, 0), ("A", "B", 1, 1), ("B", "C", 1, 2), ("C", "A", 1, 3), ("C", "D", 1, 4)]
     got = {r.account: r.score for r in walks.walk_with_restart(ledger(rows), "A", 0.15, 60).collect()}

@@ -461,6 +461,20 @@ def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["g18_components"] = ORACLE["g18_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query("g18_components_whole", """
+, eg AS MATERIALIZED (SELECT src, dst FROM L WHERE src IS NOT NULL AND dst IS NOT NULL UNION SELECT dst, src FROM L WHERE src IS NOT NULL AND dst IS NOT NULL),
+k(account, component) USING KEY (account) AS (
+  SELECT DISTINCT src, src FROM eg
+  UNION SELECT eg.dst, min(k.component) FROM k JOIN eg ON k.account = eg.src JOIN recurring.k AS r ON r.account = eg.dst WHERE k.component < r.component GROUP BY eg.dst)
+SELECT account, component FROM k""", L)
+def weak_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every transfer; g18_components is the same graph above an amount."""
+    return walks.components(orders_ledger(spark, sf_dir))
+
+
+ORACLE["g18_components_whole"] = ORACLE["g18_components_whole"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _walk_sql(start: int, restart: float, rounds: int) -> str:
     steps = [f"""
 , m AS (SELECT s, d, count(*) AS n FROM (SELECT src AS s, dst AS d FROM E WHERE src <> dst UNION ALL SELECT dst, src FROM E WHERE src <> dst) GROUP BY ALL),
