@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,20 @@ def test_entry_without_the_llm_folders():
 
     names = set(e.queries())
     assert "p1_amount_band_count" in names and set(e.oracle_sql()) <= names
+
+
+def test_similar_to_each(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None), (62, [1.0, 2.0])]
+    rows += [(i, rows[3][1]) for i in (70, 80)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+    def cosine(x, y):
+        norm = math.sqrt(sum(a * a for a in x or [])) * math.sqrt(sum(b * b for b in y or []))
+        return round(sum(a * b for a, b in zip(x, y, strict=True)) / norm, 4) if norm and len(x) == len(y) else 0.0
+
+    want = {(q, v, c) for q, x in rows if q % 20 == 0 for c, v in sorted(((cosine(x, y), v) for v, y in rows if v != q), key=lambda p: (-p[0], p[1]))[:10]}
+    for block in (7, 4096):
+        got = [tuple(r) for r in features.similar_to_each(vectors.where("vec_id % 20 = 0"), vectors, block=block).collect()]
+        assert len(got) == 50 and set(got) == want
+    assert features.similar_to_each(vectors.limit(0), vectors).count() == 0

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.graph import centrality
@@ -74,6 +78,67 @@ def alerts(findings: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("ALT-"), F.upper(F.substring(F.sha2(key, 256), 1, 12))).alias("alert_id"), "account", "kind", "day", F.round("score", 6).alias("score"))
 
 
+def _blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """Rows (ids, sizes, vectors) of up to `size` vectors each, ids and vectors packed one after the other."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                rows = [np.array([np.nan if x is None else x for x in v], np.float64) for v in part.column("v").to_pylist()]
+                packed = part.column("id").to_numpy(zero_copy_only=False).tobytes(), np.array([len(r) for r in rows], np.int64).tobytes(), np.concatenate(rows).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["ids", "sizes", "vectors"])
+
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(vector_col).cast("array<double>"), F.expr("array(cast(null as double))")).alias("v"))
+    return rows.mapInArrow(pack, "ids binary, sizes binary, vectors binary")
+
+
+def _unpacked(ids: bytes, sizes: bytes, vectors: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of a block for each length of vector in it."""
+    ids, sizes, flat = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(vectors, np.float64)
+    begin = np.cumsum(sizes) - sizes
+    return {int(n): (ids[sizes == n], flat[begin[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)}
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rounded cosines of all rows of x and y; 0 where a norm is 0 or a number is missing."""
+    with np.errstate(all="ignore"):
+        c = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1)))
+    c[~np.isfinite(c)] = 0.0
+    return np.sign(c) * np.floor(np.abs(c) * 1e4 + 0.5) / 1e4 + 0.0
+
+
+def similar_to_each(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 10, block: int = 4096) -> DataFrame:
+    """For each row of queries the `top` rows of vectors most alike by cosine: query_id, vec_id, cosine.
+
+    Cosine is 0 where a norm is 0, a vector is missing or lengths differ; ties by id; rows of the query's own id and
+    rows without an id are left out. Blocks of queries meet blocks of vectors, so no pair is a row but the best of two
+    blocks, cut to `top` a query before and after the shuffle. Work grows with queries times vectors.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                here, there = _unpacked(row["q_ids"], row["q_sizes"], row["q_vectors"]), _unpacked(row["ids"], row["sizes"], row["vectors"])
+                ids = np.concatenate([i for i, _ in there.values()])
+                order = np.argsort(ids, kind="stable")
+                for n, (of, x) in here.items():
+                    for a in range(0, len(of), 256):
+                        part = x[a : a + 256]
+                        c = np.concatenate([_cosines(part, y) if m == n else np.zeros((len(part), len(y))) for m, (_, y) in there.items()], axis=1)[:, order]
+                        c[of[a : a + 256, None] == ids[order]] = -np.inf
+                        place = np.argsort(-c, axis=1, kind="stable")[:, :top]
+                        score = np.take_along_axis(c, place, 1)
+                        keep = np.isfinite(score)
+                        arrays = np.repeat(of[a : a + 256], keep.sum(1)), ids[order][place][keep], score[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], ["query_id", "id", "cosine"])
+
+    left = _blocks(queries, id_col, vector_col, 1024).select(F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("vectors").alias("q_vectors"))
+    pairs = left.crossJoin(_blocks(vectors, id_col, vector_col, block)).mapInArrow(best, "query_id long, id long, cosine double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
+    return pairs.withColumn("place", place).where(F.col("place") <= top).select("query_id", F.col("id").alias(id_col), "cosine")
+
+
 def similar_rows(vectors: DataFrame, query_id: int, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 10) -> DataFrame:
     """The rows most alike to one by cosine; 0 where a norm is 0, ties by id."""
     one = F.broadcast(vectors.where(F.col(id_col) == query_id).select(F.col(vector_col).alias("q")))

@@ -362,6 +362,17 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.similar_rows(table(spark, sf_dir, "embeddings"), 7)
 
 
+@query("m13_similar_rows_batch", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.e, q.e) / (v.n * q.n), 4) AS cosine
+FROM v, v q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(v.e, q.e) / (v.n * q.n), 4) DESC, v.vec_id) <= 10""")
+def similar_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return features.similar_to_each(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 @query("x5_continuation", """
 , a AS (SELECT DISTINCT src FROM L WHERE year(ts) = 1995), b AS (SELECT DISTINCT src FROM L WHERE year(ts) = 1996)
 SELECT coalesce(a.src, b.src) AS account, CASE WHEN b.src IS NULL THEN 'left' WHEN a.src IS NULL THEN 'new' ELSE 'returning' END AS state FROM a FULL JOIN b ON a.src = b.src""", L)
