@@ -1,13 +1,14 @@
 """Corpus pipeline over `documents`: quality rules, exact dedup, near dedup, masking of personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return
-the columns of `documents`. A stage that only decides reads the texts where they lie: the ids it keeps are
-joined back, broadcast below a counted bound and shuffled beyond it.
+the columns of `documents`. A stage that only decides reads the texts where they lie: the rows it keeps are
+joined back, broadcast below a counted bound and shuffled beyond it. A row is decided on by itself, also where
+doc_id is null or several rows have the same: such documents are first written with an id of their own a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import exact_dedup, jaccard_join, packing, pii, quality_rules
@@ -16,22 +17,45 @@ from tracewell.llm.common import broadcast_if_small, materialise
 BROADCAST_IDS = 2_000_000
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in kept."""
-    ids = materialise(kept.select("doc_id").distinct(), "kept-ids")
-    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with `row__`, a long that no two rows share: doc_id, or the row's place where a doc_id is null or repeated."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    if ids.where("doc_id is null or n > 1").isEmpty():
+        return docs.withColumn("row__", F.col("doc_id").cast("long"))
+    return materialise(docs.withColumn("row__", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents of rows whose row__ is in kept (column doc_id), without row__."""
+    ids = materialise(kept.select(F.col("doc_id").alias("row__")), "kept-rows")
+    return rows.join(broadcast_if_small(ids, BROADCAST_IDS), "row__", "left_semi").drop("row__")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.quality_rules(docs).where("kept"))
+    """The documents that the rules keep, each by its own text."""
+    rows = _rows(docs)
+    return _only(rows, quality_rules.quality_rules(rows, "row__").where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """One document of each text: that of the greatest doc_id, a null one only where there is no other."""
+    rows = _rows(docs)
+    groups = exact_dedup.exact_dedup(rows, "row__").select(F.col("doc_id").alias("row__"), F.col("keep_id").alias("group__"))
+    last = F.max(F.struct(F.col("doc_id").cast("long").alias("id"), "row__"))
+    return _only(rows, _of_groups(rows, groups, last))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, jaccard_join.near_duplicates(docs).where("doc_id = component_id"))
+    """One document of each class: that of the least doc_id, a null one only where there is no other."""
+    rows = _rows(docs)
+    groups = jaccard_join.near_duplicates(rows, "row__").select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("id"), "row__"))
+    return _only(rows, _of_groups(rows, groups, first))
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
+    """The row (as doc_id) that best picks from each group__ of groups."""
+    return groups.join(rows.select("row__", "doc_id"), "row__").groupBy("group__").agg(best.alias("b")).select(F.col("b.row__").alias("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
