@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.conf.get("tracewell.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local master gets one set here where it is unset."""
+    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tracewell.shared.dir", None)
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("tracewell.shared.dir", set_dir)
     return set_dir.rstrip("/")
@@ -45,6 +45,25 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables written for one computation, deleted together once nothing reads them any more."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return self.note(materialise(df, name))
+
+    def note(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def drop(self) -> None:
+        for table in self.tables:
+            drop_table(table)
+        self.tables = []
+
+
 def vocabulary(name: str, folder: str | None = None) -> str:
     """Path of a public vocabulary file; `folder` overrides the installed one."""
     if folder:

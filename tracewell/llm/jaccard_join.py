@@ -1,22 +1,26 @@
 """Exact n-gram Jaccard self-join by PartEnum signatures, and the connected classes of its links.
 
-Sets are the distinct word shingles of a text as 64-bit hashes. Documents with equal sets collapse to one
-node. Set sizes fall into bands [l, l / 0.75]; two sets that link lie in the same band or in neighbouring
-ones, so each set takes part in the instance of its own band and in that of the next. An instance bounds the
-symmetric difference of its pairs by h = (|a| + |b|) / 7 and cuts the feature domain into first-level groups of
-two second-level partitions each; of every group all one-partition subsets are enumerated. With over h
-partitions one is untouched by the differences, and if it isn't empty, both sets have the same signature
-for it. How many non-empty partitions survive is known for each set (its `spare`); a set with no spare is
-partitioned again under another seed, so that no link hangs on luck. Signatures travel as packed binary
-columns, a few bytes each, and meet in parts whose number follows their count.
-
-What meets is a bucket of nodes. A node that meets others in fewer partitions than it has to spare has no
-partner at all and leaves; this is repeated as buckets shrink, and takes out documents that share no more than
-a passage. Buckets never give all their pairs: each node is compared with the bucket's pivot, the node that
+Sets are the distinct word shingles of a text as 64-bit hashes. Documents with equal sets (by a 96-bit identity)
+collapse to one node. Band b holds set sizes over 2**(b - 1) up to 2**b; a set takes part in the instance of its own
+band and, if a partner may lie there, in that of the next. An instance bounds the symmetric difference of its
+pairs by h = 2 * 2**b / 7 and cuts the feature domain into cells, more than h of them. In small bands (one
+first-level group) all two-cell subsets are enumerated; in larger ones (first-level groups of two cells each) all
+one-cell subsets of each group. Cells that no difference touches are the same in both sets, so linked sets
+share a signature for each such cell or pair of cells that isn't empty. How many they share at least is known for each
+set (its `spare`); a set with no spare is dealt to cells again under another seed, so that no link hangs on luck.
+Signatures travel packed, six bytes and a share of their set's identity each, to parts of one instance.
+
+What meets is a bucket of nodes. Equal buckets of a part are one packed row with a count, and parts also sum up how
+often each node meets others. A node that meets others less often than it has to spare has no partner at all and
+leaves. Buckets never give all their pairs: each node is compared with the bucket's pivot, the node that
 meets most others and so the likeliest centre of near copies, and links are closed to classes. Only buckets that
-still hold several classes go on. Up to BUCKET nodes, they pair nodes of different classes. Larger ones of one pivot make a family; its
-nodes outside the largest class are a query set held against all of it in blocks of bounded size, and only links
-leave a block. Every pair is checked by its true intersection before it counts.
+still hold several classes go on. Up to BUCKET nodes, they pair nodes of different classes. Larger ones of one pivot
+make a family; its nodes outside the largest class are a query set held against all of it in blocks of bounded size,
+and only links leave a block. Every pair is checked by its true intersection before it counts.
+
+Memory: a text is scanned as a whole, at some 70 bytes a word; a task holds FLUSH signatures and a meeting about PART.
+Two-cell subsets in all bands were tried and left more rows and twice as many nodes after the first count, as each
+difference spoils more of them; where sets are small, they keep short texts with one common line apart.
 
 Defined cases: a null text and one without words have an empty set and link with nothing; under five words the
 whole sequence is the one shingle; repeated rows and equal texts are one class; of a repeated doc_id with different texts
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.bytescan import Words, mix, slices, text_buffers, windows
-from tracewell.llm.common import broadcast_if_small, components, materialise
+from tracewell.llm.common import Scratch, broadcast_if_small, components
 
 WIDTH = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
@@ -43,8 +47,11 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Nodes of a bucket whose pairs across classes are joined.
 BUCKET = 64
 SEEDS = 6
-PART_SIGNATURES = 1_500_000
-FLUSH_SIGNATURES = 3_000_000
+#: Greatest set size of the bands that enumerate two-cell subsets.
+PAIRS_TOP = 32
+#: Bytes of a set's identity.
+ID = 12
+PART, FLUSH = 1_000_000, 750_000
 BROADCAST_ROWS = 2_000_000
 #: Hashes in a block of a family.
 BLOCK = 65_536
@@ -76,23 +83,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
 
 
 def set_ids(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each set, as a signed long; 0 for the empty one."""
-    out = np.zeros(len(sizes), np.uint64)
+    """A 96-bit identity of each set as three 32-bit numbers; zeros for the empty one."""
+    out = np.zeros((len(sizes), 3), np.uint32)
     full = sizes > 0
     if full.any():
-        first = (np.cumsum(sizes) - sizes)[full]
+        first, n = (np.cumsum(sizes) - sizes)[full], sizes[full].astype(np.uint64)
         a, b = np.add.reduceat(mix(key + np.uint64(1)), first), np.add.reduceat(mix(key ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-        out[full] = mix(a) ^ mix(b + sizes[full].astype(np.uint64)) | np.uint64(1)
-    return out.view(np.int64)
+        a, b = mix(a) ^ mix(b + n), mix(b ^ n)
+        out[full] = np.stack([a >> np.uint64(32), a & np.uint64(0xFFFFFFFF), b & np.uint64(0xFFFFFFFF)], 1)
+    return out
+
+
+def id_array(ids: np.ndarray, sizes: np.ndarray | None = None) -> pa.Array:
+    """Binary column of identities; null for empty sets."""
+    return pa.array([i.tobytes() if sizes is None or n else None for i, n in zip(ids, ids if sizes is None else sizes, strict=True)], pa.binary())
 
 
-def bands(largest: int) -> np.ndarray:
-    """The greatest size of each band; band i holds sizes from top[i - 1] + 1 to top[i]."""
-    top = [1]
-    while top[-1] < largest:
-        low = top[-1] + 1
-        top.append(max(low, low * DENOMINATOR // NUMERATOR))
-    return np.array(top, np.int64)
+def own_band(sizes: np.ndarray) -> np.ndarray:
+    """The least b with size <= 2**b."""
+    return np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,34 +109,39 @@ def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
-def partitions(top: np.ndarray) -> np.ndarray:
-    """Second-level partitions of the instance with this greatest size: twice the first-level groups."""
-    h = difference(top, top)
-    groups = (h + 2) // 2 + np.ceil(0.03 * top).astype(np.int64) + 2
+def cells(top: np.ndarray) -> np.ndarray:
+    """Cells of the instance with this greatest size: more than the differences, and some for those that stay empty."""
+    groups = (difference(top, top) + 2) // 2 + np.ceil(0.03 * top).astype(np.int64) + 2
     return 2 * groups
 
 
-def signatures(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set index, spare of each set by parity) of sets whose hashes are sorted and in a row.
+def _two_of(row: np.ndarray, cell: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, sum) of all pairs of filled cells of a set; rows are in a row."""
+    size = np.bincount(row)
+    first = np.cumsum(size) - size
+    later = (first + size)[row] - np.arange(len(row)) - 1
+    a = np.repeat(np.arange(len(row)), later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    return row[a], cell[a] << np.uint64(16) | cell[b] | np.uint64(1 << 39), mix(sums[a] + np.uint64(3)) + sums[b]
 
-    A signature's last bit is the parity of its instance's number; a set is in one instance of each parity.
 
-    Sets of under three elements link with equal ones only and have no signature.
+def signatures(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, entry, band of each entry, spare of each entry) of sets whose hashes are sorted and in a row.
+
+    Entry 2 * i is set i in the instance of its own band, 2 * i + 1 in that of the next. Sets of under three
+    elements link with equal ones only and have no signature.
     """
     n = len(sizes)
-    spare = np.full((n, 2), 1 << 30, np.int64)
-    out_sig, out_set = [], []
-    if not n or sizes.max() < 3:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
-    top = bands(int(sizes.max() * DENOMINATOR // NUMERATOR) + 2)
-    own_band = np.searchsorted(top, sizes)
+    own = own_band(sizes)
+    entry_band = np.stack([own, own + 1], 1).reshape(-1)
+    spare = np.zeros(2 * n, np.int64)
+    out_sig, out_entry = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     begin = np.cumsum(sizes) - sizes
     for step in (0, 1):
-        band = np.minimum(own_band + step, len(top) - 1)
-        active = np.flatnonzero(sizes >= 3)
-        for seed in range(SEEDS):
-            size, t = sizes[active], top[band[active]]
-            m = partitions(t)
+        active = np.flatnonzero((sizes >= 3) & ((step == 0) | (sizes * DENOMINATOR // NUMERATOR > 1 << own)))
+        for seed in range(SEEDS if len(active) else 0):
+            size, band = sizes[active], own[active] + step
+            m = cells(1 << band)
             row = np.repeat(np.arange(len(active)), size)
             at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[active], size)
             value = key[at]
@@ -136,26 +150,30 @@ def signatures(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 value = value[np.lexsort((value, row))]
             cell = ((value >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
             new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])]))
-            sums = np.add.reduceat(mix(value), new)
-            place = (band[active][row[new]].astype(np.uint64) << np.uint64(40)) + (np.uint64(seed) << np.uint64(36)) + cell[new]
-            parity = (band[active] & 1).astype(np.uint64)
-            out_sig.append(mix(sums ^ mix(place)) & ~np.uint64(1) | parity[row[new]])
-            out_set.append(active[row[new]])
-            filled = np.bincount(row[new], minlength=len(active))
-            left = filled - difference(size, np.minimum(size * DENOMINATOR // NUMERATOR, t))
+            row, cell, sums = row[new], cell[new], np.add.reduceat(mix(value), new)
+            filled = np.bincount(row, minlength=len(active))
+            left = filled - difference(size, np.minimum(size * DENOMINATOR // NUMERATOR, 1 << band))
+            by_two = ((1 << band) <= PAIRS_TOP) & (seed == 0)
+            at_two = by_two[row]
+            parts = [(row[~at_two], cell[~at_two], sums[~at_two])]
+            if at_two.any():
+                parts.append(_two_of(row[at_two], cell[at_two], sums[at_two]))
+                left = np.where(by_two, np.maximum(left, 0) * (np.maximum(left, 0) - 1) // 2, left)
             if not seed:
-                spare[active, parity.astype(np.int64)] = left
+                spare[2 * active + step] = left
             poor = left <= 0
-            if seed == SEEDS - 1 and poor.any():  # both sets of a pair this far have an empty partition in common
+            if seed == SEEDS - 1 and poor.any():  # both sets of a pair this far have an empty cell in common
                 for i in np.flatnonzero(poor):
-                    have = cell[new[row[new] == i]]
-                    gone = np.setdiff1d(np.arange(m[i], dtype=np.uint64), have)
-                    out_sig.append(mix(mix((np.uint64(band[active[i]]) << np.uint64(40)) + gone) + np.uint64(7)) & ~np.uint64(1) | parity[i])
-                    out_set.append(np.full(len(gone), active[i]))
+                    gone = np.setdiff1d(np.arange(m[i], dtype=np.uint64), cell[row == i])
+                    parts.append((np.full(len(gone), i), gone | np.uint64(1 << 38), np.zeros(len(gone), np.uint64)))
+            for r, c, s in parts:
+                place = (band[r].astype(np.uint64) << np.uint64(46)) + (np.uint64(seed) << np.uint64(42)) + c
+                out_sig.append(mix(s ^ mix(place)))
+                out_entry.append(2 * active[r] + step)
             active = active[poor]
             if not len(active):
                 break
-    return np.concatenate(out_sig), np.concatenate(out_set), spare
+    return np.concatenate(out_sig), np.concatenate(out_entry), entry_band, spare
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,7 +181,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (0 for an empty set), sketch of each document."""
+    """doc_id, n_shingles, set_id (null for an empty set), sketch of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,38 +190,49 @@ def document_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
                 key, doc, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 edge = np.concatenate([[0], np.cumsum(sizes)])
                 sketches = pa.array([sketch(key[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(set_ids(key, doc, sizes)), sketches]
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), id_array(set_ids(key, doc, sizes), sizes), sketches]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return texts.mapInArrow(scan, "doc_id long, n_shingles long, set_id long, sketch binary")
+    return texts.mapInArrow(scan, "doc_id long, n_shingles long, set_id binary, sketch binary")
+
 
+def parts_of_bands(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first part, number of parts) of each band's instance, so that a part holds about PART signatures; number of parts in use."""
+    counts = nodes.where("n >= 3").groupBy(F.length(F.bin(F.col("n") - 1)).alias("b")).agg(F.count("*").alias("c"))
+    count = np.zeros(64, np.int64)
+    for r in counts.collect():  # a row for each power of two
+        count[r.b] = r.c
+    each = [cells(np.array([1 << b]))[0] * (6 if 1 << b <= PAIRS_TOP else 1) if b < 40 else 1 for b in range(64)]
+    total = (count + np.roll(count, 1)) * np.array(each)
+    parts = np.maximum(1, -(-total // PART))
+    return np.cumsum(parts) - parts, parts, max(1, int(parts[total > 0].sum()))
 
-def packed_signatures(texts: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
-    """part, sigs (5 bytes each), rows (4 bytes each), sets: signatures of distinct sets, many to a row."""
+
+def packed_signatures(texts: DataFrame, first_part: np.ndarray, n_parts: np.ndarray, width: int = WIDTH) -> DataFrame:
+    """part, sigs (4 bytes each), refs (2 or 4 bytes each), sets, spares, sizes: signatures of distinct sets, many to a row."""
+    names = ["part", "sigs", "refs", "sets", "spares", "sizes"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count, seen = 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, count
-            sets, spares = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            before = np.cumsum([0, *(len(h[2]) for h in held)])
-            sig = np.concatenate([h[0] for h in held])
-            row = np.concatenate([h[1] + b for h, b in zip(held, before, strict=False)])
+            sig, entry, band, spare, ids, sizes = (list(x) for x in zip(*held, strict=True))
+            before = np.cumsum([0, *(len(s) for s in spare)])
+            entry = np.concatenate([e + b for e, b in zip(entry, before, strict=False)])
+            sig, band, spare, ids, sizes = (np.concatenate(x) for x in (sig, band, spare, ids, sizes))
             held, count = [], 0
-            part = ((sig >> np.uint64(41)) % np.uint64(parts)).astype(np.int64)
+            b = band[entry]
+            part = first_part[b] + ((sig >> np.uint64(32)) % n_parts[b].astype(np.uint64)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
-            rest = sig & np.uint64((1 << 40) - 1)
-            for p in range(parts):
-                own = order[edge[p] : edge[p + 1]]
-                if len(own):
-                    used, local = np.unique(row[own], return_inverse=True)
-                    packed = rest[own].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    columns = [[p], [packed], [local.astype(np.uint32).tobytes()], [sets[used].tobytes()], [spares[used].tobytes()]]
-                    types = [pa.int32(), *[pa.binary()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "sigs", "rows", "sets", "spares"])
+            part = part[order]
+            for own in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(order) else ():
+                used, local = np.unique(entry[own], return_inverse=True)
+                local = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
+                blobs = [sig[own].astype(np.uint32), local, ids[used >> 1], np.minimum(spare[used], 32767).astype(np.int16), sizes[used >> 1].astype(np.int64)]
+                p = first_part[b[own[0]]] + int((sig[own[0]] >> np.uint64(32)) % np.uint64(n_parts[b[own[0]]]))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names)
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -212,109 +241,106 @@ def packed_signatures(texts: DataFrame, parts: int, width: int = WIDTH) -> DataF
                 ids = set_ids(key, doc, sizes)
                 # a set is dealt once a task: copies would only repeat its signatures
                 fresh = np.zeros(len(ids), bool)
-                for d, s in enumerate(ids.tolist()):
-                    if s and s not in seen:
+                for d, s in enumerate(map(bytes, ids)):
+                    if sizes[d] and s not in seen:
                         seen.add(s)
                         fresh[d] = True
-                key = key[fresh[doc]]
-                sig, row, spare = signatures(key, sizes[fresh])
-                held.append((sig, row, ids[fresh], spare.astype(np.int32)))
-                count += len(sig)
-                if count >= FLUSH_SIGNATURES:
+                held.append((*signatures(key[fresh[doc]], sizes[fresh]), ids[fresh], sizes[fresh]))
+                count += len(held[-1][0])
+                if count >= FLUSH:
                     yield from flush()
         if held:
             yield from flush()
 
-    return texts.mapInArrow(scan, "part int, sigs binary, rows binary, sets binary, spares binary")
+    return texts.mapInArrow(scan, "part int, sigs binary, refs binary, sets binary, spares binary, sizes binary")
+
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each distinct identity, number of each identity among them)."""
+    order = np.lexsort(ids.T)
+    sorted_ids = ids[order]
+    new = np.concatenate([[True], (sorted_ids[1:] != sorted_ids[:-1]).any(1)])
+    number = np.empty(len(ids), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
-def buckets(packed: DataFrame, parts: int) -> DataFrame:
-    """hot, bucket, member, parity, spare, times: nodes that share signatures; equal small buckets of a part are one, met `times` times."""
-    names = ["hot", "bucket", "member", "parity", "spare", "times"]
+
+def meetings(packed: DataFrame, first_part: np.ndarray, parts: int) -> DataFrame:
+    """Rows of three kinds: 0, nodes that meet in `times` signatures of a part, packed; 1, some nodes of a large bucket, packed;
+    2, a node, how often it meets others in a part (times), with how many (weight), its spare and size."""
+    names = ["kind", "bucket", "band", "members", "times", "weight", "spare", "n"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, size, hot_keys = -1, [], 0, np.zeros(0, np.uint64)
+        part, held, nodes, size = -1, [], [], 0
+        large = np.zeros(0, np.uint32)
 
-        def rows(hot: bool, bucket: np.ndarray, member: np.ndarray, parity: np.ndarray, spare: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-            columns = [np.full(len(bucket), hot), bucket.view(np.int64), member, parity.astype(np.int32), spare.astype(np.int64), times.astype(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        def rows(kind: int, bucket: np.ndarray, lengths: np.ndarray, ids: np.ndarray, times: np.ndarray, weight=0, spare=0, n=0) -> pa.RecordBatch:
+            many = len(lengths)
+            members = pa.Array.from_buffers(pa.large_binary(), many, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths * ID)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+            full = lambda x, t: pa.array(np.broadcast_to(x, many).astype(t))
+            columns = [full(kind, np.int32), pa.array(bucket.view(np.int64)), full(np.searchsorted(first_part, part, "right") - 1, np.int32), members.cast(pa.binary()), full(times, np.int64), full(weight, np.int64), full(spare, np.int32), full(n, np.int64)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
             """Sort what is held; large buckets leave at once, single nodes and small buckets when the part ends."""
-            nonlocal held, size, hot_keys
+            nonlocal held, nodes, size, large
             if not held:
                 return
-            sig, member, spare = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((member, sig))
-            sig, member, spare = sig[order], member[order], spare[order]
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])])
-            sig, member, spare = sig[new], member[new], spare[new]
+            ids, spare, n = (np.concatenate(x) for x in zip(*nodes, strict=True))
+            keep, number = _numbered(ids)
+            ids, spare, n = ids[keep], spare[keep], n[keep]
+            both = np.concatenate([sig.astype(np.uint64) << np.uint64(32) | number[ref].astype(np.uint64) for sig, ref in held])
+            both.sort()
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+            sig, node = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             length = np.diff(np.append(first, len(sig)))
-            hot = (length > BUCKET) | np.isin(sig[first], hot_keys)
-            hot_keys = np.union1d(hot_keys, sig[first[hot]])
+            hot = (length > BUCKET) | np.isin(sig[first], large)
+            large = np.union1d(large, sig[first[hot]])
+            meets, weight = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             if hot.any():
                 at = np.repeat(hot, length)
-                yield rows(True, mix(sig[at] ^ mix(np.array([part + 1]))), member[at], sig[at] & np.uint64(1), spare[at], np.ones(int(at.sum())))
-            at = np.repeat(~hot, length)
+                yield rows(1, mix(sig[first[hot]].astype(np.uint64) << np.uint64(32) | np.uint64(part)), length[hot], ids[node[at]], 1)
+                meets += np.bincount(node[at], minlength=len(ids))
+                weight += np.bincount(node[at], np.repeat(length[hot], length[hot]), len(ids)).astype(np.int64)
             if last:
                 several = ~hot & (length > 1)
                 at = np.repeat(several, length)
                 if at.any():
-                    sizes = length[several]
+                    m, sizes = node[at], length[several]
                     begin = np.cumsum(sizes) - sizes
-                    m, s, parity = member[at], spare[at], sig[at] & np.uint64(1)
-                    name = mix(np.add.reduceat(mix(m.view(np.uint64)), begin) + (sizes.astype(np.uint64) << np.uint64(1)) + parity[begin])
-                    _, one, times = np.unique(name, return_index=True, return_counts=True)
-                    each = np.zeros(len(name), np.int64)
-                    each[one] = times
-                    at = np.repeat(each > 0, sizes)
-                    yield rows(False, np.repeat(name, sizes)[at], m[at], parity[at], s[at], np.repeat(each, sizes)[at])
-                held, size, hot_keys = [], 0, np.zeros(0, np.uint64)
+                    meets += np.bincount(m, minlength=len(ids))
+                    weight += np.bincount(m, np.repeat(sizes, sizes), len(ids)).astype(np.int64)
+                    for k in np.unique(sizes):  # equal buckets of k nodes are one row
+                        table = m[begin[sizes == k][:, None] + np.arange(k)]
+                        kinds, times = np.unique(table, axis=0, return_counts=True)
+                        yield rows(0, np.zeros(len(kinds), np.uint64), np.full(len(kinds), k), ids[kinds.reshape(-1)], times)
+            met = np.flatnonzero(meets)
+            if len(met):
+                yield rows(2, np.zeros(len(met), np.uint64), np.ones(len(met), np.int64), ids[met], meets[met], weight[met], spare[met], n[met])
+            if last:
+                held, nodes, size, large = [], [], 0, np.zeros(0, np.uint32)
             else:
-                held, size = [(sig[at], member[at], spare[at])], int(at.sum())
+                at = np.repeat(~hot, length)
+                held, nodes, size = [(sig[at], node[at])], [(ids, spare, n)], int(at.sum())
 
         for batch in batches:
-            for p, sigs, local, sets, spares in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "rows", "sets", "spares")), strict=True):
+            for p, sigs, refs, sets, spares, sizes in zip(*(batch.column(c).to_pylist() for c in names_in), strict=True):
                 if p != part:
                     yield from settle(True)
                     part = p
-                wide = np.zeros((len(sigs) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(sigs, np.uint8).reshape(-1, 5)
-                sig, at = wide.reshape(-1).view(np.uint64), np.frombuffer(local, np.uint32)
-                spare = np.frombuffer(spares, np.int32).reshape(-1, 2)[at, (sig & np.uint64(1)).astype(np.int64)]
-                held.append((sig, np.frombuffer(sets, np.int64)[at], spare))
-                size += len(at)
-                if size > 2 * PART_SIGNATURES:
+                sig = np.frombuffer(sigs, np.uint32)
+                ref = np.frombuffer(refs, np.uint16 if len(refs) == 2 * len(sig) else np.uint32).astype(np.int64)
+                held.append((sig, ref + sum(len(x[0]) for x in nodes)))
+                nodes.append((np.frombuffer(sets, np.uint32).reshape(-1, 3), np.frombuffer(spares, np.int16), np.frombuffer(sizes, np.int64)))
+                size += len(sig)
+                if size > 2 * PART:
                     yield from settle(False)
         yield from settle(True)
 
+    names_in = ["part", "sigs", "refs", "sets", "spares", "sizes"]
     dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "hot boolean, bucket long, member long, parity int, spare long, times long")
-
-
-def peeled(met: DataFrame, rounds: int = 3) -> DataFrame:
-    """Buckets without the nodes that meet others in fewer partitions than they have to spare, and without single nodes."""
-    for _ in range(rounds):
-        enough = met.groupBy("member", "parity").agg(F.sum("times").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member", "parity")
-        met = materialise(met.join(materialise(enough, "nodes-met"), ["member", "parity"], "left_semi"), "buckets-met")
-        several = met.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-        met = materialise(met.join(materialise(several, "buckets-of-several"), "bucket", "left_semi"), "buckets-met")
-    return met
-
-
-def undecided(labelled: DataFrame, rounds: int = 3) -> DataFrame:
-    """Rows whose bucket holds several classes and whose node meets other classes as often as a link to one would make it.
-
-    Linked nodes of different classes share at least `spare` buckets, all of them mixed, and a pair that is
-    still undecided shares none that has been decided.
-    """
-    for _ in range(rounds):
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("bucket")
-        labelled = materialise(labelled.join(materialise(mixed, "mixed-buckets"), "bucket", "left_semi"), "mixed-members")
-        enough = labelled.groupBy("member", "parity").agg(F.sum("times").alias("k"), F.min("spare").alias("s")).where("k >= s").select("member", "parity")
-        labelled = materialise(labelled.join(materialise(enough, "nodes-mixed"), ["member", "parity"], "left_semi"), "mixed-members")
-    return labelled
+    return dealt.mapInArrow(meet, "kind int, bucket long, band int, members binary, times long, weight long, spare int, n long")
 
 
 def sketch(key: np.ndarray) -> bytes:
@@ -336,7 +362,7 @@ def sketch_distance(x: bytes, y: bytes) -> int:
 
 
 def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """set_id, hashes (sorted, 8 bytes each) of the documents in nodes (doc_id, set_id)."""
+    """set_id, hashes (sorted, 8 bytes each) of the sets in nodes (doc_id, set_id)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,10 +371,12 @@ def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataF
                 key, doc, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 edge = np.concatenate([[0], np.cumsum(sizes)])
                 hashes = pa.array([key[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(key, doc, sizes)), hashes], ["set_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([id_array(set_ids(key, doc, sizes), sizes), hashes], ["set_id", "hashes"])
 
-    wanted = texts.join(broadcast_if_small(nodes.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
-    return wanted.mapInArrow(scan, "set_id long, hashes binary").dropDuplicates(["set_id"])
+    ids = broadcast_if_small(nodes.select(F.col("doc_id").alias("wanted")).distinct(), BROADCAST_ROWS)
+    scanned = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(scan, "set_id binary, hashes binary")
+    # an id may stand for several texts: only the sets that were asked for go on
+    return scanned.join(broadcast_if_small(nodes.select("set_id"), BROADCAST_ROWS), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -362,7 +390,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a long, b long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a binary, b binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -380,7 +408,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     x, y = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
 
 
 def bitmap(key: np.ndarray) -> np.ndarray:
@@ -415,20 +443,20 @@ def near_pairs(xs: list[np.ndarray], ys: list[np.ndarray], lx: np.ndarray, ly: n
                     yield int(rows[i]), int(cols[j])
 
 
-def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def family_links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The links (a, b) between nodes of different classes of a family; members: family, member, label, n.
 
     The nodes outside a family's largest class are the query set, and are held against all its nodes in blocks
     of some BLOCK hashes; no pair is a row but those that link.
     """
-    sizes = materialise(members.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n")), "family-classes")
+    sizes = scratch(members.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n")), "family-classes")
     info = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("n").alias("n"))
-    info = materialise(info.select("family", F.col("top.label").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "families")
+    info = scratch(info.select("family", F.col("top.label").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "families")
     rows = members.join(info, "family").withColumn("asks", F.col("label") != F.col("top"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("member"), "blocks")).join(sets, F.col("member") == F.col("set_id"))
     columns = [F.struct("member", "label", "hashes").alias("x")]
     packed = rows.select("family", "asks", "block", *columns).groupBy("family", "asks", "block").agg(F.collect_list("x").alias("held"))
-    packed = materialise(packed, "family-blocks")
+    packed = scratch(packed, "family-blocks")
     names = packed.select("family", "asks", "block")
     asking = names.where("asks").select("family", F.col("block").alias("bx"))
     against = names.select("family", F.col("asks").alias("ay"), F.col("block").alias("by"))
@@ -443,82 +471,122 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                 for name in ("x", "y"):
                     held = batch.column(name)[i].values
                     hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in held.field("hashes")]
-                    sides.append((hashes, held.field("label").to_numpy(), held.field("member").to_numpy()))
+                    sides.append((hashes, held.field("label"), held.field("member")))
                 (xs, lx, ids_x), (ys, ly, ids_y) = sides
+                number: dict[bytes, int] = {}
+                lx, ly = (np.array([number.setdefault(v, len(number)) for v in side.to_pylist()], np.int64) for side in (lx, ly))
                 found = list(near_pairs(xs, ys, lx, ly))
-                columns = [pa.array([ids_x[f[0]] for f in found], pa.int64()), pa.array([ids_y[f[1]] for f in found], pa.int64())]
+                columns = [ids_x.take(pa.array([f[0] for f in found], pa.int64())), ids_y.take(pa.array([f[1] for f in found], pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    return meetings.join(x, ["family", "bx"]).join(y, ["family", "ay", "by"]).select("x", "y").mapInArrow(compare, "a long, b long")
+    return meetings.join(x, ["family", "bx"]).join(y, ["family", "ay", "by"]).select("x", "y").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of each document."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    found = materialise(document_sets(texts, width), "shingle-sets")
-    nodes = found.where("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = materialise(nodes, "shingle-nodes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_SIGNATURES))
-    met = materialise(buckets(packed_signatures(texts, parts, width), parts), "signature-buckets")
-    met = met.groupBy("bucket", "member", "parity", "hot").agg(F.min("spare").alias("spare"), F.sum("times").alias("times"))
-    met = peeled(met)
+def true_links(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame, nodes: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) of those of the pairs (a, m, b, n) that were not tested before; m and n are set sizes."""
+    sized = pairs.where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("m", "n") >= NUMERATOR * F.greatest("m", "n")))
+    ordered = F.struct(F.col("a").alias("v"), F.col("m").alias("s")), F.struct(F.col("b").alias("v"), F.col("n").alias("s"))
+    fresh = sized.select(F.least(*ordered).alias("x"), F.greatest(*ordered).alias("y")).select(
+        F.col("x.v").alias("a"), F.col("x.s").alias("m"), F.col("y.v").alias("b"), F.col("y.s").alias("n")
+    )
+    fresh = fresh.distinct()
+    fresh = scratch(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
+    near = scratch(possible(fresh, _of_pairs(fresh, nodes, scratch)), "possible-pairs")
+    sets = scratch(member_sets(texts, _of_pairs(near, nodes, scratch), width), "member-sets")
+    return scratch(linked(near, sets), "links"), fresh.select("a", "b")
+
+
+def _of_pairs(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    ends = scratch(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "pair-ends")
+    return scratch(nodes.join(broadcast_if_small(ends, BROADCAST_ROWS), "set_id", "left_semi"), "pair-nodes")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the class of each member so far, itself where it has none."""
+    of = labels.select(F.col("node").alias("member"), F.col("component").alias("c"))
+    return rows.join(broadcast_if_small(of, BROADCAST_ROWS), "member", "left").withColumn("label", F.coalesce("c", "member")).drop("c")
+
+
+def _often(rows: DataFrame) -> DataFrame:
+    """member, band of the nodes that are in as many of the buckets of rows as a link would make it."""
+    return rows.groupBy("member", "band").agg(F.sum("times").alias("k"), F.min("s").alias("s")).where("k >= s").select("member", "band")
+
+
+def _mixed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets that hold several classes."""
+    buckets = rows.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("bucket")
+    return scratch(rows.join(broadcast_if_small(scratch(buckets, "mixed-buckets"), BROADCAST_ROWS), "bucket", "left_semi"), "mixed-members")
+
+
+def _classes(met: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """node, component: the classes of linked nodes, from what met."""
+    able = met.where("kind = 2").groupBy(F.col("members").alias("member"), "band")
+    able = able.agg(F.sum("times").alias("k"), F.sum("weight").alias("w"), F.min("spare").alias("s"), F.min("n").alias("n")).where("k >= s").drop("k")
+    able = broadcast_if_small(scratch(able, "nodes-met"), BROADCAST_ROWS)
+    ids = F.explode(F.expr(f"transform(sequence(1, length(members), {ID}), i -> substring(members, i, {ID}))")).alias("member")
+
+    packed = met.where("kind = 0").groupBy("band", "members").agg(F.sum("times").alias("times")).withColumn("bucket", F.xxhash64("band", "members"))
+    small = packed.select("bucket", "band", "times", ids).join(able, ["member", "band"]).groupBy("bucket", "band", "times")
+    small = scratch(small.agg(F.collect_list(F.struct("w", "member", "n", "s")).alias("ms")).where("size(ms) > 1"), "small-buckets")
+    large = met.where("kind = 1").select("bucket", "band", "times", ids).join(able, ["member", "band"]).dropDuplicates(["bucket", "member"])
+    large = scratch(large, "large-buckets")
 
     # the node that meets most others is the likeliest centre of its near copies
-    crowd = materialise(met.groupBy("bucket").agg(F.count("*").alias("crowd")), "bucket-sizes")
-    weights = materialise(met.join(crowd, "bucket").groupBy("member").agg(F.sum(F.col("crowd") * F.col("times")).alias("weight")), "node-weights")
-    sizes = nodes.select(F.col("set_id").alias("member"), "n").join(weights, "member")
-    members = materialise(met.join(materialise(sizes, "node-sizes"), "member"), "bucket-members")
-    pivots = materialise(members.groupBy("bucket").agg(F.max(F.struct("weight", "member", "n")).alias("p")), "pivots")
-    pairs = members.join(pivots, "bucket").select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("member").alias("b"), "n")
-
-    def true_links(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(links, pairs) of those that were not tested before."""
-        sized = pairs.where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("m", "n") >= NUMERATOR * F.greatest("m", "n")))
-        ordered = F.struct(F.col("a").alias("v"), F.col("m").alias("s")), F.struct(F.col("b").alias("v"), F.col("n").alias("s"))
-        fresh = sized.select(F.least(*ordered).alias("x"), F.greatest(*ordered).alias("y")).select(
-            F.col("x.v").alias("a"), F.col("x.s").alias("m"), F.col("y.v").alias("b"), F.col("y.s").alias("n")
-        )
-        fresh = fresh.distinct()
-        fresh = materialise(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
-        near = materialise(possible(fresh, nodes), "possible-pairs")
-        ends = near.select(F.col("a").alias("set_id")).unionByName(near.select(F.col("b").alias("set_id"))).distinct()
-        sets = materialise(member_sets(texts, nodes.join(ends, "set_id", "left_semi"), width), "member-sets")
-        return materialise(linked(near, sets), "links"), fresh.select("a", "b")
-
-    def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-        both = members.drop("label").join(labels.select(F.col("node").alias("member"), F.col("component").alias("c")), "member", "left")
-        return both.withColumn("label", F.coalesce("c", "member")).drop("c")
-
-    links, tested = true_links(pairs, None)
-    labels = components(links)
-    members = undecided(labelled(members, labels), 1)
-    small = members.where("not hot").select("bucket", "member", "n", "label")
-    if small.limit(1).count():  # pairs of different classes, BUCKET nodes a bucket at most
-        left = small.select("bucket", F.col("member").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-        right = small.select("bucket", F.col("member").alias("b"), "n", F.col("label").alias("lb"))
-        pairs = left.join(right, "bucket").where("la <> lb and a < b").select("a", "m", "b", "n")
-        links = links.unionByName(true_links(pairs, tested)[0])
-        labels = components(links)
+    pairs = small.select(F.array_max("ms").alias("p"), F.explode("ms").alias("x")).select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("x.member").alias("b"), "x.n")
+    pivots = scratch(large.groupBy("bucket").agg(F.max(F.struct("w", "member", "n")).alias("p")), "pivots")
+    of_large = large.join(broadcast_if_small(pivots, BROADCAST_ROWS), "bucket").select(F.col("p.member").alias("a"), F.col("p.n").alias("m"), F.col("member").alias("b"), "n")
+    links, tested = true_links(pairs.unionByName(of_large), None, texts, nodes, scratch, width)
+    labels = scratch.note(components(links))
+
+    # small buckets of several classes: pairs across classes, BUCKET nodes a bucket at most
+    each = _labelled(small.select("bucket", "band", "times", F.explode("ms").alias("x")).select("bucket", "band", "times", "x.*"), labels)
+    several = each.groupBy("bucket", "band", "times").agg(F.collect_list(F.struct("member", "n", "s", "label")).alias("ms"), F.min("label").alias("l"), F.max("label").alias("g"))
+    several = scratch(several.where("l < g").drop("l", "g"), "mixed-small-buckets")
+    mixed = _mixed(_labelled(large, labels), scratch)
+    meeting = several.select("band", "times", F.explode("ms").alias("x")).select("x.member", "band", "times", "x.s").unionByName(mixed.select("member", "band", "times", "s"))
+    often = broadcast_if_small(scratch(_often(meeting), "nodes-mixed"), BROADCAST_ROWS)
+    one = several.select("band", "ms", F.explode("ms").alias("x")).select("band", "ms", "x.member", F.col("x.n").alias("m"), "x.label").join(often, ["member", "band"], "left_semi")
+    other = F.explode(F.filter("ms", lambda y: (y["label"] != F.col("label")) & (y["member"] > F.col("member")))).alias("y")
+    two = one.select("band", F.col("member").alias("a"), "m", other).select("band", "a", "m", F.col("y.member").alias("member"), "y.n").join(often, ["member", "band"], "left_semi")
+    more, _ = true_links(two.select("a", "m", F.col("member").alias("b"), "n"), tested, texts, nodes, scratch, width)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = scratch.note(components(links))
+
     # pairs that meet in no small bucket: large buckets of one pivot are a family
-    members = undecided(labelled(members.where("hot"), labels), 1)
-    if members.limit(1).count():
-        centre = members.groupBy("bucket").agg(F.max(F.struct("weight", "member")).alias("p"))
-        family = materialise(centre.select("bucket", F.col("p.member").alias("family")), "bucket-families")
-        family = materialise(members.join(family, "bucket").select("family", "member", "label", "n").distinct(), "family-members")
-        ends = family.select(F.col("member").alias("set_id")).distinct()
-        sets = materialise(member_sets(texts, nodes.join(ends, "set_id", "left_semi"), width), "member-sets")
-        links = links.unionByName(materialise(family_links(family, sets), "links"))
-        labels = components(links)
-
-    least = nodes.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = materialise(least, "node-classes")
-    by_class = materialise(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "classes")
-    classes = materialise(least.join(by_class, "component").select("set_id", "component_id"), "set-classes")
-    out = found.join(classes, "set_id", "left")
-    own = F.when(F.col("set_id") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    mixed = _mixed(_labelled(large, labels), scratch)
+    members = scratch(mixed.join(broadcast_if_small(scratch(_often(mixed), "nodes-mixed"), BROADCAST_ROWS), ["member", "band"], "left_semi"), "undecided")
+    if not members.isEmpty():
+        family = scratch(members.groupBy("bucket").agg(F.max(F.struct("w", "member")).alias("p")).select("bucket", F.col("p.member").alias("family")), "bucket-families")
+        family = scratch(members.join(family, "bucket").select("family", "member", "label", "n").distinct(), "family-members")
+        ends = scratch(family.select(F.col("member").alias("set_id")).distinct(), "family-nodes")
+        sets = member_sets(texts, nodes.join(broadcast_if_small(ends, BROADCAST_ROWS), "set_id", "left_semi"), width)
+        links = links.unionByName(scratch(family_links(family, scratch(sets, "member-sets"), scratch), "links"))
+        labels = scratch.note(components(links))
+    return labels
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of each document."""
+    texts = _texts(docs, id_col, text_col)
+    scratch, lasting = Scratch(), Scratch()
+    found = lasting(document_sets(texts, width), "shingle-sets")
+    nodes = found.where("set_id is not null").groupBy("set_id")
+    nodes = nodes.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = scratch(nodes, "shingle-nodes")
+    first_part, n_parts, parts = parts_of_bands(nodes)
+    met = scratch(meetings(packed_signatures(texts, first_part, n_parts, width), first_part, parts), "meetings")
+    labels = _classes(met, texts, nodes, scratch, width)
+
+    of = labels.select(F.col("node").alias("set_id"), "component")
+    several = nodes.select("set_id", "doc_id", "copies").join(broadcast_if_small(of, BROADCAST_ROWS), "set_id", "left").where("component is not null or copies > 1")
+    several = scratch(several.select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component")), "classes-of-several")
+    least = scratch(several.groupBy("component").agg(F.min("doc_id").alias("component_id")), "classes")
+    classes = lasting(several.join(broadcast_if_small(least, BROADCAST_ROWS), "component").select("set_id", "component_id", F.lit(True).alias("known")), "set-classes")
+    scratch.drop()
+    out = found.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 SQL = """
