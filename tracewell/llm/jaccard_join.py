@@ -10,8 +10,8 @@ share a signature for each such cell or pair of cells that isn't empty. How many
 set (its `spare`); a set with no spare is dealt to cells again under another seed, so that no link hangs on luck.
 Signatures travel packed, six bytes and a share of their set's identity each, to parts of one instance.
 
-What meets is a bucket of nodes. Equal buckets of a part are one packed row with a count, and parts also sum up how
-often each node meets others. A node that meets others less often than it has to spare has no partner at all and
+What meets is a bucket of nodes, a packed row; equal buckets are counted, combined before they are shuffled. Parts also sum
+up how often each node meets others. A node that meets others less often than it has to spare has no partner at all and
 leaves. Buckets never give all their pairs: each node is compared with the bucket's pivot, the node that
 meets most others and so the likeliest centre of near copies, and links are closed to classes. Only buckets that
 still hold several classes go on. Up to BUCKET nodes, they pair nodes of different classes. Larger ones of one pivot
@@ -266,7 +266,7 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meetings(packed: DataFrame, first_part: np.ndarray, parts: int) -> DataFrame:
-    """Rows of three kinds: 0, nodes that meet in `times` signatures of a part, packed; 1, some nodes of a large bucket, packed;
+    """Rows of three kinds: 0, nodes that meet in a signature, packed; 1, some nodes of a large bucket, packed;
     2, a node, how often it meets others in a part (times), with how many (weight), its spare and size."""
     names = ["kind", "bucket", "band", "members", "times", "weight", "spare", "n"]
 
@@ -308,13 +308,9 @@ def meetings(packed: DataFrame, first_part: np.ndarray, parts: int) -> DataFrame
                 at = np.repeat(several, length)
                 if at.any():
                     m, sizes = node[at], length[several]
-                    begin = np.cumsum(sizes) - sizes
                     meets += np.bincount(m, minlength=len(ids))
                     weight += np.bincount(m, np.repeat(sizes, sizes), len(ids)).astype(np.int64)
-                    for k in np.unique(sizes):  # equal buckets of k nodes are one row
-                        table = m[begin[sizes == k][:, None] + np.arange(k)]
-                        kinds, times = np.unique(table, axis=0, return_counts=True)
-                        yield rows(0, np.zeros(len(kinds), np.uint64), np.full(len(kinds), k), ids[kinds.reshape(-1)], times)
+                    yield rows(0, np.zeros(len(sizes), np.uint64), sizes, ids[m], 1)
             met = np.flatnonzero(meets)
             if len(met):
                 yield rows(2, np.zeros(len(met), np.uint64), np.ones(len(met), np.int64), ids[met], meets[met], weight[met], spare[met], n[met])
@@ -585,7 +581,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = scratch(several.groupBy("component").agg(F.min("doc_id").alias("component_id")), "classes")
     classes = lasting(several.join(broadcast_if_small(least, BROADCAST_ROWS), "component").select("set_id", "component_id", F.lit(True).alias("known")), "set-classes")
     scratch.drop()
-    out = found.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
+    out = found.select("doc_id", "n_shingles", "set_id").join(broadcast_if_small(classes, BROADCAST_ROWS), "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
