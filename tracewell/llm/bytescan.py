@@ -12,6 +12,8 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are looked at together where numbers of eight bytes each are made of them; longer runs are hashed in pieces.
+_BLOCK = 1 << 18
 _powers = np.ones(1, np.uint64)
 
 
@@ -83,21 +85,42 @@ class Words:
         return run_hashes(_LOWER[self.data] if lower else self.data, self.start, self.end)
 
 
+def counts_before(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of mask are set before each of the places at, which stand in order."""
+    out, total = np.empty(len(at), np.int64), 0
+    edge = np.searchsorted(at, np.arange(0, len(mask) + _BLOCK, _BLOCK))
+    for k in range(len(edge) - 1):
+        block, own = mask[k * _BLOCK : (k + 1) * _BLOCK], at[edge[k] : edge[k + 1]] - k * _BLOCK
+        out[edge[k] : edge[k + 1]] = total + np.concatenate([[0], np.cumsum(block, dtype=np.int32)])[own]
+        total += int(np.count_nonzero(block))
+    out[edge[-1] :] = total
+    return out
+
+
 def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte runs (start, end), which don't overlap and stand in order; an empty run has hash 0's."""
     length = end - start
     out = np.zeros(len(start), np.uint64)
-    full = length > 0
-    if full.any():
-        ls = length[full]
-        first = np.cumsum(ls) - ls
-        within = np.arange(int(ls.sum())) - np.repeat(first, ls)
-        at = within + np.repeat(start[full], ls)
-        terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers(int(ls.max()))[within]
-        out[full] = np.add.reduceat(terms, first)
+    full = np.flatnonzero((length > 0) & (length <= _BLOCK))
+    covered = np.cumsum(length[full])
+    for own in np.split(full, np.searchsorted(covered, np.arange(_BLOCK, covered[-1], _BLOCK))) if len(full) else ():
+        if len(own):
+            out[own] = _sums(data, start[own], length[own])
+    for i in np.flatnonzero(length > _BLOCK):
+        cut = np.append(np.arange(start[i], end[i], _BLOCK), end[i])
+        parts = np.array([_sums(data, cut[k : k + 1], cut[k + 1 : k + 2] - cut[k])[0] for k in range(len(cut) - 1)], np.uint64)
+        out[i] = (mix(parts) * powers(len(parts))).sum()
     return mix(out ^ (length.astype(np.uint64) << np.uint64(40)))
 
 
+def _sums(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The polynomial of each byte run in the hash base."""
+    first = np.cumsum(length) - length
+    within = np.arange(int(length.sum())) - np.repeat(first, length)
+    terms = (data[within + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[within]
+    return np.add.reduceat(terms, first)
+
+
 def windows(hashes: np.ndarray, per_doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, hash) of each window of `width` words inside one text."""
     n = len(hashes)

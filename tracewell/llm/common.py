@@ -32,17 +32,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of tables that were written and not deleted yet.
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [w for w in _written if os.path.basename(w) != os.path.basename(folder)]
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files under a table that `materialise` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    folders = {os.path.dirname(f) for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def drop_all_but(docs: DataFrame) -> None:
+    """Delete every table written so far in this process that docs doesn't read."""
+    if _written:
+        read = {os.path.basename(os.path.dirname(f)) for f in docs.inputFiles()}
+        for folder in [w for w in _written if os.path.basename(w) not in read]:
+            _delete(docs.sparkSession, folder)
 
 
 class Scratch:

@@ -6,7 +6,8 @@ wherever they lie. A document's recipe is the ordered list of its chunks' SHA-25
 its text. Only recipes shared by several documents are looked at again: their chunks, each once, are
 grouped by digest, and where one digest stands for several contents its identifier gets the content's
 ordinal, so that an identifier is verified to mean one content. Documents are equal if their verified
-identifier lists are. Texts of documents that share no recipe never move.
+identifier lists are. Texts of documents that share no recipe don't move while the ids of those that do are broadcast,
+BROADCAST_IDS at most; beyond that, ids and texts are joined by a shuffle.
 
 Defined cases: a null text is equal to an empty one (its recipe has no chunk); of rows with the largest doc_id
 all stay (repeated rows); a null doc_id is less than any other; an empty table gives no rows; further columns are
@@ -18,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import broadcast_if_small, materialise
 
 #: Chunk bounds in characters and the letters before which a chunk may end.
 MIN_CHUNK, MAX_CHUNK, CUT_BEFORE = 1024, 8192, "a-eA-E"
+BROADCAST_IDS = 2_000_000
 
 
 def chunks(text: Column) -> Column:
@@ -57,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(recipes(docs, id_col, text_col, digest_bytes), "recipes")
     shared = rows.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1").select("recipe")
     suspects = materialise(rows.join(materialise(shared, "shared-recipes"), "recipe", "left_semi").select("doc_id").distinct(), "suspects")
-    texts = _texts(docs, id_col, text_col).join(suspects, "doc_id", "left_semi")
+    texts = _texts(docs, id_col, text_col).join(broadcast_if_small(suspects, BROADCAST_IDS), "doc_id", "left_semi")
 
     # each distinct chunk of these documents once, under its digest
     contents = texts.select(F.explode(F.array_distinct(chunks(F.col("text")))).alias("chunk")).distinct()

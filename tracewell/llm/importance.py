@@ -1,9 +1,9 @@
 """Importance resampling: documents drawn by how much likelier a target model makes them than the raw corpus does.
 
 Two generative models over hashed word unigrams and bigrams, BUCKETS numbers each: the target's from the documents
-labelled good, the raw one's from all documents. A document's weight is its mean log ratio per n-gram;
-with Gumbel noise of its id added, the k greatest keys are a sample without replacement in proportion to exp(weight
-* scale). The k-th key is found by histograms of the keys, refined where the k-th lies, and never by moving rows to one
+labelled good, the raw one's from all documents. A document's weight is the log of its importance ratio, the sum of its
+n-grams' log ratios; with Gumbel noise of its id added, the k greatest keys are a sample without replacement in proportion
+to that ratio. Options temper it: `mean` divides the weight by the number of n-grams, `scale` multiplies it. The k-th key is found by histograms of the keys, refined where the k-th lies, and never by moving rows to one
 place.
 
 Defined cases: a null or empty text has weight 0; ties of keys go to the lower doc_id, and rows of equal key and id stand or fall
@@ -24,8 +24,8 @@ from tracewell.llm.bytescan import Words, mix, slices, text_buffers, windows
 from tracewell.llm.common import materialise
 
 BUCKETS = 10_000
-#: Share of the documents drawn, weight of the log ratio against the noise, and seed of the noise.
-SHARE, SCALE, SEED = 0.8, 20.0, 42
+#: Share of the documents drawn, and seed of the noise.
+SHARE, SEED = 0.8, 42
 #: Rows among which the last places are settled by a sort.
 SETTLE = 10_000
 #: Target ids that are broadcast at most; beyond that the join is shuffled.
@@ -104,7 +104,7 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
 
 
 def importance_resample(
-    docs: DataFrame, labels: DataFrame, share: float = SHARE, scale: float = SCALE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = SEED, mean: bool = False, scale: float = 1.0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, weight, key, kept of each document; labels: (doc_id, quality), all rows of quality 1 are the target."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
@@ -121,7 +121,8 @@ def importance_resample(
             for i, j in slices(offsets):
                 bucket, doc = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 total, n = np.bincount(doc, ratio[bucket], j - i), np.bincount(doc, minlength=j - i)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(total / np.maximum(n, 1))], ["doc_id", "weight"])
+                weight = total / np.maximum(n, 1) if mean else total
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(weight)], ["doc_id", "weight"])
 
     weights = texts.mapInArrow(weigh, "doc_id long, weight double")
     keyed = materialise(weights.withColumn("key", scale * F.col("weight") + gumbel(seed, F.coalesce("doc_id", F.lit(-1)))), "importance-keys")

@@ -2,9 +2,11 @@
 
 Texts fall apart into words (a run of space marks and what follows it), which no piece of the vocabulary
 crosses. Words not seen before are encoded together: all their symbols lie in one flat numpy array; in each
-round the minimum pair rank of each word is found by a segmented minimum, the leftmost pair of that rank
-is merged in all words at once, and the arrays are compacted, until no pair is left. One merge per word
-and round is what the library's priority queue does, so the ids are the library's.
+round the minimum pair rank of each word is found by a segmented minimum, its pairs of that rank are merged from the
+left, in all words at once, and the arrays are compacted, until no pair is left. A word's merges of a round
+end with the first that brings about a pair of lower rank, which the library's priority queue would take next, so
+the ids are the library's. A round costs as much as the symbols left; words of over LONG_WORD characters, where rounds
+are many, go through a heap of pairs, in n log n steps.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; any code point works, by byte
 pieces where the vocabulary lacks it; repeated rows give repeated results; an empty table gives no rows;
@@ -14,6 +16,7 @@ further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +32,8 @@ from tracewell.llm.token_output import id_lists
 
 MARK = "▁"
 _NONE = np.iinfo(np.int64).max
+#: Characters of a word from which on its merges come from a heap.
+LONG_WORD = 2000
 
 
 class MergeTable:
@@ -57,6 +62,13 @@ class MergeTable:
         self.ranks = np.append(np.array(ranks, np.int64)[by_key], _NONE)
         self.merged = np.append(np.array(merged, np.int64)[by_key], -1)
         self.chars = {s: i for s, i in symbols.items() if len(s) == 1}
+        self.pairs: dict[int, tuple[int, int]] | None = None
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, place in the table) of pairs of symbols; _NONE where they don't merge."""
+        pair = np.where((left >= 0) & (right >= 0), left << 32 | right, _NONE)
+        found = np.searchsorted(self.keys, pair)
+        return np.where(self.keys[found] == pair, self.ranks[found], _NONE), found
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, number of ids of each word)."""
@@ -69,14 +81,18 @@ class MergeTable:
         word = np.repeat(np.arange(len(words)), lengths)
         done_word, done_at, done_symbol = [], [], []
         place = np.arange(len(symbol))
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            at = np.flatnonzero(word == i)
+            left, kept = self._by_heap(symbol[at])
+            done_word.append(np.full(len(kept), i))
+            done_at.append(place[at[kept]])
+            done_symbol.append(left)
+        short = lengths[word] <= LONG_WORD
+        symbol, word, place = symbol[short], word[short], place[short]
         while len(symbol):
-            pair = np.full(len(symbol), _NONE)
             same = word[1:] == word[:-1]
-            ok = same & (symbol[1:] >= 0) & (symbol[:-1] >= 0)
-            pair[:-1][ok] = symbol[:-1][ok] << 32 | symbol[1:][ok]
-            found = np.searchsorted(self.keys, pair)
-            hit = self.keys[found] == pair
-            rank = np.where(hit, self.ranks[found], _NONE)
+            rank, found = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int64)
+            rank[:-1], found[:-1] = self._ranks(np.where(same, symbol[:-1], -1), symbol[1:])
             first = np.flatnonzero(np.concatenate([[True], ~same]))
             least = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(symbol)))
@@ -89,7 +105,7 @@ class MergeTable:
             at = np.flatnonzero((rank == np.repeat(least, size)) & alive)
             if not len(at):
                 break
-            at = at[np.concatenate([[True], word[at][1:] != word[at][:-1]])]  # the leftmost of each word
+            at = self._together(at, symbol, word, rank, found)
             symbol[at] = self.merged[found[at]]
             alive[at + 1] = False
             symbol, word, place = symbol[alive], word[alive], place[alive]
@@ -98,6 +114,55 @@ class MergeTable:
         symbol, word = symbol[order], word[order]
         return self._spell(symbol, word, len(words))
 
+    def _together(self, at: np.ndarray, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Those of the places at, all of their word's least rank, that can be merged in one round."""
+        chain = np.concatenate([[True], at[1:] != at[:-1] + 1])  # of pairs that overlap, every second one
+        start = np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - start) % 2 == 0]
+        new, n = self.merged[found[at]], len(symbol)
+        after = np.minimum(at + 2, n - 1)
+        right = np.where((at + 2 < n) & (word[after] == word[at]), symbol[after], -1)
+        before = np.maximum(at - 1, 0)
+        left = np.where((at > 0) & (word[before] == word[at]), symbol[before], -1)
+        next_to = np.concatenate([[False], at[1:] == at[:-1] + 2]) & (left >= 0)
+        left = np.where(next_to, new, left)  # the neighbour has just been merged to the same piece
+        better = np.minimum(self._ranks(left, new)[0], self._ranks(new, right)[0]) < rank[at]
+        ahead = np.cumsum(better) - better
+        begin = np.concatenate([[True], word[at][1:] != word[at][:-1]])
+        return at[ahead == ahead[begin][np.cumsum(begin) - 1]]
+
+    def _by_heap(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols left, their places) of one word."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        get, n = self.pairs.get, len(symbol)
+        rank = self._ranks(symbol[:-1], symbol[1:])[0]
+        at = np.flatnonzero(rank < _NONE)
+        heap = (rank[at] << 32 | at).tolist()
+        heapq.heapify(heap)
+        symbols, after, before = symbol.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        gone = bytearray(n)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if gone[i] or j >= n:
+                continue
+            pair = get(symbols[i] << 32 | symbols[j]) if symbols[i] >= 0 and symbols[j] >= 0 else None
+            if pair is None or pair[0] != top >> 32:
+                continue  # one of the two has been merged since
+            symbols[i], gone[j] = pair[1], 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if symbols[k] >= 0 and (pair := get(symbols[i] << 32 | symbols[k])):
+                    heapq.heappush(heap, pair[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and symbols[h] >= 0 and (pair := get(symbols[h] << 32 | symbols[i])):
+                heapq.heappush(heap, pair[0] << 32 | h)
+        kept = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0)
+        return np.array(symbols, np.int64)[kept], kept
+
     def _spell(self, symbol: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces in place of characters that have no piece."""
         odd = np.flatnonzero((symbol < 0) | (symbol >= self.n))

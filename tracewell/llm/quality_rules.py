@@ -3,13 +3,15 @@
 Each document gets counts from one scan of its bytes. Each group's distribution of a signal is kept as a
 relative-error quantile sketch: counts of logarithmic buckets, which merge by adding, so partial sketches are
 built before the shuffle, a hot source costs no more than a rare one, and the result doesn't depend on how
-rows are dealt. A threshold is an upper fence of the group, q75 + max(FENCE * (q75 - q25), slack): the slack
-is the least distance that counts as odd, so a group of even, clean documents loses none for being even. Groups of under MIN_GROUP documents
-use the merged sketch of their language, and languages of under MIN_GROUP that of all documents. The
-thresholds, a few numbers per group, are joined back to filter.
+rows are dealt. A threshold is an upper fence of the group, high + FENCE * (high - median), where `high` is an upper
+quantile of the group: the signal's own, as marks of layout and long words are rare in ordinary text, while single
+repeated lines and phrases aren't. Where nine documents in ten have no symbol at all, one symbol is over the fence;
+where every second has some, it takes many. Groups of under MIN_GROUP documents use the merged sketch of their
+language, and languages of under MIN_GROUP that of all documents. The thresholds, a few numbers per group, are joined
+back to filter.
 
 Defined cases: a null text has no words (and fails the base rule); a null language or source is a group
-of its own; repeated rows are judged alike; an empty table gives no rows; further columns are ignored, whatever
+of its own; a very long text is scanned whole, with some 5 bytes of memory a byte and 100 a word; repeated rows are judged alike; an empty table gives no rows; further columns are ignored, whatever
 their names.
 """
 
@@ -23,41 +25,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.bytescan import Words, run_hashes, slices, text_buffers, windows
+from tracewell.llm.bytescan import Words, counts_before, run_hashes, slices, text_buffers, windows
 from tracewell.llm.common import materialise
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Signals in parts per 10,000 (long_words in hundredths of a character), as SQL over the counts, with the slack of each.
+#: Signals in parts per 10,000 (long_words in hundredths of a character), as SQL over the counts, with the upper quantile of each.
 SIGNALS = {
-    "symbols": ("10000 * n_symbols div greatest(n_words, 1)", 1000),
-    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", 4000),
-    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", 4500),
-    "long_words": ("100 * word_chars div greatest(n_words, 1)", 250),
+    "symbols": ("10000 * n_symbols div greatest(n_words, 1)", 0.9),
+    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", 0.98),
+    "repeats": ("10000 * n_repeat_words div greatest(n_words, 1)", 0.98),
+    "long_words": ("100 * word_chars div greatest(n_words, 1)", 0.9),
 }
 FENCE = 3.0
 MIN_GROUP = 100
 #: Buckets per unit of natural logarithm: a quantile is off by half a per cent at most.
 RESOLUTION = 100
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[list(b"#*$%&|<>")] = 1
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def count_signals(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """COUNTS and the number of lines with a word, for each text."""
     n = len(offsets) - 1
     w = Words(data, offsets)
-    at = lambda x: np.concatenate([[0], np.cumsum(x)])
-    points = at((data & 0xC0 != 0x80) & w.inside)
-    symbols = at(_SYMBOL[data])
-    word_chars, n_symbols = (x[offsets[1:]] - x[offsets[:-1]] for x in (points, symbols))
+    word_chars = np.diff(counts_before((data & 0xC0 != 0x80) & w.inside, offsets))
+    n_symbols = np.diff(counts_before(_SYMBOL[data], offsets))
 
     # lines: a text of k line ends has k + 1; those without a word don't count
     ends = np.flatnonzero(data == 0x0A)
     edges = np.union1d(offsets, ends + 1)
     start, end = edges[:-1], edges[1:]
     end = np.where((end > start) & (data[np.maximum(end - 1, 0)] == 0x0A), end - 1, end)
-    inside = at(w.inside)
-    full = inside[end] > inside[start]
+    full = counts_before(w.inside, end) > counts_before(w.inside, start)
     start, end = start[full], end[full]
     line_doc = np.searchsorted(offsets, start, "right") - 1
     hashes = run_hashes(data, start, end)
@@ -124,7 +123,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         # each sketch as one sorted array, of at most a few thousand buckets
         one = merged.groupBy("signal", *keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("total"))
 
-        def quantile(q: float) -> Column:
+        def quantile(q: Column) -> Column:
             start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("at"))
             step = lambda a, x: F.struct(
                 (a["seen"] + x["n"]).alias("seen"),
@@ -132,9 +131,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
             )
             return _from_bucket(F.aggregate("b", start, step, lambda a: a["at"]))
 
-        q1, q3 = quantile(0.25), quantile(0.75)
-        slack = reduce(lambda c, s: F.when(F.col("signal") == s, F.lit(float(SIGNALS[s][1]))).otherwise(c), SIGNALS, F.lit(0.0))
-        per = one.select("signal", *keys, "total", (q3 + F.greatest(FENCE * (q3 - q1), slack)).alias("fence"))
+        upper = reduce(lambda c, s: F.when(F.col("signal") == s, F.lit(SIGNALS[s][1])).otherwise(c), SIGNALS, F.lit(1.0))
+        high, median = quantile(upper), quantile(F.lit(0.5))
+        per = one.select("signal", *keys, "total", (high + FENCE * (high - median)).alias("fence"))
         return per.groupBy(*keys).agg(F.max("total").alias("total"), *(F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(s) for s in SIGNALS))
 
     def merge(keys: list[str]) -> DataFrame:
@@ -197,13 +196,12 @@ cu AS (
   SELECT *, sum(n) OVER (PARTITION BY level, signal, lang, source ORDER BY bucket) AS seen,
          sum(n) OVER (PARTITION BY level, signal, lang, source) AS total FROM lv),
 q AS (
-  SELECT level, signal, lang, source, max(total) AS total, min(bucket) FILTER (seen >= 0.25 * total) AS b1, min(bucket) FILTER (seen >= 0.75 * total) AS b3
+  SELECT level, signal, lang, source, max(total) AS total, min(bucket) FILTER (seen >= 0.5 * total) AS bm,
+         min(bucket) FILTER (seen >= CASE signal {" ".join(f"WHEN '{s}' THEN {q}" for s, (_, q) in SIGNALS.items())} END * total) AS bh
   FROM cu GROUP BY ALL),
 e AS (
-  SELECT *, CASE WHEN b1 = 0 THEN 0 ELSE exp(b1 / {RESOLUTION}) END AS q1, CASE WHEN b3 = 0 THEN 0 ELSE exp(b3 / {RESOLUTION}) END AS q3 FROM q),
-f AS (
-  SELECT level, signal, lang, source, total,
-         q3 + greatest({FENCE} * (q3 - q1), CASE signal {" ".join(f"WHEN '{s}' THEN {g}" for s, (_, g) in SIGNALS.items())} END) AS fence FROM e),
+  SELECT *, CASE WHEN bm = 0 THEN 0 ELSE exp(bm / {RESOLUTION}) END AS med, CASE WHEN bh = 0 THEN 0 ELSE exp(bh / {RESOLUTION}) END AS high FROM q),
+f AS (SELECT level, signal, lang, source, total, high + {FENCE} * (high - med) AS fence FROM e),
 g AS (
   SELECT a.signal, a.lang, a.source,
          CASE WHEN a.total >= {MIN_GROUP} THEN a.fence WHEN b.total >= {MIN_GROUP} THEN b.fence ELSE o.fence END AS fence

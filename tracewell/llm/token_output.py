@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise, vocabulary
+from tracewell.llm.common import broadcast_if_small, materialise, vocabulary
 from tracewell.llm.encoders import library_encoder
 
+#: Parts of a block when their sizes are summed up, and part rows that are broadcast at most.
+BLOCK, BROADCAST_ROWS = 1024, 2_000_000
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, start_in_part long"
 
 
@@ -96,7 +98,8 @@ def crc_of_lists(ids: pa.Array) -> np.ndarray:
 def token_digest(tokens: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 from read token files.
 
-    The start of a part is the sum of the parts before it: one row per part, summed by a window.
+    The start of a part is the sum of the parts before it, one row a part, summed by windows within blocks of parts
+    and over blocks.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,16 +109,19 @@ def token_digest(tokens: DataFrame) -> DataFrame:
                 ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"],
             )
 
+    # two levels: sums within blocks of BLOCK parts, and one row a block for the sums of the blocks before
     totals = materialise(tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")), "token-parts")
-    earlier = totals.select(F.col("part").alias("p"), F.col("n").alias("m"))
-    # parts number as many as the range partitions: the table is small by its construction
-    before = (
-        totals.join(F.broadcast(earlier), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
-    )
+    totals = totals.withColumn("block", F.floor(F.col("part") / BLOCK))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("block", F.coalesce(F.sum("m").over(earlier(Window.orderBy("block"))), F.lit(0)).alias("of_blocks"))
+    within = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("block").orderBy("part"))), F.lit(0))
+    before = totals.select("part", "block", within.alias("of_parts")).join(blocks, "block")
+    before = materialise(before.select("part", (F.col("of_blocks") + F.col("of_parts")).alias("before")), "token-starts")
     rows = tokens.select("doc_id", "part", "start_in_part", "ids").mapInArrow(
         digest, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
     )
-    return rows.join(F.broadcast(before), "part").select(
+    return rows.join(broadcast_if_small(before, BROADCAST_ROWS), "part").select(
         "doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"
     )
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import broadcast_if_small, materialise
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,8 @@ RULES = [
     UrlRule("block", "org", "/es/"),
 ]
 #: Listed URLs per block of 256 bits: about 20 bits each, hence some 1 in 10,000 false hits.
+#: Listed URLs that are broadcast at most.
+BROADCAST_URLS = 1_000_000
 PER_BLOCK = 12
 WORDS = 8
 
@@ -109,7 +111,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[UrlRule] | None
     possible = reduce(lambda a, b: a & b, (F.col(f"w{i}").bitwiseAND(bit_of(F.col("canonical"), i)) != 0 for i in range(WORDS)))
     hits = probed.where(possible).select("canonical").join(listing, "canonical", "left_semi").withColumn("listed", F.lit(True))
     hits = materialise(hits, "listed-hits")
-    joined = rows.join(hits, "canonical", "left")
+    # URLs without a host match nothing; keys of their own keep them from one task where the join is shuffled
+    key = F.coalesce("canonical", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    joined = rows.withColumn("key", key).join(broadcast_if_small(hits.withColumnRenamed("canonical", "key"), BROADCAST_URLS), "key", "left")
     found = F.coalesce("listed", F.lit(False))
     return joined.select(
         "page_id", "host", "path", "rule",
