@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all documents its predecesso
 the columns of `documents`. A stage that only decides reads the texts where they lie: the rows it keeps are
 joined back, broadcast below a counted bound and shuffled beyond it. A row is decided on by itself, also where
 doc_id is null or several rows have the same: such documents are first written with an id of their own a row.
+
+A stage's result reads tables that the stage wrote; it is to be written before the next stage is called, which deletes
+what the stages before have left and its own input doesn't read.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import exact_dedup, jaccard_join, packing, pii, quality_rules
-from tracewell.llm.common import broadcast_if_small, materialise
+from tracewell.llm.common import broadcast_if_small, drop_all_but, materialise
 
 BROADCAST_IDS = 2_000_000
 
@@ -33,12 +36,14 @@ def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, each by its own text."""
+    drop_all_but(docs)
     rows = _rows(docs)
     return _only(rows, quality_rules.quality_rules(rows, "row__").where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: that of the greatest doc_id, a null one only where there is no other."""
+    drop_all_but(docs)
     rows = _rows(docs)
     groups = exact_dedup.exact_dedup(rows, "row__").select(F.col("doc_id").alias("row__"), F.col("keep_id").alias("group__"))
     last = F.max(F.struct(F.col("doc_id").cast("long").alias("id"), "row__"))
@@ -47,6 +52,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that of the least doc_id, a null one only where there is no other."""
+    drop_all_but(docs)
     rows = _rows(docs)
     groups = jaccard_join.near_duplicates(rows, "row__").select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("id"), "row__"))
@@ -59,11 +65,13 @@ def _of_groups(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_all_but(docs)
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_all_but(docs)
     return packing.pack(docs, packing.default_tokenizer(), digest=True)
 
 
