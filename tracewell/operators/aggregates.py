@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.sources.ledgers import both_sides
+from tracewell.session import cut
+from tracewell.sources.ledgers import sides_in_one_scan
 
 
 def account_flow(txn: DataFrame) -> DataFrame:
     """Inflow, outflow, transfers and distinct counterparties (itself apart) of each account."""
     money = lambda d: F.round(F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0.0)), 2)
-    return both_sides(txn).groupBy("account").agg(
+    return sides_in_one_scan(txn).groupBy("account").agg(
         money("in").alias("inflow"), money("out").alias("outflow"), F.count("*").alias("n"),
         F.countDistinct(F.when(F.col("other") != F.col("account"), F.col("other"))).alias("partners"),
     )
@@ -34,7 +35,7 @@ def flow_between(txn: DataFrame, kinds: DataFrame, top: int = 50) -> DataFrame:
 
 def monthly_totals(txn: DataFrame) -> DataFrame:
     out = F.col("direction") == "out"
-    return both_sides(txn).groupBy("account", F.date_format("ts", "yyyy-MM").alias("month")).agg(
+    return sides_in_one_scan(txn).groupBy("account", F.date_format("ts", "yyyy-MM").alias("month")).agg(
         F.round(F.sum(F.when(~out, F.col("amount")).otherwise(0.0)), 2).alias("inflow"), F.round(F.sum(F.when(out, F.col("amount")).otherwise(0.0)), 2).alias("outflow"), F.count("*").alias("n")
     )
 
@@ -43,12 +44,12 @@ def money_flow_share(txn: DataFrame) -> DataFrame:
     """Each counterparty's share of what an account sends; self-transfers apart."""
     pairs = txn.where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum("amount"), 2).alias("total"), F.count("*").alias("n"))
     whole = pairs.groupBy("src").agg(F.sum("total").alias("whole"))
-    return pairs.join(whole, "src").select("src", "dst", "total", "n", F.round(100 * F.col("total") / F.col("whole"), 4).alias("share"))
+    return pairs.join(whole, "src").select("src", "dst", "total", "n", F.round(F.try_divide(100 * F.col("total"), F.col("whole")), 4).alias("share"))
 
 
 def recent_velocity(txn: DataFrame, weeks: int = 1, min_ratio: float = 1.2) -> DataFrame:
     """Weekly rate of the last weeks against that of the time before, per account."""
-    rows = both_sides(txn).withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
+    rows = sides_in_one_scan(txn).withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")))
     ends = rows.groupBy("account").agg(F.max("t").alias("last"), F.min("t").alias("first"))
     late = F.col("t") > F.col("last") - weeks * 604800
     counts = rows.join(ends, "account").groupBy("account", "first", "last").agg(F.sum(late.cast("int")).alias("n_recent"), F.sum((~late).cast("int")).alias("n_before"))
@@ -81,14 +82,20 @@ def amount_percentiles(txn: DataFrame) -> DataFrame:
     return txn.groupBy("channel").agg(of(0.5).alias("p50"), of(0.75).alias("p75"), of(0.95).alias("p95"))
 
 
+def counts_below(rows: DataFrame, order: str, count: str, name: str) -> DataFrame:
+    """rows with the sum of `count` over all rows of a lesser `order`, by ranges of it: a window within each, one row a range above."""
+    dealt = cut(rows.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("range").agg(F.sum(count).alias("m"))
+    ranges = ranges.select("range", F.coalesce(F.sum("m").over(before(Window.orderBy("range"))), F.lit(0)).alias("earlier"))  # a row a partition
+    within = F.coalesce(F.sum(count).over(before(Window.partitionBy("range").orderBy(order))), F.lit(0))
+    return dealt.withColumn("within", within).join(F.broadcast(ranges), "range").withColumn(name, F.col("earlier") + F.col("within")).drop("range", "within", "earlier")
+
+
 def ranking_quality(scored: DataFrame, threshold: float) -> DataFrame:
     """Confusion counts, precision, recall and rank AUC of (label, score)."""
     counts = scored.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    # ranks over distinct scores: a row per value, never per row
-    from pyspark.sql import Window
-
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    ranked = counts_below(counts, "score", "n", "below")
     hit = F.col("score") >= threshold
     total = ranked.agg(
         F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("all"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.sources.ledgers import both_sides
+from tracewell.session import cut
+from tracewell.sources.ledgers import sides_in_one_scan
 
 
 def collapsed(txn: DataFrame) -> DataFrame:
@@ -23,25 +24,46 @@ def centrality(txn: DataFrame) -> DataFrame:
     degree = degree.withColumn("product", F.col("out_partners") * F.col("in_partners"))
     most = F.broadcast(degree.agg(F.max("product").alias("most")))
     rows = degree.join(flow, "account", "left").join(total).join(most)
-    return rows.select("account", "out_partners", "in_partners", F.round(F.coalesce("inflow", F.lit(0.0)) / F.col("all"), 9).alias("pagerank"), F.round(F.coalesce(F.try_divide("product", "most"), F.lit(0.0)), 9).alias("betweenness"))
+    return rows.select("account", "out_partners", "in_partners", F.round(F.coalesce(F.try_divide("inflow", "all"), F.lit(0.0)), 9).alias("pagerank"), F.round(F.coalesce(F.try_divide("product", "most"), F.lit(0.0)), 9).alias("betweenness"))
 
 
 def roles(txn: DataFrame) -> DataFrame:
-    """SOURCE, SINK, MULE or NORMAL by the share of inflow, against the third quartiles of the flows."""
-    flows = both_sides(txn).groupBy("account").agg(
-        F.round(F.sum(F.when(F.col("direction") == "in", F.col("amount")).otherwise(0.0)), 2).alias("inflow"),
-        F.round(F.sum(F.when(F.col("direction") == "out", F.col("amount")).otherwise(0.0)), 2).alias("outflow"),
+    """SOURCE, SINK, MULE or NORMAL with a confidence, by the shares of in- and outflow against their third quartiles.
+
+    The quartile of all shares is found from counts of shares rounded to five digits, so no task holds them all;
+    accounts without any flow are NORMAL.
+    """
+    money = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0.0))
+    flows = sides_in_one_scan(txn).groupBy("account").agg(
+        F.round(money("in"), 2).alias("inflow"), F.round(money("out"), 2).alias("outflow"),
         F.sum((F.col("direction") == "in").cast("int")).alias("n_in"), F.sum((F.col("direction") == "out").cast("int")).alias("n_out"),
     )
-    bounds = F.broadcast(flows.agg(F.percentile("inflow", F.lit(0.75)).alias("p_in"), F.percentile("outflow", F.lit(0.75)).alias("p_out")))
-    share = F.try_divide("inflow", F.col("inflow") + F.col("outflow"))
-    role = (
-        F.when((F.col("outflow") > F.col("p_out")) & (share < 0.3), "SOURCE")
-        .when((F.col("inflow") > F.col("p_in")) & (share > 0.7), "SINK")
-        .when(share.between(0.3, 0.7) & (F.col("n_in") >= 2) & (F.col("n_out") >= 2), "MULE")
-        .otherwise("NORMAL")
-    )
-    return flows.join(bounds).select("account", "inflow", "outflow", "n_in", "n_out", role.alias("role"))
+    total = F.col("inflow") + F.col("outflow")
+    share = lambda c: F.round(F.coalesce(F.try_divide(c, total), F.lit(0.0)), 5)
+    flows = flows.withColumns({"in_share": share("inflow"), "out_share": share("outflow")})
+    bounds = F.broadcast(quantile_of_counts(flows, "in_share", 0.75, "p_in").join(quantile_of_counts(flows, "out_share", 0.75, "p_out")))
+    source = (F.col("out_share") > F.col("p_out")) & (F.col("in_share") < 0.3)
+    sink = (F.col("in_share") > F.col("p_in")) & (F.col("out_share") < 0.3)
+    mule = F.col("in_share").between(0.3, 0.7) & (F.col("n_in") >= 2) & (F.col("n_out") >= 2)
+    role = F.when(total == 0, "NORMAL").when(source, "SOURCE").when(sink, "SINK").when(mule, "MULE").otherwise("NORMAL")
+    sure = F.when(total == 0, 0.5).when(source, F.least(F.col("out_share") * 1.2, F.lit(1.0))).when(sink, F.least(F.col("in_share") * 1.2, F.lit(1.0)))
+    sure = sure.when(mule, 1 - F.abs(F.col("in_share") - 0.5)).otherwise(0.6)
+    return flows.join(bounds).select("account", "inflow", "outflow", "n_in", "n_out", role.alias("role"), F.round(sure, 3).alias("confidence"))
+
+
+def quantile_of_counts(rows: DataFrame, column: str, q: float, name: str) -> DataFrame:
+    """One row: the interpolated quantile of a column of few distinct values, from a count of each, summed in order."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    one = counts.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("c"), F.sum("n").alias("total"))
+    place = (F.col("total") - 1) * q
+
+    def at(k):
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
+        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["n"] > k), x["v"].cast("double")).otherwise(a["v"]).alias("v"))
+        return F.aggregate("c", start, step, lambda a: a["v"])
+
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    return one.select((low + (high - low) * (place - F.floor(place))).alias(name))
 
 
 def short_cycles(txn: DataFrame, min_ratio: float = 0.0) -> DataFrame:
@@ -53,7 +75,7 @@ def short_cycles(txn: DataFrame, min_ratio: float = 0.0) -> DataFrame:
     three = a.where("s1 < d1").join(b.where("s2 <> d2"), F.col("d1") == F.col("s2")).where("s1 < d2 and d2 <> d1")
     three = three.join(c, (F.col("d2") == F.col("s3")) & (F.col("d3") == F.col("s1")))
     three = three.select(F.lit(3).alias("length"), F.col("s1").alias("n1"), F.col("d1").alias("n2"), F.col("d2").alias("n3"), F.col("t1").alias("first"), F.col("t3").alias("last"))
-    ratio = F.least("first", "last") / F.greatest("first", "last")
+    ratio = F.coalesce(F.try_divide(F.least("first", "last"), F.greatest("first", "last")), F.lit(0.0))
     return two.unionByName(three).withColumn("return_ratio", F.round(ratio, 6)).where(F.col("return_ratio") >= min_ratio).drop("first", "last")
 
 
@@ -62,10 +84,12 @@ def hop_distances(txn: DataFrame, starts: list, radius: int = 2) -> DataFrame:
     spark = txn.sparkSession
     kind = dict(txn.dtypes)["src"]
     steps = txn.select("src", "dst").unionAll(txn.select("dst", "src")).distinct()
+    steps = cut(steps) if radius > 1 else steps
     seen = spark.createDataFrame([(x,) for x in starts], f"account {kind}").distinct().withColumn("hops", F.lit(0))
     for hop in range(1, radius + 1):
         edge = seen.where(F.col("hops") == hop - 1).join(steps, F.col("account") == F.col("src")).select(F.col("dst").alias("account")).distinct()
-        seen = seen.unionByName(edge.join(seen, "account", "left_anti").withColumn("hops", F.lit(hop)))
+        new = edge.join(seen, "account", "left_anti").withColumn("hops", F.lit(hop))
+        seen = seen.unionByName(cut(new) if hop < radius else new)
     return seen
 
 
@@ -75,17 +99,26 @@ def ego_edges(txn: DataFrame, starts: list, radius: int = 2) -> DataFrame:
     return txn.join(near.withColumnRenamed("account", "src"), "src", "left_semi").join(near.withColumnRenamed("account", "dst"), "dst", "left_semi")
 
 
-def temporal_paths(txn: DataFrame, start, depth: int = 3, window_s: int = 6 * 3600) -> DataFrame:
-    """Fund trail: paths of transfers from an account, each leaving where the last arrived, later but within the window, no account twice."""
-    e = txn.where("src <> dst").select("src", "dst", "txn_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    paths = e.where(F.col("src") == start).select(F.array("src", "dst").alias("nodes"), F.col("dst").alias("at"), "t", F.lit(1).alias("depth"), F.col("txn_id").cast("string").alias("trail"))
+def temporal_paths(txn: DataFrame, start, depth: int = 5, window_s: int = 6 * 3600, forward: bool = True) -> DataFrame:
+    """Fund trail: paths of transfers from (or, backward, to) an account, all prefixes, each transfer used once a path.
+
+    Forward, a leg leaves where the last arrived, at the same time or later; backward, it arrives where the last left, at
+    the same time or earlier; a leg lies within window_s of the one before. Self-transfers are left out.
+    """
+    here, there = ("src", "dst") if forward else ("dst", "src")
+    width = window_s * 1_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = txn.where("src <> dst").select(F.col(here).alias("here"), F.col(there).alias("there"), F.col("txn_id").cast("string").alias("id"), (t if forward else -t).alias("t"))
+    legs = e.withColumn("bin", F.floor(F.col("t") / width))
+    paths = e.where(F.col("here") == start).select(F.array("id").alias("trail"), F.col("there").alias("at"), "t", F.lit(1).alias("depth"))
     found = paths
     for d in range(2, depth + 1):
-        step = paths.select("nodes", "at", F.col("t").alias("t0"), "trail").join(e, F.col("at") == F.col("src"))
-        step = step.where((F.col("t") > F.col("t0")) & (F.col("t") - F.col("t0") <= window_s * 1_000_000) & ~F.array_contains("nodes", F.col("dst")))
-        paths = step.select(F.array_append("nodes", F.col("dst")).alias("nodes"), F.col("dst").alias("at"), "t", F.lit(d).alias("depth"), F.concat_ws(">", "trail", "txn_id").alias("trail"))
+        bins = F.explode(F.array(F.floor(F.col("t0") / width), F.floor(F.col("t0") / width) + 1)).alias("bin")
+        step = paths.select("at", F.col("t").alias("t0"), "trail").select("*", bins).join(legs.withColumnRenamed("here", "at"), ["at", "bin"])
+        step = step.where((F.col("t") >= F.col("t0")) & (F.col("t") - F.col("t0") <= width) & ~F.array_contains("trail", F.col("id")))
+        paths = cut(step.select(F.array_append("trail", F.col("id")).alias("trail"), F.col("there").alias("at"), "t", F.lit(d).alias("depth")))
         found = found.unionByName(paths)
-    return found.select("depth", "trail", F.col("at").alias("reached"))
+    return found.select("depth", F.array_join("trail", ">").alias("trail"), F.col("at").alias("reached"))
 
 
 def next_hops(txn: DataFrame, window_s: int) -> DataFrame:
@@ -95,12 +128,14 @@ def next_hops(txn: DataFrame, window_s: int) -> DataFrame:
     near = e.join(after, (F.col("dst") == F.col("s2")) & (F.col("t2") > F.col("t")) & (F.col("t2") <= F.col("t") + window_s * 1_000_000))
     near = near.where(F.col("next_dst") != F.col("src"))
     best = near.groupBy("txn_id").agg(F.min(F.struct("t2", "next_id", "amount", "next_amount")).alias("b"))
-    return best.select("txn_id", "b.next_id", F.round(F.col("b.next_amount") / F.col("b.amount"), 6).alias("kept_ratio"))
+    return best.select("txn_id", "b.next_id", F.round(F.try_divide("b.next_amount", "b.amount"), 6).alias("kept_ratio"))
 
 
 def shared_senders(txn: DataFrame, min_shared: int) -> DataFrame:
     """Pairs of targets that several senders have in common."""
     e = txn.where("src <> dst").select("src", "dst").distinct()
+    able = e.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared).select("dst")
+    e = cut(e.join(able, "dst", "left_semi"))  # targets of fewer senders are in no pair
     pairs = e.join(e.select("src", F.col("dst").alias("dst2")), "src").where("dst < dst2")
     return pairs.groupBy("dst", "dst2").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
@@ -110,7 +145,7 @@ def graph_summary(txn: DataFrame) -> DataFrame:
     nodes = txn.select("src").unionAll(txn.select("dst")).agg(F.countDistinct("src").alias("nodes"))
     edges = txn.agg(F.count("*").alias("edges"))
     n, m = F.col("nodes"), F.col("edges")
-    return nodes.join(edges).select("nodes", "edges", F.round(F.try_divide(m.cast("double"), n * (n - 1)), 9).alias("density"), F.round(2 * m / n, 6).alias("mean_degree"))
+    return nodes.join(edges).select("nodes", "edges", F.round(F.try_divide(m.cast("double"), n * (n - 1)), 9).alias("density"), F.round(F.try_divide(2.0 * m, n), 6).alias("mean_degree"))
 
 
 def top_neighbours(txn: DataFrame, k: int = 5) -> DataFrame:

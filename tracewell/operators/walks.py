@@ -14,10 +14,19 @@ from tracewell.session import cut
 
 
 def greedy_chains(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: int = 20) -> DataFrame:
+    """start_id, path, hops, span_s, kept_ratio (last over first amount) of the chains of grown_chains."""
+    hops = (F.size("nodes") - 1).cast("long")
+    path = F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">")
+    return grown_chains(txn, window_s, min_hops, max_hops).select(
+        "start_id", path.alias("path"), hops.alias("hops"), (F.col("span_us") / 1_000_000).cast("long").alias("span_s"), F.round(F.try_divide("last", "first"), 6).alias("kept_ratio")
+    )
+
+
+def grown_chains(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: int = 20) -> DataFrame:
     """Chains of transfers, each followed by the earliest one that leaves its target, ties by txn_id.
 
     A chain begins with a transfer that is nobody's next hop, lies within window_s of it, and comes to no account
-    twice. Returns start_id, path, hops, span_s, kept_ratio (last over first amount) of chains of min_hops at least.
+    twice. Returns start_id, nodes, span_us, first, last, total, n_less (hops that pass on less) of chains of min_hops at least.
     One row a chain goes through each round. Legs are joined by account and time bin of one window, so that a busy
     account's legs aren't read for every path that passes it. Self-transfers and nulls in src, dst, ts or amount are left out.
     """
@@ -31,7 +40,7 @@ def greedy_chains(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: in
     open_paths = cut(
         e.join(followers, "txn_id", "left_anti").select(
             F.col("txn_id").alias("start_id"), F.array("src", "dst").alias("nodes"), F.col("dst").alias("at"),
-            F.col("t").alias("t0"), "t", F.col("amount").alias("first"), F.col("amount").alias("last"),
+            F.col("t").alias("t0"), "t", F.col("amount").alias("first"), F.col("amount").alias("last"), F.col("amount").alias("total"), F.lit(0).alias("n_less"),
         )
     )
     ended = []
@@ -44,20 +53,25 @@ def greedy_chains(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: in
         ended.append(stepped.where("leg is null").drop("leg"))
         open_paths = stepped.where("leg is not null").select(
             "start_id", F.array_append("nodes", F.col("leg.to")).alias("nodes"), F.col("leg.to").alias("at"),
-            "t0", F.col("leg.t").alias("t"), "first", F.col("leg.amount").alias("last"),
+            "t0", F.col("leg.t").alias("t"), "first", F.col("leg.amount").alias("last"), (F.col("total") + F.col("leg.amount")).alias("total"),
+            (F.col("n_less") + (F.col("leg.amount") < F.col("last")).cast("int")).alias("n_less"),
         )
         if open_paths.isEmpty():
             break
     out = open_paths
     for x in ended:
         out = out.unionByName(x)
-    hops = F.size("nodes") - 1
-    span = ((F.col("t") - F.col("t0")) / 1_000_000).cast("long")
-    return out.where(hops >= min_hops).select("start_id", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), hops.cast("long").alias("hops"), span.alias("span_s"), F.round(F.try_divide("last", "first"), 6).alias("kept_ratio"))
+    return out.where(F.size("nodes") > min_hops).select("start_id", "nodes", (F.col("t") - F.col("t0")).alias("span_us"), "first", "last", "total", "n_less")
 
 
 def long_cycles(txn: DataFrame, max_length: int = 5, min_total: float = 0.0) -> DataFrame:
-    """Cycles of up to max_length accounts over pairs that moved min_total at least, one for each set of accounts.
+    """length, cycle (accounts joined by >) of what cycle_nodes finds."""
+    one = cycle_nodes(txn, max_length, min_total)
+    return one.select(F.size("nodes").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+def cycle_nodes(txn: DataFrame, max_length: int = 12, min_total: float = 0.0) -> DataFrame:
+    """nodes: cycles of up to max_length accounts over pairs that moved min_total at least, one for each set of accounts.
 
     Paths grow from a cycle's least account only, on edges left after those that no cycle can hold were taken away.
     The number of paths grows with degree to the power of the length: min_total keeps the graph thin.
@@ -75,8 +89,7 @@ def long_cycles(txn: DataFrame, max_length: int = 5, min_total: float = 0.0) ->
         if length < max_length:
             grown = paths.join(step, "at").where((F.col("to") > F.col("start")) & ~F.array_contains("nodes", F.col("to")))
             paths = cut(grown.select("start", F.array_append("nodes", F.col("to")).alias("nodes"), F.col("to").alias("at")))
-    one = found.groupBy(F.array_sort("nodes").alias("members")).agg(F.min("nodes").alias("nodes"))
-    return one.select(F.size("nodes").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"))
+    return found.groupBy(F.array_sort("nodes").alias("members")).agg(F.min("nodes").alias("nodes")).select("nodes")
 
 
 def components(txn: DataFrame, max_rounds: int = 60) -> DataFrame:

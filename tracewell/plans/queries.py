@@ -6,35 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import aggregates, bandit, detectors, features, graph, rules, sets, walks
+from tracewell.plans.registry import BE, BL, ORACLE, QUERIES, A, E, L, query
 from tracewell.sources.ledgers import accounts, both_sides, events_ledger, orders_ledger, table
 
-L = """L AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS txn_id, o_custkey AS src, l_partkey % (SELECT count(*) FROM customer) AS dst,
-         l_extendedprice AS amount, l_shipdate AS ts, o_orderpriority AS channel, c_nationkey AS from_bank, l_suppkey % 25 AS to_bank,
-         CAST(l_returnflag = 'R' AS INT) AS is_laundering
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
-E = """E AS (
-  SELECT event_id AS txn_id, user_id AS src, (user_id * 7 + event_id) % (SELECT count(DISTINCT user_id) FROM events) AS dst, value AS amount, ts, event_type AS channel
-  FROM events)"""
-B = "B AS (SELECT src AS account, dst AS other, 'out' AS direction, * FROM {0} UNION ALL SELECT dst, src, 'in', * FROM {0})"
-A = "A AS (SELECT c_custkey AS account, c_acctbal AS declared_income, c_mktsegment AS occupation, n_name AS city FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str, *ctes: str):
-    def add(f):
-        QUERIES[name] = f
-        ORACLE[name] = ("WITH " + ", ".join(ctes) + "\n" if ctes else "") + sql.strip()
-        return f
-
-    return add
-
-
-BL, BE = B.format("L"), B.format("E")
-
-
 @query("a10_account_flow", "SELECT account, round(sum(CASE WHEN direction = 'in' THEN amount ELSE 0 END), 2) AS inflow, round(sum(CASE WHEN direction = 'out' THEN amount ELSE 0 END), 2) AS outflow, count(*) AS n, count(DISTINCT other) FILTER (other <> account) AS partners FROM B GROUP BY account", L, BL)
 def account_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.account_flow(orders_ledger(spark, sf_dir))
@@ -49,7 +23,7 @@ def band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p2_split_sum", """
-SELECT src, CAST(day AS VARCHAR) AS day, n, total, round(least(1.0, 0.3 + n / 10.0 * 0.4 + total / 100000.0 * 0.3), 6) AS score
+SELECT src, CAST(day AS VARCHAR) AS day, n, total, round(least(1.0, 0.3 + n / 10.0 * 0.4 + total / 100000.0 * 0.3), 6) AS score, 'HIGH' AS severity
 FROM (SELECT src, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(amount), 2) AS total FROM L GROUP BY ALL) WHERE n >= 2 AND total >= 90000 AND total < 100000""", L)
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.split_sum(orders_ledger(spark, sf_dir), 90_000, 100_000).withColumn("day", F.col("day").cast("string"))
@@ -59,29 +33,38 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 , r AS (SELECT *, epoch_us(ts) // 1000000 AS t FROM B),
 g AS (SELECT *, coalesce(t - lag(t) OVER w, 0) AS gap, row_number() OVER w AS nth FROM r WINDOW w AS (PARTITION BY account ORDER BY ts, txn_id, direction)),
 m AS (SELECT account, count(*) AS k, max(gap) AS gap_s, arg_min(nth, (-gap, nth)) AS pos FROM g GROUP BY account),
-s AS (SELECT g.account, m.gap_s, count(*) FILTER (nth >= pos) AS n_after, avg(amount) FILTER (nth >= pos) AS a, avg(amount) FILTER (nth < pos) AS b
-      FROM g JOIN m USING (account) WHERE m.k >= 6 AND m.gap_s >= 72000 GROUP BY ALL)
-SELECT account, gap_s, n_after, round(a / b, 6) AS ratio FROM s WHERE n_after >= 5 AND a / b >= 1""", E, BE)
+s AS (SELECT g.account, m.gap_s, count(*) FILTER (nth >= pos) AS n_after, count(*) FILTER (nth < pos) AS n_before, coalesce(sum(amount) FILTER (nth >= pos), 0) AS total,
+      avg(amount) FILTER (nth >= pos) AS a, coalesce(avg(amount) FILTER (nth < pos), 0) AS b
+      FROM g JOIN m USING (account) WHERE m.k > 5 AND m.gap_s >= 72000 GROUP BY ALL),
+q AS (SELECT *, CASE WHEN b > 0 THEN a / b ELSE 2 END AS r, gap_s / 86400 AS d FROM s WHERE n_after >= 5 AND (b <> 0 OR n_before >= 2))
+SELECT account, gap_s, n_after, round(r, 6) AS ratio, round(least(1.0, least(d / 365, 0.3) + least(r / 50, 0.4) + least(total / 5000, 0.3)), 6) AS score,
+       CASE WHEN d > 365 AND r > 20 THEN 'CRITICAL' WHEN d > 180 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM q WHERE r >= 1""", E, BE)
 def dormancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.inactivity_then_burst(events_ledger(spark, sf_dir), 72_000)
+    return detectors.inactivity_then_burst(events_ledger(spark, sf_dir), 72_000, min_ratio=1.0, unit=5000.0)
 
 
 def _fan_sql(me: str, other: str) -> str:
     return f"""
-, r AS (SELECT {me} AS account, ts, count(DISTINCT {other}) OVER w AS others, sum(amount) OVER w AS total FROM E
+, r AS (SELECT {me} AS account, epoch_us(ts) AS t, count(DISTINCT {other}) OVER w AS others FROM E
         WINDOW w AS (PARTITION BY {me} ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 1 DAY FOLLOWING)),
-q AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY others DESC, ts) AS k FROM r)
-SELECT account, others, ts AS starts, round(total, 2) AS total FROM q WHERE k = 1 AND others >= 5"""
+q AS (SELECT * FROM r WHERE others >= 5 QUALIFY row_number() OVER (PARTITION BY account ORDER BY others DESC, t) = 1),
+i AS (SELECT q.account, {other} AS other, epoch_us(ts) AS t, amount FROM q JOIN E ON q.account = {me} WHERE epoch_us(ts) BETWEEN q.t AND q.t + 86400000000),
+f AS (SELECT account, other, min(t) AS a, max(t) AS z, sum(amount) AS x FROM i GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY a, other) AS place FROM f),
+h AS (SELECT account, count(*) AS others, min(a) AS a, max(z) - min(a) AS span, sum(x) AS total, string_agg(CAST(other AS VARCHAR), ',' ORDER BY place) FILTER (place <= 30) AS members FROM p GROUP BY account)
+SELECT account, others, make_timestamp(a) AS starts, round(span / 86400000000, 6) AS span_days, round(total, 2) AS total, members,
+       round(least(1.0, least((others - 5) / 12, 1.0) * 0.4 + least(total / 10000, 1.0) * 0.3 + greatest(0.0, 1 - span / 86400000000) * 0.3), 6) AS score,
+       CASE WHEN others >= 10 THEN 'CRITICAL' WHEN others >= 6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM h"""
 
 
 @query("p6_fan_out", _fan_sql("src", "dst"), E)
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.fan_degree(events_ledger(spark, sf_dir), "1 DAY", 5, "out")
+    return detectors.fan_degree(events_ledger(spark, sf_dir), 1, 5, "out", 10_000.0).withColumn("starts", F.col("starts").cast("timestamp_ntz"))
 
 
 @query("p6_fan_in", _fan_sql("dst", "src"), E)
 def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.fan_degree(events_ledger(spark, sf_dir), "1 DAY", 5, "in")
+    return detectors.fan_degree(events_ledger(spark, sf_dir), 1, 5, "in", 10_000.0).withColumn("starts", F.col("starts").cast("timestamp_ntz"))
 
 
 @query("p8_income_mismatch", """
@@ -95,31 +78,42 @@ def mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p9_peer_zscore", """
 , v AS (SELECT account, sum(amount) AS volume FROM B GROUP BY account),
-r AS (SELECT v.*, occupation, city FROM v JOIN A USING (account) WHERE occupation IS NOT NULL AND city IS NOT NULL),
-p AS (SELECT occupation, city, avg(volume) AS mean, stddev_samp(volume) AS sd, count(*) AS n FROM r GROUP BY ALL)
-SELECT account, occupation, city, round((volume - mean) / greatest(sd, 1.0), 6) AS z FROM r JOIN p USING (occupation, city)
-WHERE n >= 5 AND sd IS NOT NULL AND abs((volume - mean) / greatest(sd, 1.0)) > 1.5""", L, BL, A)
+r AS (SELECT A.account, coalesce(volume, 0) AS volume, occupation, income_bracket FROM A LEFT JOIN v USING (account) WHERE occupation IS NOT NULL AND income_bracket IS NOT NULL),
+p AS (SELECT occupation, income_bracket, avg(volume) AS mean, stddev_samp(volume) AS sd, count(*) AS n FROM r GROUP BY ALL),
+q AS (SELECT account, occupation, income_bracket, (volume - mean) / greatest(sd, 1.0) AS z FROM r JOIN p USING (occupation, income_bracket) WHERE n >= 5 AND sd IS NOT NULL)
+SELECT account, occupation, income_bracket, round(z, 6) AS z, round(least(1.0, abs(z) / 10 * 0.6 + 0.2), 6) AS score,
+       CASE WHEN abs(z) > 5 THEN 'CRITICAL' WHEN abs(z) > 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM q WHERE abs(z) > 1.5""", L, BL, A)
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.peer_zscore(orders_ledger(spark, sf_dir), accounts(spark, sf_dir), 1.5)
 
 
 @query("p10_behavioural_shift", """
-, r AS (SELECT src, txn_id, amount, avg(amount) OVER w AS mean, stddev_samp(amount) OVER w AS sd, count(*) OVER w AS n FROM E
-        WINDOW w AS (PARTITION BY src ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, (amount - mean) / greatest(sd, 1.0) AS z FROM r WHERE n >= 5 AND sd IS NOT NULL),
-q AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY z DESC, txn_id) AS k FROM z WHERE z > 3)
-SELECT src, round(z, 6) AS z, txn_id, round(amount, 2) AS amount FROM q WHERE k = 1""", E)
+, r AS (SELECT account, txn_id, amount, avg(amount) OVER w AS mean, stddev_samp(amount) OVER w AS sd, count(*) OVER w AS n, count(*) OVER (PARTITION BY account) AS every, row_number() OVER o AS nth
+        FROM B JOIN A USING (account) WHERE declared_income > 0
+        WINDOW o AS (PARTITION BY account ORDER BY ts, txn_id, direction), w AS (PARTITION BY account ORDER BY ts, txn_id, direction ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, (amount - mean) / greatest(sd, 1.0) AS z FROM r WHERE n >= 5 AND sd IS NOT NULL AND every >= 15),
+q AS (SELECT * FROM z WHERE z > 3 QUALIFY row_number() OVER (PARTITION BY account ORDER BY z DESC, nth) = 1)
+SELECT account, round(z, 6) AS z, txn_id, round(amount, 2) AS amount, round(least(1.0, z / 10 * 0.5 + 0.2), 6) AS score, CASE WHEN z > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM q""", E, BE, A)
 def shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.behavioural_shift(events_ledger(spark, sf_dir))
+    return detectors.behavioural_shift(events_ledger(spark, sf_dir), accounts(spark, sf_dir))
 
 
-@query("p11_group_aggregate", """
+def _group_sql(comparison: str, value: float) -> str:
+    return f"""
 , r AS (SELECT src AS account, round(sum(amount), 4) AS value FROM E WHERE ts >= (SELECT max(ts) FROM E) - INTERVAL 7 DAYS GROUP BY src)
-SELECT account, value, round(least(1.0, 0.5 + least(abs(value - 500) / 500, 0.5)), 6) AS score FROM r WHERE value >= 500""", E)
+SELECT account, value, round(least(1.0, 0.5 + least(abs(value - {value}) / {value}, 0.5)), 6) AS score, 'MEDIUM' AS severity FROM r WHERE value {comparison} {value}"""
+
+
+@query("p11_group_aggregate", _group_sql(">=", 500), E)
 def group_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.group_aggregate(events_ledger(spark, sf_dir), "src", "SUM", "amount", 7, 500)
 
 
+@query("p11_group_aggregate_below", _group_sql("<", 3000), E)
+def group_aggregate_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.group_aggregate(events_ledger(spark, sf_dir), "src", "SUM", "amount", 7, 3000, "<")
+
+
 @query("w13_gap_then_burst", """
 , r AS (SELECT *, epoch_us(ts) // 1000000 AS t FROM B),
 g AS (SELECT account, txn_id, t - lag(t) OVER (PARTITION BY account ORDER BY ts, txn_id, direction) AS gap_s,
@@ -231,9 +225,12 @@ def central(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g11_roles", """
 , f AS (SELECT account, round(sum(CASE WHEN direction = 'in' THEN amount ELSE 0 END), 2) AS inflow, round(sum(CASE WHEN direction = 'out' THEN amount ELSE 0 END), 2) AS outflow,
         count(*) FILTER (direction = 'in') AS n_in, count(*) FILTER (direction = 'out') AS n_out FROM B GROUP BY account),
-q AS (SELECT *, (SELECT quantile_cont(inflow, 0.75) FROM f) AS pi, (SELECT quantile_cont(outflow, 0.75) FROM f) AS po, inflow / (inflow + outflow) AS s FROM f)
-SELECT account, inflow, outflow, n_in, n_out, CASE WHEN outflow > po AND s < 0.3 THEN 'SOURCE' WHEN inflow > pi AND s > 0.7 THEN 'SINK'
-       WHEN s BETWEEN 0.3 AND 0.7 AND n_in >= 2 AND n_out >= 2 THEN 'MULE' ELSE 'NORMAL' END AS role FROM q""", L, BL)
+h AS (SELECT *, round(coalesce(inflow / nullif(inflow + outflow, 0), 0), 5) AS si, round(coalesce(outflow / nullif(inflow + outflow, 0), 0), 5) AS so FROM f),
+q AS (SELECT *, (SELECT quantile_cont(si, 0.75) FROM h) AS pi, (SELECT quantile_cont(so, 0.75) FROM h) AS po FROM h),
+r AS (SELECT *, CASE WHEN inflow + outflow = 0 THEN 'NORMAL' WHEN so > po AND si < 0.3 THEN 'SOURCE' WHEN si > pi AND so < 0.3 THEN 'SINK'
+             WHEN si BETWEEN 0.3 AND 0.7 AND n_in >= 2 AND n_out >= 2 THEN 'MULE' ELSE 'NORMAL' END AS role FROM q)
+SELECT account, inflow, outflow, n_in, n_out, role, round(CASE WHEN inflow + outflow = 0 THEN 0.5 WHEN role = 'SOURCE' THEN least(so * 1.2, 1) WHEN role = 'SINK' THEN least(si * 1.2, 1)
+       WHEN role = 'MULE' THEN 1 - abs(si - 0.5) ELSE 0.6 END, 3) AS confidence FROM r""", L, BL)
 def role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.roles(orders_ledger(spark, sf_dir))
 
@@ -242,7 +239,7 @@ def role(spark: SparkSession, sf_dir: str) -> DataFrame:
 , e AS (SELECT src, dst, round(sum(amount), 2) AS t FROM L WHERE src <> dst GROUP BY ALL),
 c AS (SELECT 2 AS length, a.src AS n1, a.dst AS n2, CAST(NULL AS BIGINT) AS n3, a.t AS f, b.t AS l FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
       UNION ALL SELECT 3, a.src, a.dst, b.dst, a.t, c.t FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)
-SELECT length, n1, n2, coalesce(n3, -1) AS n3, round(least(f, l) / greatest(f, l), 6) AS return_ratio FROM c WHERE round(least(f, l) / greatest(f, l), 6) >= 0.85""", L)
+SELECT length, n1, n2, coalesce(n3, -1) AS n3, round(coalesce(least(f, l) / nullif(greatest(f, l), 0), 0), 6) AS return_ratio FROM c WHERE round(coalesce(least(f, l) / nullif(greatest(f, l), 0), 0), 6) >= 0.85""", L)
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.short_cycles(orders_ledger(spark, sf_dir), 0.85).fillna({"n3": -1})
 
@@ -262,21 +259,33 @@ def ego(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_edges(orders_ledger(spark, sf_dir), [1], 1).select("txn_id", "src", "dst", "amount")
 
 
-@query("g13_temporal_paths", """
-, eg AS (SELECT src, dst, txn_id, epoch_us(ts) AS t FROM E WHERE src <> dst),
-p1 AS (SELECT 1 AS depth, CAST(txn_id AS VARCHAR) AS trail, src AS s, dst AS a, dst AS reached, t FROM eg WHERE src = 3),
-p2 AS (SELECT 2 AS depth, trail || '>' || e.txn_id AS trail, s, a, e.dst AS reached, e.t FROM p1 JOIN eg e ON p1.reached = e.src AND e.t > p1.t AND e.t - p1.t <= 21600000000 WHERE e.dst NOT IN (s, a)),
-p3 AS (SELECT 3 AS depth, trail || '>' || e.txn_id AS trail, e.dst AS reached FROM p2 JOIN eg e ON p2.reached = e.src AND e.t > p2.t AND e.t - p2.t <= 21600000000 WHERE e.dst NOT IN (s, a, p2.reached))
-SELECT depth, trail, reached FROM p1 UNION ALL SELECT depth, trail, reached FROM p2 UNION ALL SELECT * FROM p3""", E)
+def _trail_sql(forward: bool, start: int, depth: int) -> str:
+    here, there, t = ("src", "dst", "epoch_us(ts)") if forward else ("dst", "src", "-epoch_us(ts)")
+    steps = [f"""
+, eg AS (SELECT {here} AS h, {there} AS o, CAST(txn_id AS VARCHAR) AS id, {t} AS t FROM E WHERE src <> dst),
+p1 AS (SELECT 1 AS depth, [id] AS trail, o AS reached, t FROM eg WHERE h = {start})"""]
+    for d in range(2, depth + 1):
+        steps.append(f""",
+p{d} AS (SELECT {d} AS depth, list_append(trail, id) AS trail, e.o AS reached, e.t FROM p{d - 1} p JOIN eg e ON p.reached = e.h AND e.t >= p.t AND e.t - p.t <= 3600000000 WHERE NOT list_contains(trail, id))""")
+    every = " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(1, depth + 1))
+    return "".join(steps) + f"\nSELECT depth, array_to_string(trail, '>') AS trail, reached FROM ({every})"
+
+
+@query("g13_temporal_paths", _trail_sql(True, 3, 5), E)
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.temporal_paths(events_ledger(spark, sf_dir), 3)
+    return graph.temporal_paths(events_ledger(spark, sf_dir), 3, 5, 3600)
+
+
+@query("g13_temporal_paths_back", _trail_sql(False, 3, 5), E)
+def trail_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.temporal_paths(events_ledger(spark, sf_dir), 3, 5, 3600, forward=False)
 
 
 @query("j13_next_hops", """
 , eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E),
 j AS (SELECT a.txn_id, b.txn_id AS next_id, a.amount AS x, b.amount AS y, row_number() OVER (PARTITION BY a.txn_id ORDER BY b.t, b.txn_id) AS k
       FROM eg a JOIN eg b ON a.dst = b.src AND b.t > a.t AND b.t <= a.t + 7200000000 WHERE b.dst <> a.src)
-SELECT txn_id, next_id, round(y / x, 6) AS kept_ratio FROM j WHERE k = 1""", E)
+SELECT txn_id, next_id, round(y / nullif(x, 0), 6) AS kept_ratio FROM j WHERE k = 1""", E)
 def next_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.next_hops(events_ledger(spark, sf_dir), 7200)
 
@@ -307,7 +316,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         sum(CASE WHEN direction = 'out' THEN amount ELSE 0 END) AS fo, avg(amount) AS av, coalesce(stddev_samp(amount), 0) AS sd, max(amount) AS mx, count(*) AS n, count(DISTINCT channel) AS ch,
         count(*) FILTER (direction = 'out' AND amount >= 90000 AND amount < 100000) AS near, max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000) AS span,
         avg(CAST(isodow(ts) >= 6 AS INT)) AS we, avg(CAST(hour(ts) IN (23, 0, 1, 2, 3, 4) AS INT)) AS ni, count(DISTINCT other) FILTER (direction = 'out') AS po, count(DISTINCT other) FILTER (direction = 'in') AS pi,
-        avg(CAST(amount % 100 = 0 AS INT)) FILTER (direction = 'out') AS ro FROM B GROUP BY account),
+        avg(CAST(amount % 100 = 0 AS INT)) FILTER (direction = 'out') AS ro,
+        count(DISTINCT to_bank) FILTER (direction = 'out') + count(DISTINCT from_bank) FILTER (direction = 'in') AS bk, avg(CAST(from_bank <> to_bank AS INT)) FILTER (direction = 'out') AS cb FROM B GROUP BY account),
 d AS (SELECT account, max(k) AS day FROM (SELECT account, CAST(ts AS DATE), count(*) AS k FROM B GROUP BY ALL) GROUP BY account),
 p AS (SELECT DISTINCT src, dst FROM L), mu AS (SELECT a.src AS account, count(*) AS mutual FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
 dg AS (SELECT account, sum(x) * sum(y) AS pr FROM (SELECT src AS account, 1 AS x, 0 AS y FROM p UNION ALL SELECT dst, 0, 1 FROM p) GROUP BY account),
@@ -317,7 +327,7 @@ SELECT account, CAST(in_degree AS DOUBLE) AS in_degree, CAST(out_degree AS DOUBL
   round(av + 1e-7, 4) + 0.0 AS avg_txn_amount, round(sd + 1e-7, 4) + 0.0 AS std_txn_amount, round(mx + 1e-7, 4) + 0.0 AS max_txn_amount, n::DOUBLE AS txn_count, ch::DOUBLE AS unique_channels, round(ch / log2(n + 1) + 1e-7, 4) + 0.0 AS channel_entropy,
   day::DOUBLE AS velocity_1hour, near::DOUBLE AS near_threshold_count, floor(span / 86400)::DOUBLE AS dormancy_days,
   round(coalesce(declared_income, 0) / 12 / (fi + fo) + 1e-7, 4) + 0.0 AS income_volume_ratio, round(we + 1e-7, 4) + 0.0 AS is_weekend_heavy, round(ni + 1e-7, 4) + 0.0 AS night_txn_ratio, round(coalesce(mutual, 0) / (po + pi) + 1e-7, 4) + 0.0 AS reciprocity_ratio,
-  day::DOUBLE AS max_daily_txn_count, round(coalesce(ro, 0) + 1e-7, 4) + 0.0 AS round_number_ratio, round(span / n + 1e-7, 4) + 0.0 AS temporal_regularity, round((po + pi) / n + 1e-7, 4) + 0.0 AS new_counterparty_ratio, round(least(sd / av, 10) + 1e-7, 4) + 0.0 AS amount_concentration
+  day::DOUBLE AS max_daily_txn_count, round(coalesce(ro, 0) + 1e-7, 4) + 0.0 AS round_number_ratio, round(span / n + 1e-7, 4) + 0.0 AS temporal_regularity, round((po + pi) / n + 1e-7, 4) + 0.0 AS new_counterparty_ratio, round(least(bk, 50) / 50 + 1e-7, 4) + 0.0 AS geographic_dispersion, round(coalesce(cb, 0.5) + 1e-7, 4) + 0.0 AS cross_bank_ratio, round(least(sd / av, 10) + 1e-7, 4) + 0.0 AS amount_concentration
 FROM o JOIN d USING (account) LEFT JOIN mu USING (account) LEFT JOIN dg USING (account) LEFT JOIN fl USING (account) LEFT JOIN A USING (account)""", L, BL, A)
 def feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.account_features(orders_ledger(spark, sf_dir), accounts(spark, sf_dir), 90_000, 100_000, 100)
@@ -509,3 +519,6 @@ def bandit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_ledger(spark, sf_dir).select("channel", F.log1p("amount").alias("u"), (F.hour("ts") / 24).alias("v"), F.when(F.col("amount") >= 50, 1.0).otherwise(-0.3).alias("r"))
     state = bandit.linucb_state(rows, ["u", "v"], "channel", "r")
     return state.select("action", "n", *[F.round(c, 4).alias(c) for c in state.columns[2:]])
+
+
+from tracewell.plans import desk, networks  # noqa: E402, F401  (registers its queries)

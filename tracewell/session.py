@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def build(master: str | None = None, partitions: int | None = None, app: str = "tracewell") -> SparkSession:
     """UTC, adaptive execution with skew handling; the shuffle width is the cluster's unless given."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     if master:
         builder = builder.master(master)
@@ -19,8 +20,11 @@ def build(master: str | None = None, partitions: int | None = None, app: str = "
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names, or in one of our own where it is unset."""
+    """df checkpointed in the folder that spark.checkpoint.dir names; only a local master gets one of its own where it is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Payment formats to channels, and currency names to codes.
@@ -39,11 +39,16 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def income_bracket(income: Column) -> Column:
+    """Bracket of a declared income in the units of the driver tables."""
+    return F.when(income > 6000, "high").when(income > 2000, "middle").when(income > 0, "low").otherwise("none")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """account, declared_income, occupation, city of each customer."""
+    """account, declared_income, income_bracket, occupation, city of each customer."""
     nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("declared_income"), F.col("c_mktsegment").alias("occupation"), F.col("n_name").alias("city")
+        F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("declared_income"), income_bracket(F.col("c_acctbal")).alias("income_bracket"), F.col("c_mktsegment").alias("occupation"), F.col("n_name").alias("city")
     )
 
 
@@ -54,6 +59,14 @@ def both_sides(txn: DataFrame) -> DataFrame:
     return out.unionByName(txn.select(F.col("dst").alias("account"), F.col("src").alias("other"), F.lit("in").alias("direction"), *rest))
 
 
+def sides_in_one_scan(txn: DataFrame) -> DataFrame:
+    """The rows of both_sides from one reading of the ledger; filters on accounts don't reach the scan."""
+    rest = [c for c in txn.columns if c not in ("src", "dst")]
+    side = lambda me, other, name: F.struct(F.col(me).alias("account"), F.col(other).alias("other"), F.lit(name).alias("direction"))
+    rows = txn.select(F.explode(F.array(side("src", "dst", "out"), side("dst", "src", "in"))).alias("s"), *rest)
+    return rows.select("s.account", "s.other", "s.direction", *rest)
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """A raw ledger by position (its header repeats a name); short rows are padded with nulls."""
     return spark.read.schema(RAW_COLUMNS).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
