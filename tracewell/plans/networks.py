@@ -211,10 +211,10 @@ def bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT [a.src, a.dst] AS nodes FROM eg a JOIN eg b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst),
 k AS (SELECT nodes, p.n + q.n AS n_txns, p.x + q.x AS total, (greatest(p.z, q.z) - least(p.a, q.a)) / 3600000000 AS span, coalesce(q.x / nullif(p.x, 0), 0) AS r FROM c JOIN eg p ON p.src = nodes[1] AND p.dst = nodes[2] JOIN eg q ON q.src = nodes[2] AND q.dst = nodes[1])
 SELECT array_to_string(nodes, '>') AS cycle, CAST(2 AS BIGINT) AS length, n_txns, round(total, 2) AS total, round(span, 4) AS span_hours, round(r, 6) AS return_ratio,
-       round(least(1, CASE WHEN r >= 0.85 THEN 0.4 ELSE 0.1 END + 0.2 + least(total / 700000, 0.3)), 6) AS score, CASE WHEN r >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM k""", L)
+       round(least(1, CASE WHEN r >= 0.85 THEN 0.4 ELSE 0.1 END + 0.2 + least(total / 1234567, 0.3)), 6) AS score, CASE WHEN r >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM k""", L)
 def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = orders_ledger(spark, sf_dir)
-    return detectors.round_trips(txn, walks.cycle_nodes(txn, 2), unit=700_000.0)
+    return detectors.round_trips(txn, walks.cycle_nodes(txn, 2), unit=1_234_567.0)
 
 
 @query("g19_path_ranks", f"""
