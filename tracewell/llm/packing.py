@@ -160,7 +160,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, steps = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             n = batch.column("n_tokens").to_numpy()
             lists = batch.column("ids")
             begin = lists.offsets.to_numpy().astype(np.int64)

@@ -90,8 +90,9 @@ def crc_of_lists(ids: pa.Array) -> np.ndarray:
     """Unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
-    flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4"))
     at = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype("<u4")
+    at = at - at[0]
     return np.fromiter((zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)), np.int64, len(ids))
 
 
@@ -103,7 +104,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("part"), batch.column("start_in_part"), pa.array(np.diff(batch.column("ids").offsets.to_numpy()), pa.int64()), pa.array(crc_of_lists(batch.column("ids")), pa.int64())],
                 ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"],
