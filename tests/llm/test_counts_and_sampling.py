@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tracewell.llm import importance, piece_codec, token_counts
@@ -61,3 +62,35 @@ def test_importance_prefers_the_target(spark, repeated):
     assert importance.importance_resample(docs.limit(0), labels).collect() == []
     odd = importance.importance_resample(repeated, labels).collect()
     assert len(odd) == repeated.count() and all(math.isfinite(r.key) for r in odd)
+
+
+def test_weights_equal_brute_force(spark, monkeypatch):
+    """Log ratios of both models' shares of each number, summed over a text's words and pairs of words; also by a shuffled join."""
+    monkeypatch.setattr(importance, "BROADCAST_IDS", 0)
+    rng = random.Random(3)
+    texts = {i: " ".join(rng.choices(["The", "of", "zzz", "q%", "thing"], k=rng.randint(0, 30))) for i in range(80)}
+    good = {i for i in texts if i % 3 == 0}
+    numbers = {}
+
+    def number(gram):
+        if gram not in numbers:
+            data = np.frombuffer(" ".join(gram).encode(), np.uint8)
+            numbers[gram] = int(importance._features(data, np.array([0, len(data)]))[0][-1])
+        return numbers[gram]
+
+    def grams(text):
+        w = text.lower().split()
+        return [number((x,)) for x in w] + [number(p) for p in zip(w, w[1:], strict=False)]
+
+    raw, target = [1] * importance.BUCKETS, [1] * importance.BUCKETS
+    for i, t in texts.items():
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    ratio = [math.log(b / sum(target)) - math.log(a / sum(raw)) for a, b in zip(raw, target, strict=True)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    got = {r.doc_id: r.weight for r in importance.importance_resample(docs, labels).collect()}
+    assert all(abs(got[i] - sum(ratio[g] for g in grams(t))) < 1e-6 for i, t in texts.items())
+    mean = {r.doc_id: r.weight for r in importance.importance_resample(docs, labels, mean=True).collect()}
+    assert all(abs(mean[i] * max(len(grams(t)), 1) - got[i]) < 1e-6 for i, t in texts.items())

@@ -19,7 +19,7 @@ def byte_ids(texts):
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
-def test_token_files_round_trip(spark, docs, byte_ids, tmp_path):
+def test_token_files_round_trip(spark, docs, byte_ids, tmp_path, monkeypatch):
     path = str(tmp_path / "tokens")
     token_output.write_tokens(token_output.encode_tokens(docs, token_output.default_tokenizer()), path)
     rows = token_output.token_digest(token_output.read_tokens(spark, path)).orderBy("doc_id").collect()
@@ -27,6 +27,10 @@ def test_token_files_round_trip(spark, docs, byte_ids, tmp_path):
     for r, ids in zip(rows, byte_ids, strict=True):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
         start += len(ids)
+    monkeypatch.setattr(token_output, "BLOCK", 2)  # several blocks of parts
+    monkeypatch.setattr(token_output, "BROADCAST_ROWS", 0)
+    again = token_output.token_digest(token_output.read_tokens(spark, path)).orderBy("doc_id").collect()
+    assert again == rows
     # files in name order hold ascending ids
     names = sorted(p.name for p in (tmp_path / "tokens").glob("*.orc"))
     order = [i for n in names for i in orc.ORCFile(str(tmp_path / "tokens" / n)).read(["doc_id"]).column(0).to_pylist()]
@@ -166,3 +170,20 @@ def test_pieces_are_digested_alike_in_one_worker_and_two(docs):
     apart = packing.piece_digest(packing.pack(docs, packing.default_tokenizer(), window=128))
     once = packing.pack(docs, packing.default_tokenizer(), window=128, digest=True)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, apart.collect())) and once.columns == apart.columns
+
+
+def test_long_words_equal_library():
+    """Rounds with several merges a word, and the heap for long words, give the library's ids, in good time."""
+    import random
+    import time
+
+    c = piece_codec.codec(piece_codec.default_model())
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(abc, k=rng.randint(1, n))) for abc, n in (("ab", 400), ("aeiouthns t", 3000), ("etaoin", 1990), ("aab", 2500)) for _ in range(40)]
+    flat, lengths = c.encode(texts)
+    for got, text in zip(np.split(flat, np.cumsum(lengths)[:-1]), texts, strict=True):
+        assert got.tolist() == c.library.encode(text)
+    for text in ("a" * 200_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöé日本", k=200_000))):
+        began = time.time()
+        flat, _ = c.encode([text])
+        assert time.time() - began < 20 and flat.tolist() == c.library.encode(text)

@@ -1,3 +1,4 @@
+import random
 import hashlib
 import re
 from collections import Counter
@@ -76,6 +77,22 @@ def test_quality_adapts_to_its_group(spark):
     assert not kept.pop(2000) and all(kept.values())
 
 
+def test_each_signal_finds_the_odd_document_of_its_group(spark):
+    rng = random.Random(5)
+    word = lambda n=5: "".join(rng.choices("abcdefghij", k=n))
+    lines = lambda k, n=5: [" ".join(word(n) for _ in range(6)) for _ in range(k)]
+    rows = [(i, "\n".join(lines(12))) for i in range(150)]
+    rows[0] = (0, "\n".join([*lines(12)[:11], "#" * 9 + " a b c d e"]))
+    twice = lines(6)
+    rows[1] = (1, "\n".join([w for line in twice for w in (line.split()[0] + word() + " " + word() + " " + word(), "x y")] + lines(9)))
+    rows[2] = (2, "\n".join(lines(12, 14)))
+    same = " ".join(word() for _ in range(9))
+    rows[3] = (3, "\n".join([*lines(11), same + " " + word() + " " + same]))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    reasons = {r.doc_id: r.reason for r in quality_rules.quality_rules(docs).collect() if r.reason}
+    assert reasons == {0: "symbols", 1: "dup_lines", 2: "long_words", 3: "repeats"}
+
+
 def test_url_filter(spark):
     urls = [
         None, "", "no scheme", "http://", "https://EXAMPLE.com/en/7?x#y", "http://a.b.example.com/en/8#t", "http://xexample.net/de/8", "http://example.net/de/8.html",

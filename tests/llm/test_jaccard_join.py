@@ -137,3 +137,16 @@ def test_family_of_near_copies_equals_brute_force(spark):
     rows += [(260 + i, " ".join(base[:80] + rng.choices(vocabulary, k=70))) for i in range(100)]
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == naive(rows)
+
+
+def test_scans_in_pieces_equal_scans_at_once(texts, monkeypatch):
+    data, offsets = bytescan.text_buffers(pa.array([*texts, "w" * 5000 + " " + "v" * 4999], pa.string()))
+    w = bytescan.Words(data, offsets)
+    edges = np.sort(np.concatenate([offsets, w.start, w.end]))
+    want = np.concatenate([[0], np.cumsum(w.inside)])[edges]
+    long = (w.end - w.start) > 64
+    whole = w.hashes()
+    monkeypatch.setattr(bytescan, "_BLOCK", 64)
+    assert (bytescan.counts_before(w.inside, edges) == want).all()
+    pieces = w.hashes()
+    assert (pieces[~long] == whole[~long]).all() and len(set(pieces[long].tolist())) == len({bytes(data[s:e]) for s, e in zip(w.start[long], w.end[long], strict=True)})

@@ -63,3 +63,83 @@ def test_masking(spark):
     got = pii.mask_pii(docs)
     assert got.columns == docs.columns
     assert sorted(map(str, got.select("text").collect())) == sorted(map(str, spark.createDataFrame([("to [EMAIL] from [IP]!",), ("clean",), (None,), ("to [EMAIL] from [IP]!",), ("[EMAIL]",)], "text string").collect()))
+
+
+def shape(value):
+    out = re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", re.sub("[0-9]+", "9", value)))
+    return re.sub("[9aA]{3,}", "x", out)
+
+
+def brute_force(docs):
+    """Spans beyond the base ones, by dictionaries instead of joins; docs: texts by id."""
+    found, graph, seeds = [], {}, {}
+    for i, text in docs.items():
+        base, at = naive(text), 0
+        matches = list(re.finditer(pii.CANDIDATE, text))
+        for m, after in zip(matches, [*matches[1:], None], strict=False):
+            left, at = text[at : m.start()].lower(), m.end()
+            right = text[m.end() : after.start() if after else len(text)].lower()
+            value = m[0]
+            if not ("@" in value or len(re.sub("[^0-9]", "", value)) >= 6 or len(value) >= 16):
+                continue
+            kind = next((k for k, s, e in base if s < m.end() and m.start() < e), None)
+            if kind is None and re.search(pii.SECRET, value):
+                kind = 4
+            words = left.split()[-2:]
+            before, last = " ".join(words), words[-1] if words else ""
+            nxt = right.split()[0] if right.split() else ""
+            found.append((i, m.start(), m.end(), value, kind))
+            for p in ("2 " + before, "1 " + last, f"r {last} _ {nxt}", f"s {last} {shape(value)}"):
+                graph.setdefault(p, set()).add(value)
+            if kind is not None:
+                seeds[value] = max(seeds.get(value, -1), kind)
+
+    def low(p, n, z=pii.Z):
+        return (p + z * z / (2 * n) - z * ((p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5)) / (1 + z * z / n)
+
+    known = {v: (k, 1.0) for v, k in seeds.items()}
+    while True:
+        best = {}
+        for p, values in graph.items():
+            for kind in {known[v][0] for v in values if v in known}:
+                score = low(min(sum(known[v][1] for v in values if v in known and known[v][0] == kind) / len(values), 1.0), len(values))
+                if score >= pii.CONFIDENCE:
+                    for v in values - set(seeds):
+                        best[v] = max(best.get(v, (0, 0)), (score, -kind))
+        grown = {v: (k, 1.0) for v, k in seeds.items()} | {v: (-k, s) for v, (s, k) in best.items()}
+        if len(grown) == len(known):
+            known = grown
+            break
+        known = grown
+    return {i: sorted({(known[v][0], s, e) for d, s, e, v, k in found if d == i and v in known and (k is None or k == 4)}) for i in docs}
+
+
+def test_pattern_graph_equals_brute_force(spark):
+    rng = random.Random(12)
+    phone = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    texts = [f"please {rng.choice(['call', 'ring'])} me at {rng.choice(['+1 '] * 8 + [''])}{phone()} today" for _ in range(60)]
+    texts += [f"the {rng.choice(['serial', 'part'])} number {phone()} is old" for _ in range(30)]
+    texts += [f'token = "{key()}" ok' for _ in range(30)] + [f'TOKEN = "{key().upper()}" ok' for _ in range(3)]
+    texts += [f"from {rng.choice(['a', 'b'])}{i}@x{i}.org and b{i}@localhost now" for i in range(25)] + ["", "call", "reach 5551234567 ring me at 5559876543 today"]
+    docs = dict(enumerate(texts))
+    got = pii.find_pii(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    want = brute_force(docs)
+    base = {i: set(naive(t)) for i, t in docs.items()}
+    more = {r.doc_id: sorted({tuple(x) for x in r.spans} - base[r.doc_id]) for r in got}
+    assert more == {i: sorted(set(v) - base[i]) for i, v in want.items()}
+    kinds = [k for v in more.values() for k, _, _ in v]
+    assert kinds.count(3) >= 3 and kinds.count(4) == 33  # phones without a prefix, keys in capitals
+    assert all(not more[i] for i in range(60, 90))  # serial numbers of the same shape stay
+
+
+def test_many_matches_in_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)  # and the shuffled joins
+    text = " ".join(f"mail{i}@host{i % 9}.org" for i in range(9000)) + " " + "x" * 30_000 + " é 1.2.3.4"
+    docs = spark.createDataFrame([(1, text, "t"), (2, "none", "t"), (None, None, "t"), (None, text[:40], "t")], "doc_id long, text string, text__ string")
+    spans = {r.doc_id: [tuple(x) for x in r.base] for r in pii.find_pii(docs).collect() if r.doc_id}
+    assert spans == {1: naive(text), 2: []}
+    masked = pii.mask_pii(docs)
+    assert masked.columns == docs.columns
+    got = {r.doc_id: r.text for r in masked.where("doc_id is not null").collect()}
+    assert got[1] == " ".join(["[EMAIL]"] * 9000) + " " + "x" * 30_000 + " é [IP]" and got[2] == "none"
