@@ -9,7 +9,7 @@ from tracewell.investigation import networks
 from tracewell.operators import detectors, scoring, walks
 from tracewell.operators.graph import centrality
 from tracewell.plans.desk import AL, CA
-from tracewell.plans.registry import BE, A, E, L, query
+from tracewell.plans.registry import BE, QUERIES, A, E, L, query
 from tracewell.sources import desk as tables
 from tracewell.sources.ledgers import accounts, events_ledger, orders_ledger, table
 
@@ -274,3 +274,29 @@ def network_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = members.select("case_id").distinct()
     flags = accounts(spark, sf_dir).select("account", (F.col("account") % 13 == 0).alias("sanctioned"), (F.col("account") % 5 == 0).alias("exposed"))
     return networks.network_risk(members, events_ledger(spark, sf_dir), ids.select("case_id", (F.col("case_id") % 2).alias("n")), ids.select("case_id", (F.col("case_id") % 3).alias("n")), flags)
+
+
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    from tracewell.operators.features import account_features
+
+    rows = account_features(orders_ledger(spark, sf_dir), accounts(spark, sf_dir), 90_000, 100_000, 100)
+    return rows, [c for c in rows.columns if c not in ("account", "clustering_coeff")]
+
+
+def isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.operators.ml import isolation_scores
+
+    return isolation_scores(*_features(spark, sf_dir), trees=100)
+
+
+def fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.operators.ml import fraud_scores
+
+    rows, columns = _features(spark, sf_dir)
+    txn = orders_ledger(spark, sf_dir)
+    marked = scoring.labels(txn.where("amount >= 90000"))
+    return fraud_scores(rows, columns, marked, scoring.temporal_split(txn), rounds=5)
+
+
+#: Models have no SQL; tests hold them against planted cases.
+QUERIES |= {"m1_isolation_scores": isolation, "m2_fraud_scores": fraud}
