@@ -118,4 +118,4 @@ def fraud_scores(features: DataFrame, columns: list[str], labels: DataFrame, par
     model = GBTClassifier(featuresCol="v", labelCol="label", weightCol="w", maxIter=rounds, maxDepth=4, seed=SEED).fit(train)
     scored = cut(model.transform(rows).select(key, "part", "label", vector_to_array("probability")[1].alias("fraud_prob")))
     threshold = best_threshold(scored.where("part = 'validation'").select("label", F.col("fraud_prob").alias("score")))
-    return scored.select(key, "part", F.round("fraud_prob", 6).alias("fraud_prob"), (F.col("fraud_prob") >= threshold).alias("fraud_pred"))
+    return scored.select(key, "part", F.round("fraud_prob", 6).alias("fraud_prob"), (F.round("fraud_prob", 4) >= threshold).alias("fraud_pred"))
