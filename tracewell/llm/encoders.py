@@ -7,11 +7,13 @@ a batch at a time. The cache holds CACHE_UNITS units at most; rarer ones are enc
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 CACHE_UNITS = 500_000
 SLICE_CHARS = 1_000_000
@@ -152,3 +154,10 @@ def library_encoder(path: str, blanks_count: bool) -> UnitEncoder:
         return np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())), sizes
 
     return UnitEncoder(_by_blank, encode, whole, _next_to_space if blanks_count else lambda unit: False)
+
+
+def release() -> None:
+    """Forget this process's encoders: a worker that goes on with something else needs their memory more."""
+    library_encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

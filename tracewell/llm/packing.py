@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import broadcast_if_small, materialise, vocabulary
-from tracewell.llm.encoders import library_encoder
+from tracewell.llm.encoders import library_encoder, release
 from tracewell.llm.token_output import crc_of_lists, id_lists, with_end
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, part int, tail int, tail_rank long, full_rank long"
@@ -159,6 +159,7 @@ def pack(
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], steps[order]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # all texts are encoded by now
         keys, steps = shared.value
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             n = batch.column("n_tokens").to_numpy()
