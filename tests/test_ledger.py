@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import aggregates, detectors, features, graph, rules, sets, walks
 from tracewell.sources import ledgers
-from tracewell.streaming import alerts
+from tracewell.streaming import alerts, light
 
 SCHEMA = "txn_id long, src string, dst string, amount double, ts timestamp, channel string"
 
@@ -211,6 +211,21 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("hits").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_light_detectors_in_batches_raise_an_alert_once(spark, tmp_path):
+    rows = [(i, 1, 10 + i, 950_000.0, dt.datetime(2024, 1, 1, i), "x") for i in range(4)]
+    rows += [(9, 1, 99, 950_000.0, dt.datetime(2024, 1, 2), "x"), (10, 77, 1, 500_000.0, dt.datetime(2024, 1, 2), "x")]
+    frame = spark.createDataFrame(rows, alerts.LEDGER)
+    frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    who = spark.createDataFrame([(1, 1000.0)], "account long, declared_income double")
+    detect = lambda batch: light.detect(batch, who, "2024-01-02")
+    alerts.run_batches(alerts.read_ledger_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), detect).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out/alerts")).drop("batch")
+    assert {(r.account, r.pattern, r.risk, r.level) for r in found.collect()} == {(1, "structuring", 75.0, "HIGH"), (1, "profile_mismatch", 95.0, "CRITICAL"), (1, "mule_suspect", 95.0, "CRITICAL")}
+    assert sorted(map(tuple, detect(frame).collect())) == sorted(map(tuple, found.collect()))
+    new, raised = light.fresh_alerts(found.unionByName(found), found.where("pattern = 'structuring'").select("alert_id"))
+    assert new.count() == 2 and raised.count() == 3 and light.fresh_alerts(found, raised)[0].count() == 0
+
+
 def test_entry_without_the_llm_folders():
     import __spark_entry__ as e
 
