@@ -122,7 +122,7 @@ def importance_resample(
                 bucket, doc = _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 total, n = np.bincount(doc, ratio[bucket], j - i), np.bincount(doc, minlength=j - i)
                 weight = total / np.maximum(n, 1) if mean else total
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(weight)], ["doc_id", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(weight.astype(np.float64))], ["doc_id", "weight"])
 
     weights = texts.mapInArrow(weigh, "doc_id long, weight double")
     keyed = materialise(weights.withColumn("key", scale * F.col("weight") + gumbel(seed, F.coalesce("doc_id", F.lit(-1)))), "importance-keys")
