@@ -7,6 +7,8 @@ a batch at a time. The cache holds CACHE_UNITS units at most; rarer ones are enc
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Sequence
@@ -157,7 +159,10 @@ def library_encoder(path: str, blanks_count: bool) -> UnitEncoder:
 
 
 def release() -> None:
-    """Forget this process's encoders: a worker that goes on with something else needs their memory more."""
-    library_encoder.cache_clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    """Forget this process's encoders, if it has any: a worker that goes on with something else needs their memory more."""
+    if library_encoder.cache_info().currsize:
+        library_encoder.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)

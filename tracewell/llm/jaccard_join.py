@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bytescan import Words, mix, slices, text_buffers, windows
 from tracewell.llm.common import Scratch, broadcast_if_small, components
+from tracewell.llm.encoders import release
 
 WIDTH = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
@@ -184,6 +185,7 @@ def document_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, set_id (null for an empty set), sketch of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets):
@@ -213,6 +215,7 @@ def packed_signatures(texts: DataFrame, first_part: np.ndarray, n_parts: np.ndar
     names = ["part", "sigs", "refs", "sets", "spares", "sizes"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[np.ndarray, ...]] = []
         count, seen = 0, set()
 
@@ -361,6 +364,7 @@ def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataF
     """set_id, hashes (sorted, 8 bytes each) of the sets in nodes (doc_id, set_id)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets):

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bytescan import Words, counts_before, run_hashes, slices, text_buffers, windows
 from tracewell.llm.common import materialise
+from tracewell.llm.encoders import release
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Signals in parts per 10,000 (long_words in hundredths of a character), as SQL over the counts, with the upper quantile of each.
@@ -82,6 +83,7 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, lang, source, COUNTS and n_lines of each document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets):
