@@ -1,10 +1,11 @@
-"""Registered queries of this subpackage: op1 to op10, each over its whole table."""
+"""Registered queries of this subpackage: op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import (
+    conversation_repair,
     exact_dedup,
     importance,
     jaccard_join,
@@ -67,6 +68,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, url_filter.tracked_urls(pages)).drop("canonical", "listed")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_piece_codec": op8_piece_codec,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -85,4 +91,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
 }
