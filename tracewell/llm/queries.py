@@ -9,6 +9,7 @@ from tracewell.llm import (
     exact_dedup,
     importance,
     jaccard_join,
+    license_scan,
     packing,
     pii,
     piece_codec,
@@ -72,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(_table(spark, sf_dir, "conversations"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(license_scan.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE_SQL = {
