@@ -14,6 +14,7 @@ from tracewell.llm import (
     pii,
     piece_codec,
     quality_rules,
+    spelling_variants,
     token_counts,
     token_output,
     url_filter,
@@ -77,6 +78,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digest(license_scan.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +95,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -98,4 +104,5 @@ ORACLE_SQL = {
     "op6_jaccard_join": jaccard_join.SQL,
     "op10_url_filter": url_filter.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
+    "op13_spelling_variants": spelling_variants.SQL,
 }
