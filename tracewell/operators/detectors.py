@@ -232,17 +232,17 @@ def first_outlier(txn: DataFrame, min_z: float = 2.5, min_rows: int = 3, flagged
     return found.select("account", "f.txn_id", "f.ts", F.round("f.amount", 2).alias("amount"))
 
 
-def round_trips(txn: DataFrame, cycles: DataFrame, min_return: float = 0.85, unit: float = 5_000_000.0) -> DataFrame:
+def round_trips(txn: DataFrame, cycles: DataFrame, min_return: float = 0.85, unit: float = 5_000_000.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Transfers on the edges of each cycle (an array column `nodes`, in order): n_txns, total, span_hours, return_ratio, score, severity.
 
-    return_ratio is what comes back to the first account over what it sends within the cycle, 0 if it sends nothing.
+    by: columns of both that slice the ledger; a cycle's transfers are those of its slice. return_ratio is what comes back to the first account over what it sends within the cycle, 0 if it sends nothing.
     """
-    c = cycles.select(F.xxhash64("nodes").alias("c"), "nodes")
+    c = cycles.select(*by, F.xxhash64(*by, "nodes").alias("c"), "nodes")
     ends = F.posexplode(F.arrays_zip(F.col("nodes").alias("src"), F.concat(F.slice("nodes", 2, 1000), F.slice("nodes", 1, 1)).alias("dst")))
-    legs = c.select("c", F.size("nodes").alias("length"), ends.alias("leg", "e")).select("c", "length", "leg", "e.src", "e.dst")
+    legs = c.select(*by, "c", F.size("nodes").alias("length"), ends.alias("leg", "e")).select(*by, "c", "length", "leg", "e.src", "e.dst")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    flows = txn.groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min(t).alias("first"), F.max(t).alias("last"))
-    sums = legs.join(flows, ["src", "dst"]).groupBy("c", "length").agg(
+    flows = txn.groupBy(*by, "src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min(t).alias("first"), F.max(t).alias("last"))
+    sums = legs.join(flows, [*by, "src", "dst"]).groupBy("c", "length").agg(
         F.sum("n").alias("n_txns"), F.sum("amount").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.sum(F.when(F.col("leg") == 0, F.col("amount"))).alias("sent"), F.sum(F.when(F.col("leg") == F.col("length") - 1, F.col("amount"))).alias("back"),
     )
@@ -252,7 +252,7 @@ def round_trips(txn: DataFrame, cycles: DataFrame, min_return: float = 0.85, uni
     severity = F.when(tight & (F.col("length") >= 3), "CRITICAL").when(tight, "HIGH").otherwise("MEDIUM")
     rows = sums.join(c, "c")
     return rows.select(
-        F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"), F.col("length").cast("long").alias("length"), "n_txns", F.round("total", 2).alias("total"),
+        *by, F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"), F.col("length").cast("long").alias("length"), "n_txns", F.round("total", 2).alias("total"),
         F.round((F.col("last") - F.col("first")) / 3_600_000_000, 4).alias("span_hours"), F.round(ratio, 6).alias("return_ratio"), F.round(score, 6).alias("score"), severity.alias("severity"),
     )
 

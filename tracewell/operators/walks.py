@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.graph import collapsed, next_hops
+from tracewell.operators.graph import next_hops
+from tracewell.operators.parts import cycle_nodes
 from tracewell.session import cut
 
 
@@ -65,33 +66,11 @@ def grown_chains(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: int
 
 
 def long_cycles(txn: DataFrame, max_length: int = 5, min_total: float = 0.0) -> DataFrame:
-    """length, cycle (accounts joined by >) of what cycle_nodes finds."""
-    one = cycle_nodes(txn, max_length, min_total)
+    """length, cycle (accounts joined by >) of what cycle_nodes finds in parts of any size."""
+    one = cycle_nodes(txn, max_length, min_total, None)
     return one.select(F.size("nodes").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
-def cycle_nodes(txn: DataFrame, max_length: int = 12, min_total: float = 0.0) -> DataFrame:
-    """nodes: cycles of up to max_length accounts over pairs that moved min_total at least, one for each set of accounts.
-
-    Paths grow from a cycle's least account only, on edges left after those that no cycle can hold were taken away.
-    The number of paths grows with degree to the power of the length: min_total keeps the graph thin.
-    """
-    e = collapsed(txn).where((F.col("src") != F.col("dst")) & (F.col("total") >= min_total)).select("src", "dst")
-    for _ in range(2):
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        e = cut(e.select("src", "dst"))
-    step = e.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    paths = e.where("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("nodes"), F.col("dst").alias("at"))
-    found = None
-    for length in range(2, max_length + 1):
-        closed = paths.join(step, "at").where("to = start").select("nodes")
-        found = closed if found is None else found.unionByName(closed)
-        if length < max_length:
-            grown = paths.join(step, "at").where((F.col("to") > F.col("start")) & ~F.array_contains("nodes", F.col("to")))
-            paths = cut(grown.select("start", F.array_append("nodes", F.col("to")).alias("nodes"), F.col("to").alias("at")))
-    return found.groupBy(F.array_sort("nodes").alias("members")).agg(F.min("nodes").alias("nodes")).select("nodes")
-
-
 def components(txn: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Weak components: account and the least account of its component.
 

@@ -214,7 +214,7 @@ SELECT array_to_string(nodes, '>') AS cycle, CAST(2 AS BIGINT) AS length, n_txns
        round(least(1, CASE WHEN r >= 0.85 THEN 0.4 ELSE 0.1 END + 0.2 + least(total / 1234567, 0.3)), 6) AS score, CASE WHEN r >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM k""", L)
 def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = orders_ledger(spark, sf_dir)
-    return detectors.round_trips(txn, walks.cycle_nodes(txn, 2), unit=1_234_567.0)
+    return detectors.round_trips(txn, walks.cycle_nodes(txn, 2, largest_part=None), unit=1_234_567.0)
 
 
 @query("g19_path_ranks", f"""
