@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.asof import next_departures
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
 
@@ -122,13 +123,9 @@ def temporal_paths(txn: DataFrame, start, depth: int = 5, window_s: int = 6 * 36
 
 
 def next_hops(txn: DataFrame, window_s: int) -> DataFrame:
-    """For each transfer the earliest one that leaves its target within the window: a forward as-of join."""
-    e = txn.select("txn_id", "src", "dst", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "amount")
-    after = e.select(F.col("txn_id").alias("next_id"), F.col("src").alias("s2"), F.col("dst").alias("next_dst"), F.col("t").alias("t2"), F.col("amount").alias("next_amount"))
-    near = e.join(after, (F.col("dst") == F.col("s2")) & (F.col("t2") > F.col("t")) & (F.col("t2") <= F.col("t") + window_s * 1_000_000))
-    near = near.where(F.col("next_dst") != F.col("src"))
-    best = near.groupBy("txn_id").agg(F.min(F.struct("t2", "next_id", "amount", "next_amount")).alias("b"))
-    return best.select("txn_id", "b.next_id", F.round(F.try_divide("b.next_amount", "b.amount"), 6).alias("kept_ratio"))
+    """For each transfer the earliest one that leaves its target within the window: a forward as-of merge."""
+    rows = next_departures(txn, window_s).join(txn.select(F.col("txn_id").alias("of"), "amount"), "of")
+    return rows.select(F.col("of").alias("txn_id"), F.col("next.id").alias("next_id"), F.round(F.try_divide("next.amount", "amount"), 6).alias("kept_ratio"))
 
 
 def shared_senders(txn: DataFrame, min_shared: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.graph import next_hops
+from tracewell.operators.asof import next_departures, transfer_chains, walked
 from tracewell.operators.parts import cycle_nodes
 from tracewell.session import cut
 
@@ -28,41 +28,21 @@ def grown_chains(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: int
 
     A chain begins with a transfer that is nobody's next hop, lies within window_s of it, and comes to no account
     twice. Returns start_id, nodes, span_us, first, last, total, n_less (hops that pass on less) of chains of min_hops at least.
-    One row a chain goes through each round. Legs are joined by account and time bin of one window, so that a busy
-    account's legs aren't read for every path that passes it. Self-transfers and nulls in src, dst, ts or amount are left out.
+    Self-transfers and nulls in src, dst, ts or amount are left out.
     """
-    width = window_s * 1_000_000
-    e = txn.select("txn_id", "src", "dst", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "amount").where("src <> dst").dropna()
-    legs = e.select(
-        F.col("src").alias("at"), F.floor(F.col("t") / width).alias("bin"),
-        F.struct(F.col("t").alias("t"), F.col("txn_id").alias("id"), F.col("dst").alias("to"), F.col("amount").alias("amount")).alias("leg"),
-    )
-    followers = next_hops(txn.where("src <> dst"), window_s).select(F.col("next_id").alias("txn_id")).distinct()
-    open_paths = cut(
-        e.join(followers, "txn_id", "left_anti").select(
-            F.col("txn_id").alias("start_id"), F.array("src", "dst").alias("nodes"), F.col("dst").alias("at"),
-            F.col("t").alias("t0"), "t", F.col("amount").alias("first"), F.col("amount").alias("last"), F.col("amount").alias("total"), F.lit(0).alias("n_less"),
-        )
-    )
-    ended = []
-    for _ in range(max_hops - 1):
-        bins = F.array_distinct(F.array(F.floor(F.col("t") / width), F.floor((F.col("t0") + width) / width)))
-        near = open_paths.withColumn("bin", F.explode(bins)).join(legs, ["at", "bin"])
-        near = near.where((F.col("leg.t") > F.col("t")) & (F.col("leg.t") <= F.col("t0") + width) & ~F.array_contains("nodes", F.col("leg.to")))
-        best = near.groupBy("start_id").agg(F.min("leg").alias("leg"))
-        stepped = cut(open_paths.join(best, "start_id", "left"))
-        ended.append(stepped.where("leg is null").drop("leg"))
-        open_paths = stepped.where("leg is not null").select(
-            "start_id", F.array_append("nodes", F.col("leg.to")).alias("nodes"), F.col("leg.to").alias("at"),
-            "t0", F.col("leg.t").alias("t"), "first", F.col("leg.amount").alias("last"), (F.col("total") + F.col("leg.amount")).alias("total"),
-            (F.col("n_less") + (F.col("leg.amount") < F.col("last")).cast("int")).alias("n_less"),
-        )
-        if open_paths.isEmpty():
-            break
-    out = open_paths
-    for x in ended:
-        out = out.unionByName(x)
-    return out.where(F.size("nodes") > min_hops).select("start_id", "nodes", (F.col("t") - F.col("t0")).alias("span_us"), "first", "last", "total", "n_less")
+    followers = next_departures(txn.where("src <> dst"), window_s).select(F.col("next.id").alias("txn_id")).distinct()
+    starts = txn.select("txn_id").join(followers, "txn_id", "left_anti")
+    out = walked(txn, starts, window_s, max_hops, cut).where(F.size("nodes") > min_hops)
+    return out.select("start_id", "nodes", (F.element_at("times", -1) - F.col("times")[0]).alias("span_us"), "first", "last", "total", "n_less")
+
+
+def used_once(txn: DataFrame, window_s: int, min_hops: int = 3, max_hops: int = 21) -> DataFrame:
+    """start_id, path, hops, span_s, total of the chains of asof.transfer_chains, in which a transfer that is used begins no other chain."""
+    span = F.element_at("times", -1) - F.col("times")[0]
+    path = F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">")
+    return transfer_chains(txn, window_s, cut, min_hops, max_hops).select(
+        "start_id", path.alias("path"), (F.size("nodes") - 1).cast("long").alias("hops"), (span / 1_000_000).cast("long").alias("span_s"), F.round("total", 2).alias("total")
+    )
 
 
 def long_cycles(txn: DataFrame, max_length: int = 5, min_total: float = 0.0) -> DataFrame:

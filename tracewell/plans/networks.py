@@ -167,9 +167,9 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chain_steps(window_us: int, hops: int, name: str) -> str:
-    out = [f"{name}1 AS (SELECT txn_id AS s, [src, dst] AS nodes, dst AS at, t AS t0, t, amount AS f, amount AS l, amount AS total, 0 AS less FROM eg WHERE txn_id NOT IN (SELECT next_id FROM {name}n))"]
+    out = [f"{name}1 AS MATERIALIZED (SELECT txn_id AS s, [src, dst] AS nodes, dst AS at, t AS t0, t, amount AS f, amount AS l, amount AS total, 0 AS less FROM eg WHERE txn_id NOT IN (SELECT next_id FROM {name}n))"]
     for k in range(2, hops + 1):
-        out.append(f"""{name}{k} AS (SELECT s, list_append(nodes, b.dst) AS nodes, b.dst AS at, t0, b.t, f, b.amount AS l, total + b.amount AS total, less + CAST(b.amount < l AS INT) AS less
+        out.append(f"""{name}{k} AS MATERIALIZED (SELECT s, list_append(nodes, b.dst) AS nodes, b.dst AS at, t0, b.t, f, b.amount AS l, total + b.amount AS total, less + CAST(b.amount < l AS INT) AS less
   FROM {name}{k - 1} p JOIN eg b ON p.at = b.src AND b.t > p.t AND b.t <= p.t0 + {window_us} WHERE NOT list_contains(nodes, b.dst) QUALIFY row_number() OVER (PARTITION BY s ORDER BY b.t, b.txn_id) = 1)""")
     every = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(1, hops + 1))
     nxt = f"{name}n AS (SELECT b.txn_id AS next_id FROM eg a JOIN eg b ON a.dst = b.src AND b.t > a.t AND b.t <= a.t + {window_us} WHERE b.dst <> a.src QUALIFY row_number() OVER (PARTITION BY a.txn_id ORDER BY b.t, b.txn_id) = 1)"
@@ -177,16 +177,16 @@ def _chain_steps(window_us: int, hops: int, name: str) -> str:
 
 
 @query("p5_layering", f"""
-, eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst), {_chain_steps(3_600_000_000, 5, "x")}, {_chain_steps(7_200_000_000, 6, "y")},
+, eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst), {_chain_steps(3_600_000_000, 21, "x")}, {_chain_steps(7_200_000_000, 21, "y")},
 c AS (SELECT * FROM x WHERE len(nodes) > 2 UNION ALL SELECT * FROM (SELECT * FROM y WHERE len(nodes) > 4 AND nodes NOT IN (SELECT nodes FROM x WHERE len(nodes) > 2) QUALIFY row_number() OVER (PARTITION BY nodes ORDER BY s) = 1)),
 d AS (SELECT *, len(nodes) - 1 AS hops, less / (len(nodes) - 2) AS decay, CASE WHEN f > 0 THEN l / f ELSE 0 END AS kept, CASE WHEN f > 0 THEN 1 - l / f ELSE 0 END AS lost, (t - t0) / 1000000 AS span FROM c),
 g AS (SELECT *, span <= 3600 AND decay >= 0.5 AS tight, span <= 7200 AND hops >= 4 AS far FROM d)
-SELECT array_to_string(nodes, '>') AS path, CAST(hops AS BIGINT) AS hops, CASE WHEN tight THEN 'tight' ELSE 'extended' END AS mode, round(decay, 6) AS decay, round(kept, 6) AS preserved, round(total, 2) AS total,
+SELECT array_to_string(nodes, '>') AS path, CAST(hops AS BIGINT) AS hops, (t - t0) // 1000000 AS span_s, CASE WHEN tight THEN 'tight' ELSE 'extended' END AS mode, round(decay, 6) AS decay, round(kept, 6) AS preserved, round(total, 2) AS total,
        round(greatest(0, least(1, decay * 0.4 + least(hops / 10, 0.3) + (1 - kept) * 0.3)), 6) AS score, CASE WHEN hops >= 5 AND lost >= 0.15 THEN 'CRITICAL' WHEN hops >= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
 FROM g WHERE tight OR far""", E)
 def layering(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = events_ledger(spark, sf_dir)
-    return detectors.layering(walks.grown_chains(txn, 3600, 2, 5), walks.grown_chains(txn, 7200, 4, 6), 3600, 7200).drop("span_s")
+    return detectors.layering(walks.grown_chains(txn, 3600, 2, 21), walks.grown_chains(txn, 7200, 4, 21), 3600, 7200)
 
 
 @query("p7_bipartite", """
@@ -218,12 +218,12 @@ def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g19_path_ranks", f"""
-, eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst), {_chain_steps(3_600_000_000, 4, "x")},
+, eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst), {_chain_steps(3_600_000_000, 21, "x")},
 c AS (SELECT DISTINCT nodes FROM x WHERE len(nodes) > 2), n AS (SELECT nodes, unnest(nodes) AS account FROM c),
 s AS (SELECT nodes, avg(coalesce(risk, 0)) AS m, max(coalesce(risk, 0)) AS x FROM n LEFT JOIN R USING (account) GROUP BY nodes)
 SELECT array_to_string(nodes, '>') AS path, round(m, 4) AS mean_risk, round(x, 4) AS max_risk, round(m * 0.4 + x * 0.4 + least((len(nodes) - 1) / 10, 1) * 20, 4) AS rank FROM s""", AL, R, E)
 def path_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = walks.grown_chains(events_ledger(spark, sf_dir), 3600, 2, 4).select("nodes").distinct()
+    chains = walks.grown_chains(events_ledger(spark, sf_dir), 3600, 2, 21).select("nodes").distinct()
     return networks.path_ranks(chains, _risk(tables.alerts(spark, sf_dir)))
 
 

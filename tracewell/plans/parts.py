@@ -1,13 +1,13 @@
-"""Registered queries of strongly connected parts and of cycles within them."""
+"""Registered queries of strongly connected parts, of cycles within them, and of chains that use a transfer once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import detectors, parts
-from tracewell.plans.registry import L, query
-from tracewell.sources.ledgers import orders_ledger
+from tracewell.operators import detectors, parts, walks
+from tracewell.plans.registry import E, L, query
+from tracewell.sources.ledgers import events_ledger, orders_ledger
 
 
 @query("g5_scc", """
@@ -58,3 +58,23 @@ SELECT month, array_to_string(nodes, '>') AS cycle, CAST(len(nodes) AS BIGINT) A
 def part_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = _monthly(spark, sf_dir)
     return detectors.round_trips(txn, parts.cycle_nodes(txn, by=("month",)), unit=1_234_567.0, by=("month",))
+
+
+@query("g6_used_once", """
+, eg AS MATERIALIZED (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst),
+walk AS (
+  SELECT txn_id AS s, [src, dst] AS nodes, [t] AS times, t AS t0, amount AS total FROM eg
+  UNION ALL
+  SELECT s, list_append(nodes, dst), list_append(times, t), t0, total + amount
+  FROM (SELECT p.s, p.nodes, p.times, p.t0, p.total, b.dst, b.t, b.amount, row_number() OVER (PARTITION BY p.s ORDER BY b.t, b.txn_id) AS k
+        FROM walk p JOIN eg b ON p.nodes[-1] = b.src AND b.t > p.times[-1] AND b.t <= p.t0 + 7200000000 AND NOT list_contains(p.nodes, b.dst) WHERE len(p.times) < 21) WHERE k = 1),
+whole AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY s ORDER BY len(times) DESC) = 1),
+ranked AS MATERIALIZED (
+  SELECT w.*, list_transform(range(1, len(times) + 1), lambda i: concat_ws(':', nodes[i], nodes[i + 1], times[i])) AS legs, row_number() OVER (ORDER BY d DESC, nodes[1], t0, s) AS r
+  FROM whole w JOIN (SELECT src, count(*) AS d FROM eg GROUP BY src) o ON o.src = nodes[1] WHERE len(times) >= 3),
+pick AS (
+  SELECT 0::BIGINT AS r, []::VARCHAR[] AS used, false AS ok
+  UNION ALL SELECT q.r, CASE WHEN list_contains(used, legs[1]) THEN used ELSE used || legs END, NOT list_contains(used, legs[1]) FROM pick p JOIN ranked q ON q.r = p.r + 1)
+SELECT s AS start_id, array_to_string(nodes, '>') AS path, CAST(len(times) AS BIGINT) AS hops, (times[-1] - t0) // 1000000 AS span_s, round(total, 2) AS total FROM ranked JOIN pick USING (r) WHERE ok""", "RECURSIVE " + E)
+def used_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.used_once(events_ledger(spark, sf_dir), 7200)

@@ -442,10 +442,10 @@ def _chains_sql(window_us: int, min_hops: int, max_hops: int) -> str:
     steps = [f"""
 , eg AS (SELECT txn_id, src, dst, epoch_us(ts) AS t, amount FROM E WHERE src <> dst),
 nx AS (SELECT b.txn_id AS next_id FROM eg a JOIN eg b ON a.dst = b.src AND b.t > a.t AND b.t <= a.t + {window_us} WHERE b.dst <> a.src QUALIFY row_number() OVER (PARTITION BY a.txn_id ORDER BY b.t, b.txn_id) = 1),
-c1 AS (SELECT txn_id AS start_id, [src, dst] AS nodes, dst AS at, t AS t0, t, amount AS f, amount AS l FROM eg WHERE txn_id NOT IN (SELECT next_id FROM nx))"""]
+c1 AS MATERIALIZED (SELECT txn_id AS start_id, [src, dst] AS nodes, dst AS at, t AS t0, t, amount AS f, amount AS l FROM eg WHERE txn_id NOT IN (SELECT next_id FROM nx))"""]
     for k in range(2, max_hops + 1):
         steps.append(f""",
-c{k} AS (SELECT start_id, list_append(nodes, b.dst) AS nodes, b.dst AS at, t0, b.t, f, b.amount AS l FROM c{k - 1} p JOIN eg b ON p.at = b.src AND b.t > p.t AND b.t <= p.t0 + {window_us}
+c{k} AS MATERIALIZED (SELECT start_id, list_append(nodes, b.dst) AS nodes, b.dst AS at, t0, b.t, f, b.amount AS l FROM c{k - 1} p JOIN eg b ON p.at = b.src AND b.t > p.t AND b.t <= p.t0 + {window_us}
        WHERE NOT list_contains(nodes, b.dst) QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY b.t, b.txn_id) = 1)""")
     every = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, max_hops + 1))
     return "".join(steps) + f"""
@@ -453,9 +453,9 @@ SELECT start_id, array_to_string(nodes, '>') AS path, CAST(len(nodes) - 1 AS BIG
 FROM ({every}) WHERE len(nodes) - 1 >= {min_hops} QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY len(nodes) DESC) = 1"""
 
 
-@query("g6_greedy_chains", _chains_sql(7_200_000_000, 3, 6), E)
+@query("g6_greedy_chains", _chains_sql(7_200_000_000, 3, 21), E)
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.greedy_chains(events_ledger(spark, sf_dir), 7200, 3, 6)
+    return walks.greedy_chains(events_ledger(spark, sf_dir), 7200, 3, 21)
 
 
 @query("g5_long_cycles", """
