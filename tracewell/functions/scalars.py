@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,10 +37,11 @@ def gini(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def rupees(amount: Column) -> Column:
-    """An amount as text in crores, lakhs, thousands or plain."""
-    of = lambda unit, mark: F.concat(F.lit("₹"), F.format_string("%.2f", amount / unit), F.lit(mark))
-    size = F.abs(amount)
-    return F.when(size >= 1e7, of(1e7, "Cr")).when(size >= 1e5, of(1e5, "L")).when(size >= 1e3, of(1e3, "K")).otherwise(of(1.0, ""))
+    """An amount as text in crores, lakhs, thousands or plain, with two digits, halves rounded away from 0."""
+    exact = amount.cast("decimal(28,8)")
+    of = lambda zeros, mark: F.concat(F.lit("₹"), F.round(exact * F.lit(Decimal(1).scaleb(-zeros)), 2).cast("decimal(30,2)").cast("string"), F.lit(mark))
+    size = F.abs(exact)
+    return F.when(size >= 10**7, of(7, "Cr")).when(size >= 10**5, of(5, "L")).when(size >= 10**3, of(3, "K")).otherwise(of(0, ""))
 
 
 def shapes_in(text: Column) -> Column:
@@ -48,10 +50,34 @@ def shapes_in(text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*(F.when(body.rlike(p), n) for n, p in SHAPES.items()))), ",")
 
 
-def numbers_in(text: Column) -> Column:
-    """The numbers of a text as doubles, thousands separators dropped."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\w.])-?[0-9][0-9,]*(?:\.[0-9]+)?(?![\w])"), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double"))
+#: How months and currencies begin a word in prose.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+CURRENCIES = ("", "₹", "$", "€", "rs", "rs.", "inr", "usd", "eur")
+
+
+def quantities_in(text: Column) -> Column:
+    """The quantities that a sentence states, as doubles, word by word.
+
+    A word is a quantity if its digits are one number, with commas and one point at most between them, and around them
+    stand only signs, a currency, brackets, quotes, a per cent sign or marks of a sentence's end. So dates, times, names with digits and
+    ranges aren't; nor is a number of four digits behind the name of a month. Null counts as empty.
+    """
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), " |\t|\n|\r"), lambda w: w != "")
+    pairs = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.lower(F.get(words, i - 1)).alias("before")))
+
+    def number(pair: Column) -> Column:
+        word = pair["word"]
+        core = F.regexp_extract(word, "[0-9](.*[0-9])?", 0)
+        head = F.ltrim(F.regexp_extract(word, "^[^0-9]*", 0), F.lit("([{\"'"))
+        minus = head.endswith("-")
+        currency = F.lower(F.rtrim(head, F.lit("+-")))
+        tail = F.regexp_extract(word, "[^0-9]*$", 0)
+        plain = core.rlike("^[0-9][0-9,]*([.][0-9]+)?$") & currency.isin(*CURRENCIES) & (F.ltrim(tail, F.lit(".,;:!?)]}\"'%")) == "")
+        year = (F.length(core) == 4) & core.rlike("^[0-9]+$") & F.coalesce(F.substring(pair["before"], 1, 3).isin(*MONTHS), F.lit(False))
+        value = F.replace(core, F.lit(","), F.lit("")).try_cast("double")
+        return F.when((core != "") & plain & ~year, F.when(minus, -value).otherwise(value))
+
+    return F.array_compact(F.transform(pairs, number))
 
 
 @F.pandas_udf(DoubleType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalars import SHAPES
+from tracewell.functions.scalars import SHAPES, quantities_in
 from tracewell.operators.aggregates import account_flow
 from tracewell.operators.features import ratio, risk_bucket
 from tracewell.sources.ledgers import sides_in_one_scan
@@ -86,12 +86,20 @@ def evidence_rows(txn: DataFrame, scope: DataFrame, limit: int = 50) -> DataFram
 
 
 def customer_profile(txn: DataFrame, accounts: DataFrame, expected_monthly: Column) -> DataFrame:
-    """account, occupation, declared_income, months, mean_monthly, expected, variance: actual against expected volume, as per cent of it."""
-    month = sides_in_one_scan(txn).groupBy("account", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("amount").alias("x"))
-    mean = month.groupBy("account").agg(F.count("*").alias("months"), F.avg("x").alias("m"))
+    """account, occupation, declared_income, months, mean_monthly, expected, variance: actual against expected volume, as per cent of it.
+
+    Sums are decimal, so that the mean doesn't depend on their order; it is rounded to cents, halves up, before it is compared.
+    """
+    sums = sides_in_one_scan(txn).groupBy("account", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum(F.col("amount").cast("decimal(28,4)")).alias("x"))
+    mean = sums.groupBy("account").agg(F.count("*").alias("months"), F.sum("x").cast("decimal(26,4)").alias("x"))
+    mean = mean.select("account", "months", F.round(F.col("x") / F.col("months").cast("decimal(8,0)"), 2).cast("double").alias("m"))
     rows = accounts.join(mean, "account", "left").withColumn("e", expected_monthly)
     m = F.coalesce("m", F.lit(0.0))
-    return rows.select("account", "occupation", "declared_income", F.coalesce("months", F.lit(0)).alias("months"), F.round(m, 2).alias("mean_monthly"), F.round("e", 2).alias("expected"), F.round(F.try_divide(100 * (m - F.col("e")), F.col("e")), 2).alias("variance"))
+    cents = lambda c: F.round(c.cast("decimal(28,6)"), 2).cast("double")
+    return rows.select(
+        "account", "occupation", "declared_income", F.coalesce("months", F.lit(0)).alias("months"), m.alias("mean_monthly"),
+        cents(F.col("e")).alias("expected"), cents(F.try_divide(100 * (m - F.col("e")), F.col("e"))).alias("variance"),
+    )
 
 
 def case_transfers(txn: DataFrame, members: DataFrame) -> DataFrame:
@@ -152,15 +160,6 @@ def same_value(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), close).otherwise(F.lower(F.trim(a)).eqNullSafe(F.lower(F.trim(b))))
 
 
-def claimed_numbers(statement: Column) -> Column:
-    """Numbers that a sentence states: dates, clock times and months with years are no quantities, signs of currency are dropped."""
-    text = F.coalesce(statement, F.lit(""))
-    for pattern in (r"\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?)?Z?", r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?\b", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+\d{4}\b", r"(?i)(?:rs\.?|inr|usd|₹|\$)\s*"):
-        text = F.regexp_replace(text, pattern, " ")
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.-])[-+]?\d[\d,]*(?:\.\d+)?(?![\w-])"), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double"))
-
-
 def grounding(claims: DataFrame, facts: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """claim_id, accepted, reason of claims (claim_id, statement, citations array<struct<fact_key, value>>) against facts (fact_key, value).
 
@@ -171,7 +170,7 @@ def grounding(claims: DataFrame, facts: DataFrame, tolerance: float = 1e-6) -> D
     per = cited.join(known, "fact_key", "left")
     bad = F.when(F.col("known").isNull(), F.concat(F.lit("unknown fact "), "fact_key")).when(~same_value(F.col("said"), F.col("actual"), tolerance), F.concat(F.lit("misreported "), "fact_key"))
     per = per.groupBy("claim_id").agg(F.min(F.when(bad.isNotNull(), F.struct("k", bad.alias("why")))).alias("first"), F.collect_list(_number(F.col("actual"))).alias("values"))
-    rows = claims.select("claim_id", claimed_numbers(F.col("statement")).alias("numbers")).join(per, "claim_id", "left")
+    rows = claims.select("claim_id", quantities_in(F.col("statement")).alias("numbers")).join(per, "claim_id", "left")
     near = lambda n: F.exists("values", lambda v: F.abs(n - v) <= F.greatest(F.abs(v) * tolerance, F.lit(tolerance)))
     loose = F.filter("numbers", lambda n: ~F.coalesce(near(n), F.lit(False)))
     reason = F.when(F.col("values").isNull(), "cites no facts").when(F.col("first").isNotNull(), F.col("first.why")).when(F.size(loose) > 0, "states an ungrounded number")

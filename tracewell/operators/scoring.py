@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.aggregates import counts_below
 from tracewell.operators.features import PATTERN_WEIGHTS, ratio
+from tracewell.operators.rules import SEVERITIES
 
 #: Centralities from which on an account counts as central.
 HIGH_PAGERANK, HIGH_BETWEENNESS = 0.005, 0.01
@@ -89,14 +90,15 @@ def priority(risk: Column, level: Column, amount: Column, accounts: Column) -> C
 def alert_rows(findings: DataFrame, scores: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
     """One alert a finding (account_ids array<string>, kind, day, score, severity), ids repeatable.
 
-    The set of accounts is sorted and distinct; the primary one has the greatest risk score of scores (account as text, risk),
+    Of the same finding the greatest score and severity stay. The set of accounts is sorted and distinct; the primary one has the greatest risk score of scores (account as text, risk),
     ties by place; an alert on a watched account (account) is P1, else its priority follows risk, one indicator and no amount.
     """
     ids = F.array_sort(F.array_distinct("account_ids"))
     rows = findings.where(F.size("account_ids") > 0).withColumn("ids", ids)
     key = F.concat_ws("-", F.array_join("ids", ","), "kind", F.col("day").cast("string"))
     rows = rows.withColumn("alert_id", F.concat(F.lit("ALT-"), F.upper(F.substring(F.sha2(key, 256), 1, 12))))
-    rows = rows.groupBy("alert_id").agg(F.first("ids").alias("ids"), F.first("kind").alias("kind"), F.first("day").alias("day"), F.max("score").alias("score"), F.max("severity").alias("severity"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0))
+    rows = rows.groupBy("alert_id").agg(F.first("ids").alias("ids"), F.first("kind").alias("kind"), F.first("day").alias("day"), F.max("score").alias("score"), F.max(F.struct(rank, "severity"))["severity"].alias("severity"))
     each = rows.select("alert_id", F.posexplode("ids").alias("place", "account")).join(scores.select("account", "risk"), "account", "left")
     watched = each.join(watchlist.select("account").distinct().withColumn("w", F.lit(True)), "account", "left") if watchlist is not None else each.withColumn("w", F.lit(None).cast("boolean"))
     best = watched.groupBy("alert_id").agg(F.max(F.struct(F.coalesce("risk", F.lit(0.0)).alias("risk"), (-F.col("place")).alias("k"), "account")).alias("b"), F.max(F.coalesce("w", F.lit(False))).alias("watched"))

@@ -71,8 +71,9 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("i3_customer_profile", """
-, m AS (SELECT account, strftime(ts, '%Y-%m') AS month, sum(amount) AS x FROM B GROUP BY ALL), g AS (SELECT account, count(*) AS months, avg(x) AS m FROM m GROUP BY account)
-SELECT account, occupation, declared_income, coalesce(months, 0) AS months, round(coalesce(m, 0), 2) AS mean_monthly, round(declared_income / 12 + 10000, 2) AS expected, round(100 * (coalesce(m, 0) - (declared_income / 12 + 10000)) / (declared_income / 12 + 10000), 2) AS variance FROM A LEFT JOIN g USING (account)""", L, BL, A)
+, g AS (SELECT account, count(DISTINCT strftime(ts, '%Y-%m')) AS months, sum(CAST(round(amount * 100) AS BIGINT)) AS cents FROM B GROUP BY account),
+m AS (SELECT account, months, ((2 * cents + months) // (2 * months)) / 100 AS m, declared_income / 12 + 10000 AS e, occupation, declared_income FROM A LEFT JOIN g USING (account))
+SELECT account, occupation, declared_income, coalesce(months, 0) AS months, coalesce(m, 0) AS mean_monthly, CAST(round(CAST(e AS DECIMAL(28, 6)), 2) AS DOUBLE) AS expected, CAST(round(CAST(100 * (coalesce(m, 0) - e) / e AS DECIMAL(28, 6)), 2) AS DOUBLE) AS variance FROM m""", L, BL, A)
 def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.customer_profile(orders_ledger(spark, sf_dir), accounts(spark, sf_dir), F.col("declared_income") / 12 + 10_000)
 
@@ -192,9 +193,12 @@ def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalars.gini(table(spark, sf_dir, "events"), "user_id", "value").select("user_id", F.round("gini", 6).alias("gini"))
 
 
-@query("fn_rupees", "SELECT event_id, CASE WHEN value * 100000 >= 1e7 THEN printf('₹%.2fCr', value * 100000 / 1e7) WHEN value * 100000 >= 1e5 THEN printf('₹%.2fL', value * 100000 / 1e5) WHEN value * 100000 >= 1e3 THEN printf('₹%.2fK', value * 100000 / 1e3) ELSE printf('₹%.2f', value * 100000) END AS text FROM events WHERE CAST(value * 100 AS BIGINT) % 10 NOT IN (5)")
+@query("fn_rupees", """
+WITH a AS (SELECT event_id, CAST(value AS DECIMAL(18, 4)) * 100000 AS x FROM events), u AS (SELECT *, CASE WHEN x >= 10000000 THEN 7 WHEN x >= 100000 THEN 5 WHEN x >= 1000 THEN 3 ELSE 0 END AS z FROM a),
+h AS (SELECT event_id, z, (CAST(x * 10000 AS HUGEINT) * 2 + CAST(pow(10, z + 2) AS HUGEINT)) // (CAST(pow(10, z + 2) AS HUGEINT) * 2) AS hundredths FROM u)
+SELECT event_id, '₹' || (hundredths // 100) || '.' || lpad(CAST(hundredths % 100 AS VARCHAR), 2, '0') || CASE z WHEN 7 THEN 'Cr' WHEN 5 THEN 'L' WHEN 3 THEN 'K' ELSE '' END AS text FROM h""")
 def rupees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("cast(round(value * 100) as bigint) % 10 <> 5").select("event_id", scalars.rupees(F.col("value") * 100_000).alias("text"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.rupees(F.col("value").cast("decimal(18,4)") * 100_000).alias("text"))
 
 
 @query("fn_shapes", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'mobile' ELSE '' END AS shapes FROM customer", A)

@@ -133,7 +133,7 @@ def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m9_alert_rows", """
 , f AS (SELECT ['s' || account, 'p' || (account % 5), 's' || account] AS ids, kind, CAST(created AS DATE) AS day, score, severity FROM AL),
-i AS (SELECT list_sort(list_distinct(ids)) AS ids, kind, day, max(score) AS score, max(severity) AS severity FROM f GROUP BY ALL),
+i AS (SELECT list_sort(list_distinct(ids)) AS ids, kind, day, max(score) AS score, arg_max(severity, list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) AS severity FROM f GROUP BY ALL),
 w AS (SELECT 's' || account AS account, max(risk) AS risk FROM AL GROUP BY account),
 r AS (SELECT *, 'ALT-' || upper(substr(sha256(concat_ws('-', array_to_string(ids, ','), kind, day)), 1, 12)) AS alert_id, coalesce((SELECT risk FROM w WHERE w.account = ids[2]), 0) AS rs FROM i)
 SELECT alert_id, array_to_string(ids, ',') AS account_ids, ids[CASE WHEN rs > 0 THEN 2 ELSE 1 END] AS primary_account, kind, CAST(day AS VARCHAR) AS day, round(score, 6) AS score, severity, round(rs, 2) AS risk,
