@@ -32,13 +32,17 @@ from tracewell.llm.common import broadcast_if_small, materialise
 
 MIN_LENGTH, MIN_COUNT, FACTOR, TYPO_EVERY = 6, 5, 5, 199
 _RUN = re.compile("[a-zÀ-ÿ]+")
-#: Letters of one subtree's trie at most, unless one place of its words is left; letters of partial counts that a task holds.
-SUBTREE, HELD = 200_000, 8_000_000
+#: Letters of one subtree's trie at most, unless one place of its words is left; letters of partial counts, and 40 a word, that a task holds.
+SUBTREE, HELD = 200_000, 12_000_000
 BROADCAST_ROWS = 500_000
 
 
-def count_runs(doc_id: int | None, text: str, counts: Counter, typo_every: int, min_length: int) -> None:
-    """Add the text's words of min_length letters at least to counts; a run whose hash typo_every divides loses one letter."""
+def count_runs(doc_id: int | None, text: str, counts: Counter, typo_every: int, min_length: int) -> int:
+    """Add the text's words of min_length letters at least to counts; a run whose hash typo_every divides loses one letter.
+
+    Returns how many letters, and 40 a word, the new words take.
+    """
+    taken = 0
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
     lowered = text.encode().lower().decode()
     for run, n in Counter(_RUN.findall(lowered)).items():
@@ -49,7 +53,10 @@ def count_runs(doc_id: int | None, text: str, counts: Counter, typo_every: int,
                 run = run[:i] + run[i + 1 :]
                 if len(run) < min_length:
                     continue
+            if run not in counts:
+                taken += len(run) + 40
             counts[run] += n
+    return taken
 
 
 def vocabulary(
@@ -59,16 +66,18 @@ def vocabulary(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        held = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                count_runs(doc_id, text.as_py() or "", counts, typo_every, min_length)
-                if len(counts) * 40 > HELD or len(counts) > 1000 and sum(map(len, counts)) > 4 * HELD:
+                held += count_runs(doc_id, text.as_py() or "", counts, typo_every, min_length)
+                if held > HELD:
                     yield out()
                     counts.clear()
+                    held = 0
         yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
