@@ -31,6 +31,32 @@ def test_boosted_trees_learn_and_are_cut_by_validation(spark):
     assert ml.best_threshold(spark.createDataFrame([(1, 0.9), (1, 0.6), (0, 0.3), (0, 0.1)], "label int, score double")) == 0.6
 
 
+def test_contributions_add_up_to_the_trees_scores(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    rows = rows_of(spark)
+    columns = ["a", "b", "c"]
+    labels = rows.selectExpr("account", "int((coalesce(a, 0) > 0.8) <> (account % 9 = 0)) as label")  # some are wrong
+    parts = rows.selectExpr("account", "case when account % 10 < 7 then 'train' when account % 10 = 7 then 'validation' else 'test' end as part")
+    model = ml.fraud_model(rows, columns, labels, parts, rounds=60)
+    assert 1 < len(model.trees) < 60  # the validation part has stopped it
+    got = {r.account: r for r in ml.contributions(rows, model).collect()}
+    assert all(abs(model.base + sum(r.parts) - r.raw) < 1e-9 for r in got.values()) and len(got) == 403
+    # the same rounds by Spark: their loss on the validation part is the least, and its raw scores are those of the trees
+    ready = rows.join(labels, "account").join(parts, "account").where("part <> 'test'").fillna(0.0)
+    ready = VectorAssembler(inputCols=columns, outputCol="v").transform(ready).withColumn("w", F.when(F.col("label") == 1, 15.0).otherwise(1.0))
+    gbt = lambda n: GBTClassifier(featuresCol="v", labelCol="label", weightCol="w", maxIter=n, maxDepth=ml.DEPTH, stepSize=ml.STEP, seed=ml.SEED).fit(ready.where("part = 'train'"))
+    losses = gbt(60).evaluateEachIteration(ready.where("part = 'validation'"))
+    assert min(losses) == losses[len(model.trees) - 1]
+    want = {r.account: float(r.rawPrediction[1]) for r in gbt(len(model.trees)).transform(ready).collect()}
+    assert all(abs(got[a].raw - x) < 1e-9 for a, x in want.items())
+    # what is far above the bound is driven by its own feature
+    named = scoring.explained(ml.by_feature(ml.contributions(rows, model), model), 2).collect()
+    assert next(r.drivers.split(",")[0] for r in named if r.account == 402) == "a"
+
+
 def test_confidence_and_priority_ladders(spark):
     from pyspark.sql import functions as F
 
