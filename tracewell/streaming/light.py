@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from tracewell.sources.ledgers import sides_in_one_scan
 
 
-def _alerts(rows: DataFrame, pattern: str, day: str, risk: Column, level: Column) -> DataFrame:
-    key = F.concat_ws("-", F.col("account").cast("string"), F.lit(pattern), F.lit(day))
+def named_alerts(rows: DataFrame, pattern: str, day: Column, risk: Column, level: Column, *more: str) -> DataFrame:
+    """Alerts of one pattern with their ids, and more columns of rows."""
+    key = F.concat_ws("-", F.col("account").cast("string"), F.lit(pattern), day)
     ident = F.concat(F.lit("ALT-"), F.upper(F.substring(F.sha2(key, 256), 1, 12)))
-    return rows.where("account IS NOT NULL").select(ident.alias("alert_id"), "account", F.lit(pattern).alias("pattern"), F.round(risk.cast("double"), 1).alias("risk"), level.alias("level"))
+    return rows.where("account IS NOT NULL").select(ident.alias("alert_id"), "account", F.lit(pattern).alias("pattern"), F.round(risk.cast("double"), 1).alias("risk"), level.alias("level"), *more)
+
+
+def _alerts(rows: DataFrame, pattern: str, day: str, risk: Column, level: Column) -> DataFrame:
+    return named_alerts(rows, pattern, F.lit(day), risk, level)
 
 
 def structuring(txn: DataFrame, day: str, lower: float = 900_000, upper: float = 1_000_000) -> DataFrame:
