@@ -36,6 +36,16 @@ def test_exact_dedup_equals_grouping(docs, repeated):
     assert exact_dedup.exact_dedup(docs.limit(0)).collect() == []
 
 
+def test_texts_of_null_ids_are_verified_too(spark):
+    texts = [f"text number {i} " + "word " * (i % 40) for i in range(300)]
+    rows = [*enumerate(texts), (None, texts[5]), (900, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for digest_bytes in (32, 1):
+        got = exact_dedup.exact_dedup(docs, digest_bytes=digest_bytes).collect()
+        assert sorted((str(r.doc_id), r.keep_id, r.kept) for r in got if r.group_size == 3) == [("5", 900, False), ("900", 900, True), ("None", 900, False)]
+        assert sum(r.group_size == 1 for r in got) == 299
+
+
 def test_chunks_put_together_are_the_text(spark, docs):
     from pyspark.sql import functions as F
 

@@ -123,7 +123,7 @@ def test_pattern_graph_equals_brute_force(spark):
     texts += [f'token = "{key()}" ok' for _ in range(30)] + [f'TOKEN = "{key().upper()}" ok' for _ in range(3)]
     texts += [f"from {rng.choice(['a', 'b'])}{i}@x{i}.org and b{i}@localhost now" for i in range(25)] + ["", "call", "reach 5551234567 ring me at 5559876543 today"]
     docs = dict(enumerate(texts))
-    got = pii.find_pii(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    got = pii.find_pii(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4), secrets=True).collect()
     want = brute_force(docs)
     base = {i: set(naive(t)) for i, t in docs.items()}
     more = {r.doc_id: sorted({tuple(x) for x in r.spans} - base[r.doc_id]) for r in got}
@@ -133,6 +133,42 @@ def test_pattern_graph_equals_brute_force(spark):
     assert all(not more[i] for i in range(60, 90))  # serial numbers of the same shape stay
 
 
+def test_unseen_forms_are_found_by_their_contexts(spark):
+    """Phones without a prefix and addresses without a dot, which no base rule takes, among numbers and handles of the same shapes elsewhere."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    filler = lambda: " ".join(word() for _ in range(rng.randint(3, 30)))
+    local = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    contexts = {"phone": ["please call me at", "you reach us under", "fax or phone:"], "email": ["write a mail to", "contact our desk via"]}
+    others = ["serial number", "invoice", "the part with code", "follow the handle"]
+    texts, planted = [], set()
+    for i in range(1500):
+        kind = rng.choice(["phone", "email", None])
+        lead = filler() + " " + (rng.choice(contexts[kind]) if kind else rng.choice(others)) + " "
+        usual = rng.random() < 0.9
+        if kind == "phone":
+            value = ("+1 " if usual else "") + local()
+        elif kind == "email":
+            value = f"{word()}{rng.randint(10, 99)}@{word()}" + (".org" if usual else "")
+        else:
+            value = local() if rng.random() < 0.5 else f"{word()}@{word()}"
+        if kind and not usual:
+            planted.add((i, ["email", "ip", "card", "phone"].index(kind), len(lead), len(lead) + len(value)))
+        texts.append(lead + value + " " + filler())
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    base = {(i, *x) for i, t in enumerate(texts) for x in naive(t)}
+    more = {(r.doc_id, *x) for r in got for x in r.spans} - base
+    assert len(planted) > 60
+    assert len(more & planted) >= 0.9 * len(planted) and len(more & planted) >= 0.9 * len(more)
+
+
+def test_keys_are_seeds_only_if_asked_for(spark):
+    docs = spark.createDataFrame([(1, "key 0123456789abcdef0123456789abcdef here")], "doc_id long, text string")
+    assert pii.pii_digest(pii.find_pii(docs)).first().spans == ""
+    assert pii.pii_digest(pii.find_pii(docs, secrets=True)).first().spans == "secret:4:36"
+    assert pii.mask_pii(docs).first().text == "key [SECRET] here"
+
+
 def test_many_matches_in_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)  # and the shuffled joins
     text = " ".join(f"mail{i}@host{i % 9}.org" for i in range(9000)) + " " + "x" * 30_000 + " é 1.2.3.4"

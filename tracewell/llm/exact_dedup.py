@@ -59,7 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(recipes(docs, id_col, text_col, digest_bytes), "recipes")
     shared = rows.groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1").select("recipe")
     suspects = materialise(rows.join(materialise(shared, "shared-recipes"), "recipe", "left_semi").select("doc_id").distinct(), "suspects")
-    texts = _texts(docs, id_col, text_col).join(broadcast_if_small(suspects, BROADCAST_IDS), "doc_id", "left_semi")
+    asked = suspects.withColumnRenamed("doc_id", "suspect")
+    texts = _texts(docs, id_col, text_col).join(broadcast_if_small(asked, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
 
     # each distinct chunk of these documents once, under its digest
     contents = texts.select(F.explode(F.array_distinct(chunks(F.col("text")))).alias("chunk")).distinct()
@@ -78,7 +79,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("doc_id", "text_sha256")
             .agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "ordinal")))).alias("o"))
         )
-        rows = rows.join(ordinals, ["doc_id", "text_sha256"], "left").withColumn("ordinals", F.coalesce("o", F.lit(""))).drop("o")
+        ordinals = ordinals.select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha"), "o")
+        same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_sha256") == F.col("sha"))
+        rows = rows.join(ordinals, same, "left").withColumn("ordinals", F.coalesce("o", F.lit(""))).drop("o", "of", "sha")
         rows = materialise(rows, "verified-recipes")
 
     groups = rows.groupBy("recipe", "ordinals").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where("n > 1")

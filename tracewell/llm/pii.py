@@ -1,13 +1,13 @@
 """Personal data: exact base spans, and more by bootstrapped contextual extraction; DataFrame functions only.
 
-Base spans (email, ip, card, phone) are the seeds, and so are keys: runs of 32 hexadecimal digits or more, of a kind of
-their own, `secret`. Every candidate (a token with an @, a token of 16 letters and digits or more, a stretch of six
+Base spans (email, ip, card, phone) are the seeds. With `secrets`, so are keys: runs of 32 hexadecimal digits or more, of a kind of
+their own, `secret`, behind the others; `find_pii` leaves them out unless asked, `mask_pii` masks them. Every candidate (a token with an @, a token of 16 letters and digits or more, a stretch of six
 digits or more with separators) gives lexical patterns from the text around it: the two words before; the word
 before; the word before with the word after; the word before with the value's shape. Patterns and candidate values
 form a graph. In each round a pattern's mean confidence over all its values is known for each kind, and its score is the
 lower end of the Wilson interval of that mean, so how many values a pattern needs follows from how pure it is: seven
 known ones if all are of one kind, more otherwise. A value not known yet takes the score of its best pattern of
-CONFIDENCE or more. Rounds go on until no value is added. Counts are combined before each shuffle, scores are broadcast
+CONFIDENCE or more. Rounds go on until no value is added; scores only grow, so they end. Counts are combined before each shuffle, scores are broadcast
 below a counted bound, and so a frequent pattern is one row per task.
 
 Cost: linear in a text's length, and in its matches up to a square over GROUP**2. No length is capped.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import Scratch, broadcast_if_small
 
 KINDS = ["email", "ip", "card", "phone"]
-#: All names of spans: those of the base patterns, and keys, which the method adds.
+#: All names of spans: those of the base patterns, and keys.
 NAMES = [*KINDS, "secret"]
 _LOCAL = "A-Za-z0-9._%+-"
 #: The contract's patterns, with possessive repeats and a look behind that only skip starts which must fail.
@@ -45,8 +45,6 @@ CANDIDATE = "|".join([
 SECRET = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
 #: Least score of a pattern, and the normal quantile of its interval.
 CONFIDENCE, Z = 0.7, 1.645
-#: Rounds after which the search ends although values are still added.
-MAX_ROUNDS = 20
 BROADCAST_ROWS = 2_000_000
 #: Matches whose places are found by one running sum, and characters of a piece that is masked by itself.
 GROUP, PIECE = 64, 4096
@@ -163,12 +161,13 @@ def wilson(share: Column, n: Column, z: float = Z) -> Column:
     return (centre - z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def discovered(scanned: DataFrame, lasting: Scratch, confidence: float = CONFIDENCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """key, more: the spans that keys and high-confidence patterns add to a document, from (key, base, cands)."""
+def discovered(scanned: DataFrame, lasting: Scratch, confidence: float = CONFIDENCE, secrets: bool = False) -> DataFrame:
+    """key, more: the spans that high-confidence patterns, and keys if asked for, add to a document, from (key, base, cands)."""
     scratch = Scratch()
     rows = scanned.where("size(cands) > 0").dropDuplicates(["key"]).select("key", "base", F.explode("cands").alias("x"))
     hit = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-    kind = F.when(F.size(hit) > 0, F.element_at(hit, 1)["k"]).when(F.col("x.value").rlike(SECRET), len(KINDS))
+    kind = F.when(F.size(hit) > 0, F.element_at(hit, 1)["k"])
+    kind = kind.when(F.col("x.value").rlike(SECRET), len(KINDS)) if secrets else kind
     rows = scratch(rows.select("key", "x.s", "x.e", "x.value", kind.alias("kind"), context_patterns(F.col("x")).alias("patterns")), "pii-candidates")
     graph = rows.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.max("kind").alias("kind"))
     seeds = scratch(rows.where("kind is not null").groupBy("value").agg(F.max("kind").alias("as_kind"), F.lit(1.0).alias("c")), "pii-seeds")
@@ -176,7 +175,7 @@ def discovered(scanned: DataFrame, lasting: Scratch, confidence: float = CONFIDE
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("n"))
     sizes = scratch(sizes.where(wilson(F.lit(1.0), F.col("n")) >= confidence), "pii-patterns")
     known, added = seeds, 0
-    for _ in range(max_rounds):
+    while True:
         scores = graph.join(broadcast_if_small(known, BROADCAST_ROWS), "value").groupBy("pattern", "as_kind").agg(F.sum("c").alias("c")).join(sizes, "pattern")
         scores = scores.withColumn("score", wilson(F.least(F.col("c") / F.col("n"), F.lit(1.0)), F.col("n"))).where(F.col("score") >= confidence)
         scores = scratch(scores.select("pattern", "as_kind", "score"), "pii-scores")
@@ -205,11 +204,11 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("key__").alias("key"), base_spans(F.col("text__")).alias("base"), candidates(F.col("text__")).alias("cands"))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secrets: bool = False) -> DataFrame:
     """doc_id, key__, base and spans: arrays of (k, s, e), base ones in their order and all, by kind and start."""
     lasting = Scratch()
     scanned = lasting(_scanned(docs, id_col, text_col), "pii-scan")
-    more = broadcast_if_small(discovered(scanned, lasting), BROADCAST_ROWS)
+    more = broadcast_if_small(discovered(scanned, lasting, secrets=secrets), BROADCAST_ROWS)
     joined = scanned.select("doc_id", "key", "base").join(more, "key", "left")
     spans = F.array_sort(F.array_union("base", F.coalesce("more", F.expr(f"cast(array() AS {SPAN})"))))
     return joined.select("doc_id", F.col("key").alias("key__"), "base", spans.alias("spans"))
@@ -254,13 +253,13 @@ def masked(text: Column, spans: Column) -> Column:
     return _let(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))), whole)
 
 
-def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secrets: bool = True) -> DataFrame:
     """The documents with personal data in their texts replaced; documents without any are as they were.
 
     Base spans are found anew where a text lies; only what patterns add is joined to it, broadcast below a counted bound.
     """
     scratch, lasting = Scratch(), Scratch()
-    more = discovered(scratch(_scanned(docs, id_col, text_col).where("size(cands) > 0"), "pii-scan"), lasting)
+    more = discovered(scratch(_scanned(docs, id_col, text_col).where("size(cands) > 0"), "pii-scan"), lasting, secrets=secrets)
     scratch.drop()
     named = [F.col(f"`{c}`") for c in docs.columns]  # as one struct, so that no column's name clashes
     rows = _key(docs.select(F.struct(*named).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
