@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalars import keyed_hash, name_similarity
-from tracewell.operators.graph import collapsed, ego_edges, hop_distances, quantile_of_counts, roles
+from tracewell.functions.scalars import keyed_hash
+from tracewell.operators.graph import collapsed, ego_edges, hop_distances, roles
+from tracewell.operators.names import similar_names
+from tracewell.operators.quantiles import exact_quantiles
 from tracewell.operators.sets import touching
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
@@ -53,7 +55,7 @@ def network_risk(members: DataFrame, txn: DataFrame, cycles: DataFrame, reports:
     flow = sides_in_one_scan(inner).groupBy("account").agg(F.sum(F.when(F.col("direction") == "in", F.col("amount")).otherwise(0.0)).alias("x"), F.sum((F.col("direction") == "in").cast("int")).alias("i"), F.sum((F.col("direction") == "out").cast("int")).alias("o"))
     flow = flow.withColumns({"x": F.round("x", 2), "d": F.col("i") * F.col("o")})
     flow = cut(flow)
-    bounds = F.broadcast(quantile_of_counts(flow, "x", 0.75, "px").join(quantile_of_counts(flow, "d", 0.75, "pd")))
+    bounds = F.broadcast(exact_quantiles(flow, "x", {"px": 0.75}).join(exact_quantiles(flow, "d", {"pd": 0.75})))
     central = flow.join(bounds).select("account", ((F.col("x") > F.col("px")) | (F.col("d") > F.col("pd"))).cast("int").alias("central"))
     per = members.distinct().join(role, "account", "left").join(central, "account", "left").join(flags, "account", "left")
     n = lambda c: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).alias(c)
@@ -105,21 +107,14 @@ def path_ranks(chains: DataFrame, scores: DataFrame) -> DataFrame:
 def related_customers(customers: DataFrame, key: bytes, min_ratio: float = 0.85, blocks: list[str] | None = None) -> DataFrame:
     """entity_a, entity_b, attribute, confidence, value_hash of customers (customer_id, name, tax_id) that look related.
 
-    The same tax number: an equal join, 0.95, with the number's keyed hash. Similar names: pairs of a block whose
-    lengths allow the ratio at all; without `blocks` (columns that two related customers share, such as a city), customers
-    are blocked by their names' length in characters and its neighbours, which loses none. Each pair once, the lesser first.
+    The same tax number: an equal join, 0.95, with the number's keyed hash. Similar names: names.similar_names, which loses none;
+    blocks are columns that two related customers share, such as a city. Each pair once, the lesser first.
     """
     tax = customers.where("tax_id IS NOT NULL AND trim(tax_id) <> ''").select("customer_id", F.upper(F.trim("tax_id")).alias("t"))
     a, b = tax.select(F.col("customer_id").alias("entity_a"), "t"), tax.select(F.col("customer_id").alias("entity_b"), "t")
     same = a.join(b, "t").where("entity_a < entity_b").select("entity_a", "entity_b", F.lit("tax_id").alias("attribute"), F.lit(0.95).alias("confidence"), keyed_hash(F.col("t"), key).alias("value_hash"))
-    named = customers.where("name IS NOT NULL AND trim(name) <> ''").withColumn("size", F.length(F.trim("name")))
-    # 2 * min / (a + b) >= ratio bounds the longer name by the shorter one's length
-    reach = (2 - min_ratio) / min_ratio
-    left = named.select(F.col("customer_id").alias("entity_a"), F.col("name").alias("na"), F.col("size").alias("sa"), *(blocks or []), F.explode(F.sequence(F.col("size"), F.floor(F.col("size") * reach).cast("int"))).alias("size"))
-    right = named.select(F.col("customer_id").alias("entity_b"), F.col("name").alias("nb"), *(blocks or []), "size")
-    pairs = left.join(right, ["size", *(blocks or [])]).where((F.col("size") > F.col("sa")) | (F.col("entity_a") < F.col("entity_b")))
-    pairs = pairs.withColumn("ratio", name_similarity("na", "nb")).where(F.col("ratio") >= min_ratio)
-    like = pairs.select(F.least("entity_a", "entity_b").alias("entity_a"), F.greatest("entity_a", "entity_b").alias("entity_b"), F.lit("name").alias("attribute"), F.round("ratio", 4).alias("confidence"), F.lit(None).cast("string").alias("value_hash"))
+    pairs = similar_names(customers.select(F.col("customer_id").alias("id"), "name", *(blocks or [])), min_ratio, tuple(blocks or ()))
+    like = pairs.select(F.col("id_a").alias("entity_a"), F.col("id_b").alias("entity_b"), F.lit("name").alias("attribute"), F.round("ratio", 4).alias("confidence"), F.lit(None).cast("string").alias("value_hash"))
     return same.unionByName(like)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.quantiles import exact_quantiles
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
 
@@ -78,8 +79,9 @@ def amount_histogram(txn: DataFrame, low: float, high: float, bins: int = 10) ->
 
 
 def amount_percentiles(txn: DataFrame) -> DataFrame:
-    of = lambda q: F.round(F.percentile("amount", F.lit(q)), 6)
-    return txn.groupBy("channel").agg(of(0.5).alias("p50"), of(0.75).alias("p75"), of(0.95).alias("p95"))
+    """p50, p75 and p95 of each channel's amounts."""
+    found = exact_quantiles(txn, "amount", {"p50": 0.5, "p75": 0.75, "p95": 0.95}, ("channel",))
+    return found.select("channel", *(F.round(c, 6).alias(c) for c in ("p50", "p75", "p95")))
 
 
 def counts_below(rows: DataFrame, order: str, count: str, name: str) -> DataFrame:

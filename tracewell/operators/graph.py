@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.asof import next_departures
+from tracewell.operators.quantiles import exact_quantiles
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
 
@@ -31,8 +32,7 @@ def centrality(txn: DataFrame) -> DataFrame:
 def roles(txn: DataFrame) -> DataFrame:
     """SOURCE, SINK, MULE or NORMAL with a confidence, by the shares of in- and outflow against their third quartiles.
 
-    The quartile of all shares is found from counts of shares rounded to five digits, so no task holds them all;
-    accounts without any flow are NORMAL.
+    The quartiles of all shares, rounded to five digits, are exact and found by ranges; accounts without any flow are NORMAL.
     """
     money = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0.0))
     flows = sides_in_one_scan(txn).groupBy("account").agg(
@@ -41,8 +41,8 @@ def roles(txn: DataFrame) -> DataFrame:
     )
     total = F.col("inflow") + F.col("outflow")
     share = lambda c: F.round(F.coalesce(F.try_divide(c, total), F.lit(0.0)), 5)
-    flows = flows.withColumns({"in_share": share("inflow"), "out_share": share("outflow")})
-    bounds = F.broadcast(quantile_of_counts(flows, "in_share", 0.75, "p_in").join(quantile_of_counts(flows, "out_share", 0.75, "p_out")))
+    flows = cut(flows.withColumns({"in_share": share("inflow"), "out_share": share("outflow")}))
+    bounds = F.broadcast(exact_quantiles(flows, "in_share", {"p_in": 0.75}).join(exact_quantiles(flows, "out_share", {"p_out": 0.75})))
     source = (F.col("out_share") > F.col("p_out")) & (F.col("in_share") < 0.3)
     sink = (F.col("in_share") > F.col("p_in")) & (F.col("out_share") < 0.3)
     mule = F.col("in_share").between(0.3, 0.7) & (F.col("n_in") >= 2) & (F.col("n_out") >= 2)
@@ -52,21 +52,6 @@ def roles(txn: DataFrame) -> DataFrame:
     return flows.join(bounds).select("account", "inflow", "outflow", "n_in", "n_out", role.alias("role"), F.round(sure, 3).alias("confidence"))
 
 
-def quantile_of_counts(rows: DataFrame, column: str, q: float, name: str) -> DataFrame:
-    """One row: the interpolated quantile of a column of few distinct values, from a count of each, summed in order."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("c"), F.sum("n").alias("total"))
-    place = (F.col("total") - 1) * q
-
-    def at(k):
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["n"] > k), x["v"].cast("double")).otherwise(a["v"]).alias("v"))
-        return F.aggregate("c", start, step, lambda a: a["v"])
-
-    low, high = at(F.floor(place)), at(F.ceil(place))
-    return one.select((low + (high - low) * (place - F.floor(place))).alias(name))
-
-
 def short_cycles(txn: DataFrame, min_ratio: float = 0.0) -> DataFrame:
     """Cycles of two and three accounts, each once, starting at its least account; return_ratio = last over first leg."""
     e = collapsed(txn).where("src <> dst")

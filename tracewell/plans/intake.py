@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.plans.registry import A, E, L, query
-from tracewell.sources import ingest
+from tracewell.session import shared_folder
+from tracewell.sources import daily, ingest
 from tracewell.sources.ledgers import accounts, events_ledger, orders_ledger, table
 from tracewell.streaming import light
 
@@ -85,13 +89,31 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("s3_unseen_files", """
-, f AS (SELECT 'f' || event_id AS path, sha256(CAST(event_id % 300 AS VARCHAR)) AS h FROM events WHERE event_id < 900), m AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS h FROM events WHERE event_id < 200 AND event_id % 2 = 0)
+, f AS (SELECT 'file-' || event_id AS path, sha256(event_type || CAST(CAST(round(value) AS BIGINT) AS VARCHAR)) AS h, user_id FROM events),
+m AS (SELECT h FROM f WHERE user_id % 4 = 0)
 SELECT min(path) AS path, h AS sha256 FROM f WHERE h NOT IN (FROM m) GROUP BY h""", E)
 def unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    files = e.where("event_id < 900").select(F.concat(F.lit("f"), "event_id").alias("path"), F.sha2((F.col("event_id") % 300).cast("string"), 256).alias("sha256"))
-    manifest = e.where("event_id < 200").select(F.sha2(F.col("event_id").cast("string"), 256).alias("sha256"), F.when(F.col("event_id") % 2 == 0, "SUCCESS").otherwise("FAILED").alias("status"))
-    return ingest.unseen(files, manifest)
+    """Files are all events, with their kind and whole value as content; every fourth user's were loaded, the next one's failed."""
+    content = F.sha2(F.concat("event_type", F.round("value").cast("long").cast("string")), 256)
+    files = table(spark, sf_dir, "events").select(F.concat(F.lit("file-"), "event_id").alias("path"), content.alias("sha256"), "user_id")
+    loads = files.where("user_id % 4 IN (0, 1)").select("sha256", F.when(F.col("user_id") % 4 == 0, "SUCCESS").otherwise("FAILED").alias("status"))
+    return ingest.unseen(files.drop("user_id"), loads)
+
+
+@query("s20_daily_loads", """
+, p AS (SELECT *, (src + txn_id) % 3 AS part FROM E)
+SELECT '2024-01-0' || (part + 1) AS day, channel, count(*) AS n, count(DISTINCT src) AS senders, round(sum(amount), 2) AS total, (SELECT count(*) FROM (SELECT src FROM E UNION SELECT dst FROM E)) AS accounts FROM p GROUP BY ALL""", E)
+def daily_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger in three files, each loaded as of a day and one of them twice."""
+    folder = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
+    store, txn = daily.DailyStore(spark, f"{folder}/store"), events_ledger(spark, sf_dir)
+    for part in (0, 1, 2, 1):
+        path = f"{folder}/part-{part}"
+        txn.where((F.col("src") + F.col("txn_id")) % 3 == part).write.mode("overwrite").option("header", True).csv(path)
+        store.load(path, dt.date(2024, 1, 1 + part))
+    accounts = F.broadcast(store.accounts().agg(F.count("*").alias("accounts")))
+    rows = store.ledger().groupBy(F.col("day").cast("string").alias("day"), "channel").agg(F.count("*").alias("n"), F.countDistinct("src").alias("senders"), F.round(F.sum("amount"), 2).alias("total"))
+    return rows.join(accounts)
 
 
 @query("s5_first_wins", "SELECT user_id, event_type, value FROM events WHERE user_id % 6 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")

@@ -1,16 +1,16 @@
-"""Registered queries of models. They have no SQL: tests hold them against planted cases and against the trees themselves."""
+"""Registered queries of models and of similar names. They have no SQL: tests hold them against planted cases, all pairs and the trees themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import detectors, ml, scoring
+from tracewell.operators import detectors, ml, names, scoring
 from tracewell.operators.features import account_features
 from tracewell.operators.graph import centrality
 from tracewell.plans.registry import QUERIES
 from tracewell.session import cut
-from tracewell.sources.ledgers import accounts, orders_ledger
+from tracewell.sources.ledgers import accounts, orders_ledger, table
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -55,4 +55,10 @@ def features_to_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ranked_queue(alerts, order)
 
 
-QUERIES |= {"m1_isolation_scores": isolation, "m2_fraud_scores": fraud, "m14_contributions": contributions, "m8_features_to_queue": features_to_queue}
+def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation whose names are alike. The ratio of two names can't be had in SQL; tests hold all pairs against it."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_nationkey")
+    return names.similar_names(rows, 0.85, ("s_nationkey",)).select("id_a", "id_b", F.round("ratio", 6).alias("ratio"))
+
+
+QUERIES |= {"j10_similar_suppliers": similar_suppliers, "m1_isolation_scores": isolation, "m2_fraud_scores": fraud, "m14_contributions": contributions, "m8_features_to_queue": features_to_queue}
