@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.sharing import pairs_sharing
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
 
@@ -123,8 +124,7 @@ def bipartite(txn: DataFrame, days: float, min_side: int = 3, unit: float = 5_00
     sends = _window_rows(txn, windows, days, "dst", "src").select(F.col("account").alias("d"), F.col("other").alias("s")).distinct()
     several = sends.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     sends = cut(sends.join(several, "s", "left_semi"))
-    pairs = sends.select("s", F.col("d").alias("d1")).join(sends.select("s", F.col("d").alias("d2")), "s").where("d1 < d2")
-    pairs = pairs.groupBy("d1", "d2").agg(F.array_sort(F.collect_list("s")).alias("shared")).where(F.size("shared") >= min_side)
+    pairs = pairs_sharing(sends, min_side)
     pairs = pairs.withColumn("key", F.array_sort(F.array_distinct(F.concat("shared", F.array("d1", "d2")))))
     groups = pairs.groupBy("key").agg(F.min(F.struct("d1", "d2", "shared")).alias("p")).select(F.monotonically_increasing_id().alias("g"), F.col("p.shared").alias("shared"))
     groups = cut(groups)

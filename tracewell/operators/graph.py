@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.asof import next_departures
 from tracewell.operators.quantiles import exact_quantiles
+from tracewell.operators.sharing import pairs_sharing
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
 
@@ -114,12 +115,9 @@ def next_hops(txn: DataFrame, window_s: int) -> DataFrame:
 
 
 def shared_senders(txn: DataFrame, min_shared: int) -> DataFrame:
-    """Pairs of targets that several senders have in common."""
-    e = txn.where("src <> dst").select("src", "dst").distinct()
-    able = e.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared).select("dst")
-    e = cut(e.join(able, "dst", "left_semi"))  # targets of fewer senders are in no pair
-    pairs = e.join(e.select("src", F.col("dst").alias("dst2")), "src").where("dst < dst2")
-    return pairs.groupBy("dst", "dst2").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    """Pairs of targets that several senders have in common; a sender of very many targets isn't paired out, see sharing.pairs_sharing."""
+    edges = txn.where("src <> dst").select(F.col("src").alias("s"), F.col("dst").alias("d")).distinct()
+    return pairs_sharing(edges, min_shared).select(F.col("d1").alias("dst"), F.col("d2").alias("dst2"), F.size("shared").cast("long").alias("shared"))
 
 
 def graph_summary(txn: DataFrame) -> DataFrame:
