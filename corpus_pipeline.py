@@ -20,48 +20,59 @@ from tracewell.llm.common import broadcast_if_small, drop_all_but, materialise
 BROADCAST_IDS = 2_000_000
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with `row__`, a long that no two rows share: doc_id, or the row's place where a doc_id is null or repeated."""
+def _identity(docs: DataFrame) -> str:
+    """A name that no column of docs has, for the identity of its rows."""
+    name = "row__"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _rows(docs: DataFrame, row: str) -> DataFrame:
+    """docs with `row`, a long that no two rows share: doc_id, or the row's place where a doc_id is null or repeated."""
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
     if ids.where("doc_id is null or n > 1").isEmpty():
-        return docs.withColumn("row__", F.col("doc_id").cast("long"))
-    return materialise(docs.withColumn("row__", F.monotonically_increasing_id()), "pipeline-rows")
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
 
 
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents of rows whose row__ is in kept (column doc_id), without row__."""
-    ids = materialise(kept.select(F.col("doc_id").alias("row__")), "kept-rows")
-    return rows.join(broadcast_if_small(ids, BROADCAST_IDS), "row__", "left_semi").drop("row__")
+def _only(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The documents of rows whose `row` is in kept (column doc_id), without it."""
+    ids = materialise(kept.select(F.col("doc_id").alias(row)), "kept-rows")
+    return rows.join(broadcast_if_small(ids, BROADCAST_IDS), row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, each by its own text."""
     drop_all_but(docs)
-    rows = _rows(docs)
-    return _only(rows, quality_rules.quality_rules(rows, "row__").where("kept"))
+    row = _identity(docs)
+    rows = _rows(docs, row)
+    return _only(rows, row, quality_rules.quality_rules(rows, row).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: that of the greatest doc_id, a null one only where there is no other."""
     drop_all_but(docs)
-    rows = _rows(docs)
-    groups = exact_dedup.exact_dedup(rows, "row__").select(F.col("doc_id").alias("row__"), F.col("keep_id").alias("group__"))
-    last = F.max(F.struct(F.col("doc_id").cast("long").alias("id"), "row__"))
-    return _only(rows, _of_groups(rows, groups, last))
+    row = _identity(docs)
+    rows = _rows(docs, row)
+    groups = exact_dedup.exact_dedup(rows, row).select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    last = F.max(F.struct(F.col("doc_id").cast("long").alias("id"), "row"))
+    return _only(rows, row, _of_groups(rows, row, groups, last))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that of the least doc_id, a null one only where there is no other."""
     drop_all_but(docs)
-    rows = _rows(docs)
-    groups = jaccard_join.near_duplicates(rows, "row__").select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("id"), "row__"))
-    return _only(rows, _of_groups(rows, groups, first))
+    row = _identity(docs)
+    rows = _rows(docs, row)
+    groups = jaccard_join.near_duplicates(rows, row).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").cast("long").alias("id"), "row"))
+    return _only(rows, row, _of_groups(rows, row, groups, first))
 
 
-def _of_groups(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
-    """The row (as doc_id) that best picks from each group__ of groups."""
-    return groups.join(rows.select("row__", "doc_id"), "row__").groupBy("group__").agg(best.alias("b")).select(F.col("b.row__").alias("doc_id"))
+def _of_groups(rows: DataFrame, row: str, groups: DataFrame, best: Column) -> DataFrame:
+    """The row (as doc_id) that best picks from each group of groups (row, group)."""
+    return groups.join(rows.select(F.col(row).alias("row"), "doc_id"), "row").groupBy("group").agg(best.alias("b")).select(F.col("b.row").alias("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
