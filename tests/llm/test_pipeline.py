@@ -56,3 +56,36 @@ def test_null_and_repeated_ids_equal_brute_force(spark):
     want = brute(rows)
     assert sorted((r for r in got if r not in sum(ties, [])), key=str) == sorted(want, key=str)
     assert {t for d, t in want if d is None} and len({d for d, _ in want}) < len(want)
+
+
+def test_all_stages_with_clashing_columns_and_without_rows(spark):
+    """Every stage takes the columns of the one before, also under names that it uses itself; texts are masked and packed whole."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    text = lambda: " ".join(word() for _ in range(80))
+    base = [text() for _ in range(8)]
+    rows = [(i, t + " mail x.y@host.org now") for i, t in enumerate(base)] + [(50, base[0] + " mail x.y@host.org now"), (51, base[1] + " end"), (52, "short"), (53, None), (None, text())]
+    named = "doc_id long, text string, lang string, source string, n_chars long, row__ string, group__ int, text__ string, key__ int, more string, kept string"
+    frame = [(d, t, "en", "s", len(t or ""), "r", 1, "t", 2, "m", "k") for d, t in rows]
+    for given in (frame, []):
+        docs = spark.createDataFrame(given, named).repartition(3)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "pack":
+                before = {r.doc_id: r.text for r in docs.collect()}
+            out = stage(spark, docs, "")
+            assert name == "pack" or out.columns == columns, name
+            docs = corpus_pipeline.materialise(out, "test-stage")
+        pieces = docs.collect()
+        if not given:
+            assert pieces == []
+            continue
+        assert set(before) == {50, *range(1, 8), None} and all("@" not in t and (d is None or "[EMAIL]" in t) for d, t in before.items())
+        assert all(r.n_chars == len(r.text) for r in corpus_pipeline.personal_data(spark, spark.createDataFrame(frame[:1], named), "").collect())
+        of = {}
+        for p in pieces:
+            of.setdefault(p.doc_id, []).append((p.start, p.length, p.doc_tokens))
+        for own in of.values():
+            own.sort()
+            assert [s for s, *_ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
+        assert set(of) == set(before)
