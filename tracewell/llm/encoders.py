@@ -158,11 +158,16 @@ def library_encoder(path: str, blanks_count: bool) -> UnitEncoder:
     return UnitEncoder(_by_blank, encode, whole, _next_to_space if blanks_count else lambda unit: False)
 
 
+def trim() -> None:
+    """Give memory that this process no longer uses back to the machine, what earlier stages have left in a worker included."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
     """Forget this process's encoders, if it has any: a worker that goes on with something else needs their memory more."""
     if library_encoder.cache_info().currsize:
         library_encoder.cache_clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import broadcast_if_small, materialise, vocabulary
-from tracewell.llm.encoders import library_encoder, release
+from tracewell.llm.encoders import library_encoder, release, trim
 from tracewell.llm.token_output import crc_of_lists, id_lists, with_end
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, part int, tail int, tail_rank long, full_rank long"
@@ -103,6 +103,7 @@ def encode_for_packing(docs: DataFrame, tokenizer: str, end_id: int, window: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         part, fulls = TaskContext.get().partitionId(), 0
         seen = np.zeros(window, np.int64)
         encoder = library_encoder(tokenizer, False)
