@@ -521,4 +521,4 @@ def bandit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("action", "n", *[F.round(c, 4).alias(c) for c in state.columns[2:]])
 
 
-from tracewell.plans import desk, facts, intake, models, networks, parts  # noqa: E402, F401  (registers its queries)
+from tracewell.plans import behaviour, desk, facts, intake, models, networks, parts  # noqa: E402, F401  (registers its queries)
