@@ -10,12 +10,22 @@ from tracewell.operators.aggregates import account_flow
 from tracewell.operators.features import ratio, risk_bucket
 from tracewell.sources.ledgers import sides_in_one_scan
 
-#: What may be done about a finding, and the kinds for which it makes sense.
+#: What may be done about a finding, and the kinds of findings that call for it; none: any kind.
 ACTIONS = {
-    "request_kyc_refresh": ["profile_mismatch", "dormancy"], "enhanced_due_diligence": ["profile_mismatch", "layering", "round_trip"], "review_counterparties": ["fan_out", "fan_in", "layering"],
-    "trace_funds": ["layering", "round_trip"], "review_cash_activity": ["structuring"], "monitor_account": ["structuring", "dormancy", "profile_mismatch", "fan_out", "fan_in"],
-    "prepare_report": ["structuring", "layering", "round_trip"],
-}
+    "TRACE_LAYERING_CHAIN": ["layering"],
+    "INVESTIGATE_ROUND_TRIP": ["round_trip"],
+    "REVIEW_STRUCTURING_DEPOSITS": ["structuring"],
+    "REVIEW_DORMANCY_REACTIVATION": ["dormancy"],
+    "VERIFY_KYC_PROFILE_MISMATCH": ["profile_mismatch"],
+    "EXPAND_NETWORK_INVESTIGATION": [],
+    "REVIEW_RELATIONSHIP_LINKS": [],
+    "REVIEW_PRIOR_SAR_LINKS": [],
+    "APPLY_ENHANCED_DUE_DILIGENCE": [],
+    "FILE_STR": [],
+    "PLACE_UNDER_MONITORING": [],
+    "ESCALATE_TO_L2": [],
+    "CLOSE_AS_FALSE_POSITIVE": [],
+}
 
 
 def bank_diversity(txn: DataFrame, most: int = 50) -> DataFrame:
@@ -142,10 +152,13 @@ def account_facts(txn: DataFrame, accounts: DataFrame, roles: DataFrame, scores:
 
 
 def eligible_actions(findings: DataFrame) -> DataFrame:
-    """account, action, because of the findings (account, kind): each action once, with the kinds that call for it."""
-    pairs = [(a, k) for a, kinds in ACTIONS.items() for k in kinds]
-    table = F.broadcast(findings.sparkSession.createDataFrame(pairs, "action string, kind string"))
-    rows = findings.select("account", "kind").distinct().join(table, "kind")
+    """account, action, because of the findings (account, kind): each action once, with the kinds that call for it.
+
+    An action for any kind is because of all kinds that an account shows; findings without a kind call for these alone.
+    """
+    pairs = [(a, k) for a, kinds in ACTIONS.items() for k in kinds or [None]]
+    table = F.broadcast(findings.sparkSession.createDataFrame(pairs, "action string, for_kind string"))
+    rows = findings.select("account", "kind").distinct().join(table, F.col("for_kind").isNull() | (F.col("for_kind") == F.col("kind")))
     return rows.groupBy("account", "action").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("because"))
 
 

@@ -168,15 +168,22 @@ def egress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.egress_leaks(texts, known)
 
 
-@query("ai6_rehydrated", "SELECT c_custkey AS account, 'to ' || 'Ten' || ' and ' || 'One' AS text FROM customer", A)
+@query("ai6_rehydrated", """
+SELECT c_custkey AS account, c_mktsegment || ' of ' || coalesce(a.n_name, 'N' || c_nationkey) || ' to ' || b.n_name || 'x, N' AS text
+FROM customer LEFT JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = c_custkey % 25""")
 def rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounts(spark, sf_dir).select("account", facts.rehydrated(F.lit("to ID10 and ID1"), {"ID1": "One", "ID10": "Ten"}).alias("text"))
+    """Each customer's nation and another one as placeholders N0 to N24, of which N1 and N2 begin others."""
+    names = {f"N{r.n_nationkey}": r.n_name for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()}  # the nations
+    text = F.concat("c_mktsegment", F.lit(" of N"), "c_nationkey", F.lit(" to N"), F.col("c_custkey") % 25, F.lit("x, N"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), facts.rehydrated(text, names).alias("text"))
 
 
-_ACTIONS = " UNION ALL ".join(f"SELECT '{a}' AS action, '{k}' AS kind" for a, ks in facts.ACTIONS.items() for k in ks)
+_ACTIONS = " UNION ALL ".join(f"SELECT '{a}' AS action, {repr(k) if k else 'NULL'} AS for_kind" for a, kinds in facts.ACTIONS.items() for k in kinds or [None])
 
 
-@query("ai8_eligible_actions", f", t AS ({_ACTIONS}) SELECT account, action, array_to_string(list_sort(list_distinct(list(kind))), ',') AS because FROM (SELECT DISTINCT account, kind FROM AL WHERE risk >= 50) JOIN t USING (kind) GROUP BY ALL", AL)
+@query("ai8_eligible_actions", f"""
+, t AS ({_ACTIONS}), f AS (SELECT DISTINCT account, kind FROM AL WHERE risk >= 50)
+SELECT account, action, string_agg(DISTINCT kind, ',' ORDER BY kind) AS because FROM f JOIN t ON for_kind IS NULL OR for_kind = kind GROUP BY ALL""", AL)
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.eligible_actions(tables.alerts(spark, sf_dir).where("risk >= 50"))
 
@@ -201,9 +208,22 @@ def rupees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", scalars.rupees(F.col("value").cast("decimal(18,4)") * 100_000).alias("text"))
 
 
-@query("fn_shapes", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'mobile' ELSE '' END AS shapes FROM customer", A)
+@query("fn_shapes", r"""
+WITH d AS (SELECT c_custkey, translate(lpad(CAST(c_custkey AS VARCHAR), 5, '0'), '0123456789', 'ABCDEFGHIJ') AS letters, lpad(CAST(c_custkey * 7919 % 10000 AS VARCHAR), 4, '0') AS four,
+                  CAST(c_custkey * 104729 % 10000000000 AS VARCHAR) AS digits, CAST(c_acctbal AS VARCHAR) AS money, c_mktsegment FROM customer),
+t AS (SELECT c_custkey, 'tax ' || letters || four || substr(c_mktsegment, 1, 1) || ' no ' || four || ' ' || four || ' ' || four || ', call ' || digits || ' or +91 ' || lpad(digits, 10, '9') || substr(money, 1, 1) AS text FROM d)
+SELECT c_custkey, concat_ws(',', CASE WHEN regexp_matches(text, '\b[A-Z]{5}[0-9]{4}[A-Z]\b') THEN 'pan' END, CASE WHEN regexp_matches(text, '\b[2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4}\b') THEN 'aadhaar' END,
+       CASE WHEN regexp_matches(text, '(^|[^0-9])(\+91[\s-]?)?[6-9][0-9]{9}([^0-9]|$)') THEN 'mobile' END) AS shapes FROM t""")
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.get(F.array(F.lit("tax ABCDE1234F now"), F.lit("no 2345 6789 0123."), F.lit("call 9876543210"), F.lit("ID 1234567890 A1")), (F.col("c_custkey") % 4).cast("int"))
+    """Texts made of each customer's own numbers, some of which have a shape and some only nearly."""
+    key = F.col("c_custkey")
+    four = F.lpad((key * 7919 % 10000).cast("string"), 4, "0")
+    digits = (key * 104729 % 10000000000).cast("string")
+    letters = F.translate(F.lpad(key.cast("string"), 5, "0"), "0123456789", "ABCDEFGHIJ")
+    text = F.concat(
+        F.lit("tax "), letters, four, F.substring("c_mktsegment", 1, 1), F.lit(" no "), four, F.lit(" "), four, F.lit(" "), four,
+        F.lit(", call "), digits, F.lit(" or +91 "), F.lpad(digits, 10, "9"), F.substring(F.col("c_acctbal").cast("string"), 1, 1),
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.shapes_in(text).alias("shapes"))
 
 

@@ -40,10 +40,16 @@ def currency_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir, ("event_id",)).select("event_id", ingest.currency_code(F.col("payment_currency")).alias("code"), ingest.channel_of(F.col("payment_format")).alias("channel"))
 
 
-@query("s10_entity_type", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'INDIVIDUAL' ELSE 'BUSINESS' END AS kind FROM customer", A)
+@query("s10_entity_type", """
+WITH n AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN NULL WHEN c_mktsegment = 'HOUSEHOLD' THEN '  ' || replace(c_name, 'Customer', 'Individual ') ELSE c_name END AS name FROM customer
+           UNION ALL SELECT -1 - s_suppkey, s_name || ' of Individual' FROM supplier)
+SELECT id, CASE WHEN name IS NOT NULL AND starts_with(trim(name), 'Individual') THEN 'INDIVIDUAL' ELSE 'BUSINESS' END AS kind FROM n""")
 def entity_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.when(F.col("c_custkey") % 3 == 0, " Individual #").otherwise("Corporation #"), "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", ingest.entity_type(name).alias("kind"))
+    """Names of customers, households among them as individuals behind blanks, those in debt without a name, and suppliers with the word at the end."""
+    mine = F.when(F.col("c_acctbal") < 0, None).when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit("  "), F.replace("c_name", F.lit("Customer"), F.lit("Individual ")))).otherwise(F.col("c_name"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), mine.alias("name"))
+    names = names.unionByName(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.concat("s_name", F.lit(" of Individual")).alias("name")))
+    return names.select("id", ingest.entity_type(F.col("name")).alias("kind"))
 
 
 @query("s13_bank_ledger", f"""
