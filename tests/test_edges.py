@@ -62,7 +62,7 @@ def test_chains_and_desk(spark):
     import hashlib
 
     for i in range(40):
-        own = hashlib.sha256(f"{i}|x|{before}".encode()).hexdigest()
+        own = hashlib.sha256(f"{len(str(i))}:{i}1:x{len(before)}:{before}".encode()).hexdigest()
         log.append((i, "x", before, own))
         before = own
     frame = lambda rows: spark.createDataFrame(rows, "seq int, what string, prev_hash string, row_hash string").repartition(5)

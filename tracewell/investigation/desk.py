@@ -171,11 +171,17 @@ def learned_confidence(verdicts: DataFrame, start: float = 0.5, step: float = 0.
     return rows.select("rule", "n", F.round(confidence_after(start, F.transform("v", lambda x: x["good"]), step), 6).alias("confidence"))
 
 
+def entry_hash(columns: list[str | Column]) -> Column:
+    """SHA-256 of columns, each with its length before it, so that no other row of texts gives the same; null counts as empty."""
+    texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]
+    return F.sha2(F.concat(*(F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts)), 256)
+
+
 def broken_links(log: DataFrame, fields: list[str]) -> DataFrame:
     """seq, broken (link, content) of an audit log (seq, fields, prev_hash, row_hash): entries whose hashes don't follow.
 
-    A row's hash is that of its fields and the hash before, so the check is parallel: each row is held against its predecessor,
-    found by seq in ranges.
+    A row's hash is that of its fields and the hash before (`entry_hash`), so the check is parallel: each row is held against its
+    predecessor, found by seq in ranges.
     """
     from tracewell.session import cut
 
@@ -184,7 +190,7 @@ def broken_links(log: DataFrame, fields: list[str]) -> DataFrame:
     edge = edge.select("range", F.lag("e").over(Window.orderBy("range")).alias("e"))  # a row a partition; empty ones have none
     before = F.lag("row_hash").over(Window.partitionBy("range").orderBy("seq"))
     rows = dealt.withColumn("b", before).join(F.broadcast(edge), "range").withColumn("before", F.coalesce("b", "e.row_hash", F.lit("")))
-    own = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields), F.coalesce("prev_hash", F.lit(""))), 256)
+    own = entry_hash([*fields, "prev_hash"])
     broken = F.when(F.coalesce("prev_hash", F.lit("")) != F.col("before"), "link").when(~own.eqNullSafe(F.col("row_hash")), "content")
     return rows.select("seq", broken.alias("broken")).where("broken IS NOT NULL")
 

@@ -209,14 +209,26 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.drift(rows.where(F.col("created") < day), rows.where(F.col("created") >= day), 0.05)
 
 
-@query("w15_broken_links", """
-, l AS (SELECT event_id AS seq, event_type, value, md5(CAST(event_id AS VARCHAR)) AS salt, sha256('x' || event_id) AS fake FROM events WHERE event_id < 400),
-h AS (SELECT seq, sha256(concat_ws('|', CAST(seq AS VARCHAR), event_type, '')) AS row_hash FROM l)
-SELECT seq, CASE WHEN seq > 0 THEN 'link' END AS broken FROM h WHERE seq > 0""", E)
+_HASH = lambda seq, what, before: "sha256(" + " || ".join(f"length({x}) || ':' || {x}" for x in (f"CAST({seq} AS VARCHAR)", what, before)) + ")"
+
+
+@query("w15_broken_links", f"""
+, h0 AS (SELECT event_id AS seq, event_type AS what, '' AS prev_hash, {_HASH("event_id", "event_type", "''")} AS row_hash FROM events WHERE event_id % 3 = 0),
+h1 AS (SELECT event_id AS seq, event_type AS what, row_hash AS prev_hash, {_HASH("event_id", "event_type", "row_hash")} AS row_hash FROM events JOIN h0 ON event_id = h0.seq + 1),
+h2 AS (SELECT event_id AS seq, event_type AS what, row_hash AS prev_hash, {_HASH("event_id", "event_type", "row_hash")} AS row_hash FROM events JOIN h1 ON event_id = h1.seq + 1),
+log AS (SELECT seq, CASE WHEN seq % 5 = 0 THEN what || '|' ELSE what END AS what, prev_hash, row_hash FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2)),
+c AS (SELECT *, coalesce(lag(row_hash) OVER (ORDER BY seq), '') AS before, {_HASH("seq", "what", "prev_hash")} AS own FROM log)
+SELECT seq, CASE WHEN prev_hash <> before THEN 'link' ELSE 'content' END AS broken FROM c WHERE prev_hash <> before OR own <> row_hash""", E)
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log whose entries were all hashed as if each were the first: every entry but the first breaks the chain."""
+    """A log of all events that begins anew at every third entry, and whose every fifth entry was changed after it was hashed."""
     from tracewell.sources.ledgers import table
 
-    rows = table(spark, sf_dir, "events").where("event_id < 400").select(F.col("event_id").alias("seq"), "event_type", F.lit("").alias("prev_hash"))
-    log = rows.withColumn("row_hash", F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "event_type", "prev_hash"), 256))
-    return desk.broken_links(log, ["seq", "event_type"])
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("what"))
+    part = rows.where("seq % 3 = 0").withColumn("prev_hash", F.lit(""))
+    log = part = part.withColumn("row_hash", desk.entry_hash(["seq", "what", "prev_hash"]))
+    for place in (1, 2):
+        before = part.select((F.col("seq") + 1).alias("seq"), F.col("row_hash").alias("prev_hash"))
+        part = rows.where(F.col("seq") % 3 == place).join(before, "seq").withColumn("row_hash", desk.entry_hash(["seq", "what", "prev_hash"]))
+        log = log.unionByName(part)
+    changed = F.when(F.col("seq") % 5 == 0, F.concat("what", F.lit("|"))).otherwise(F.col("what"))
+    return desk.broken_links(log.withColumn("what", changed), ["seq", "what"])
