@@ -158,14 +158,29 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.grounding(e.select(F.col("event_id").alias("claim_id"), text.alias("statement"), cites.alias("citations")), e.select(key.alias("fact_key"), F.col("v").alias("value")))
 
 
-@query("ai5_egress_leaks", """
-, t AS (SELECT conv_id * 1000 + turn AS text_id, conv_id % 50 AS owner, text FROM conversations), k AS (SELECT c_custkey AS owner, 'name' AS name, ['the', 'ing', 'of'][c_custkey % 3 + 1] AS value FROM customer WHERE c_custkey < 50)
-SELECT text_id, string_agg(DISTINCT name, ',') AS leaks FROM t JOIN k USING (owner) WHERE contains(lower(text), value) AND length(value) >= 3 GROUP BY text_id""", A)
+@query("ai5_egress_leaks", r"""
+WITH n AS (SELECT count(*) AS k FROM customer),
+t AS (SELECT conv_id * 1000 + turn AS text_id, conv_id % k AS owner, coalesce(text, '') || ' for ' || lower(c_mktsegment) || ', no ' || CAST((conv_id * 31 + turn) % 1000003 * 104729000033 % (CASE WHEN turn % 2 = 0 THEN 10000000000 ELSE 1000000000000 END) AS VARCHAR) || '.' AS text
+      FROM conversations, n JOIN customer ON c_custkey = (conv_id * 7 + turn) % k),
+v AS (SELECT c_custkey AS owner, 'segment' AS name, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'place', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 'balance', CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) FROM customer),
+l AS (SELECT text_id, name FROM t JOIN v USING (owner) WHERE length(value) >= 3 AND contains(lower(text), lower(value))
+      UNION SELECT text_id, 'pan' FROM t WHERE regexp_matches(text, '\b[A-Z]{5}[0-9]{4}[A-Z]\b') UNION SELECT text_id, 'aadhaar' FROM t WHERE regexp_matches(text, '\b[2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4}\b')
+      UNION SELECT text_id, 'mobile' FROM t WHERE regexp_matches(text, '(^|[^0-9])(\+91[\s-]?)?[6-9][0-9]{9}([^0-9]|$)'))
+SELECT text_id, string_agg(DISTINCT name, ',' ORDER BY name) AS leaks FROM l GROUP BY text_id""")
 def egress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), (F.col("conv_id") % 50).alias("owner"), F.regexp_replace("text", "[0-9]", "1").alias("text"))
-    value = F.get(F.array(F.lit("the"), F.lit("ing"), F.lit("of")), (F.col("c_custkey") % 3).cast("int"))
-    known = table(spark, sf_dir, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("owner"), F.lit("name").alias("name"), value.alias("value"))
-    return facts.egress_leaks(texts, known)
+    """Whole conversations of all customers, each turn with some customer's segment and a number: segments and balances of their owners leak, nations' numbers are too short."""
+    who = table(spark, sf_dir, "customer")
+    turns = table(spark, sf_dir, "conversations").join(F.broadcast(who.agg(F.count("*").alias("k"))))
+    digits = F.when(F.col("turn") % 2 == 0, 10**10).otherwise(10**12)  # of ten digits some are a mobile's, of twelve some are another's
+    number = ((F.col("conv_id") * 31 + F.col("turn")) % 1_000_003 * 104_729_000_033 % digits).cast("string")
+    named = turns.withColumn("c_custkey", (F.col("conv_id") * 7 + F.col("turn")) % F.col("k")).join(who.select("c_custkey", "c_mktsegment"), "c_custkey")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" for "), F.lower("c_mktsegment"), F.lit(", no "), number, F.lit("."))
+    texts = named.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), (F.col("conv_id") % F.col("k")).alias("owner"), text.alias("text"))
+    values = F.explode(F.array(*(
+        F.struct(F.lit(name).alias("name"), value.alias("value"))
+        for name, value in (("segment", F.col("c_mktsegment")), ("place", F.col("c_nationkey").cast("string")), ("balance", F.floor(F.abs("c_acctbal")).cast("string")))
+    )))
+    return facts.egress_leaks(texts, who.select(F.col("c_custkey").alias("owner"), values.alias("v")).select("owner", "v.name", "v.value"))
 
 
 @query("ai6_rehydrated", """
