@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,13 @@ def labels(txn: DataFrame) -> DataFrame:
 def temporal_split(txn: DataFrame, train: float = 0.7, validate: float = 0.85) -> DataFrame:
     """account, part (train, validation, test): accounts in order of their last transfer, ties by account, cut at the two shares.
 
-    The order is taken by ranges of time, so no task holds all accounts.
+    The order is taken by ranges of time, so no task holds all accounts. Shares are decimals: 0.7 of 90,000 as doubles is a little less than 63,000.
     """
     last = txn.select(F.explode(F.array("src", "dst")).alias("account"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("account").agg(F.max("t").alias("t"))
     placed = counts_below(last.select("account", F.struct("t", "account").alias("o"), F.lit(1).alias("one")), "o", "one", "place")
     n = F.broadcast(placed.agg(F.count("*").alias("n")))
-    part = F.when(F.col("place") < F.floor(F.col("n") * train), "train").when(F.col("place") < F.floor(F.col("n") * validate), "validation").otherwise("test")
+    until = lambda share: F.floor(F.col("n") * F.lit(Decimal(str(share))))
+    part = F.when(F.col("place") < until(train), "train").when(F.col("place") < until(validate), "validation").otherwise("test")
     return placed.join(n).select("account", part.alias("part"))
 
 
