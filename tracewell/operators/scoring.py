@@ -124,7 +124,7 @@ def rl_context(alerts: DataFrame) -> DataFrame:
         cut(n("risk") / 100, 1.0), cut(n("score"), 1.0), cut(n("n_accounts") / 10, 1.0), cut(F.log1p(n("amount")) / 20, 1.0), cut(F.log1p(n("n_txns")) / 10, 1.0),
         cut(n("age_days") / 365, 1.0), cut(n("prior_alerts") / 10, 1.0), cut(n("velocity") / 10, 1.0), *((F.col("kind") == k).cast("double") for k in kinds), F.lit(1.0),
     ]
-    return alerts.select("alert_id", F.transform(F.array(*(F.coalesce(p, F.lit(0.0)) for p in parts)), lambda x: F.round(x, 6)).alias("context"))
+    return alerts.select("alert_id", F.array(*(F.coalesce(p, F.lit(0.0)) for p in parts)).alias("context"))
 
 
 def ranked_queue(alerts: DataFrame, scores: DataFrame, top: int = 200) -> DataFrame:
