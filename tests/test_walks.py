@@ -79,3 +79,10 @@ def test_bandit(spark):
     assert scored.ucb["x"] == pytest.approx(want) and set(scored.ucb) == {"x", "y"}
     with pytest.raises(ValueError):
         bandit.linucb_state(rows, [], "action", "r")
+
+
+def test_kept_ratio_is_that_of_doubles(ledger):
+    rows = [("A", "B", 115.2, 0), ("B", "C", 1, 1), ("C", "D", 118.98, 2), ("E", "F", 0, 0), ("F", "G", 0, 1), ("G", "H", 5, 2), ("I", "J", 0, 0), ("J", "K", 1, 1), ("K", "L", 0, 2)]
+    got = {r.start_id: r.kept_ratio for r in walks.greedy_chains(ledger(rows), 7200).collect()}
+    # 118.98 / 115.2 is 1.0328125 as text, and 1032812.4999999999 millionths
+    assert got[0] == 1.032812 and got[3] == float("inf") and np.isnan(got[6])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.scalars import halves_up
 from tracewell.operators.asof import next_departures
 from tracewell.operators.quantiles import exact_quantiles
 from tracewell.operators.sharing import pairs_sharing
@@ -111,7 +112,7 @@ def temporal_paths(txn: DataFrame, start, depth: int = 5, window_s: int = 6 * 36
 def next_hops(txn: DataFrame, window_s: int) -> DataFrame:
     """For each transfer the earliest one that leaves its target within the window: a forward as-of merge."""
     rows = next_departures(txn, window_s).join(txn.select(F.col("txn_id").alias("of"), "amount"), "of")
-    return rows.select(F.col("of").alias("txn_id"), F.col("next.id").alias("next_id"), F.round(F.try_divide("next.amount", "amount"), 6).alias("kept_ratio"))
+    return rows.select(F.col("of").alias("txn_id"), F.col("next.id").alias("next_id"), halves_up(F.try_divide("next.amount", "amount"), 6).alias("kept_ratio"))
 
 
 def shared_senders(txn: DataFrame, min_shared: int) -> DataFrame:
