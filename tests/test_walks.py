@@ -86,3 +86,13 @@ def test_kept_ratio_is_that_of_doubles(ledger):
     got = {r.start_id: r.kept_ratio for r in walks.greedy_chains(ledger(rows), 7200).collect()}
     # 118.98 / 115.2 is 1.0328125 as text, and 1032812.4999999999 millionths
     assert got[0] == 1.032812 and got[3] == float("inf") and np.isnan(got[6])
+
+
+def test_cycles_in_parts_of_any_size_need_no_parts(ledger, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the parts of the whole graph were looked for")
+
+    monkeypatch.setattr("tracewell.operators.parts.strong_parts", refused)
+    txn = ledger([("A", "B", 1, 0), ("B", "A", 1, 0), ("B", "C", 1, 0), ("C", "D", 1, 0), ("D", "B", 1, 0), ("D", "E", 1, 0)])
+    assert {r.cycle for r in walks.long_cycles(txn, 5).collect()} == {"A>B", "B>C>D"}
+    assert [r.nodes for r in walks.cycle_nodes(txn, 2, largest_part=None).collect()] == [["A", "B"]]
