@@ -1,6 +1,8 @@
 """What a step reads, shuffles and deals out, where results alone don't tell."""
 
-from tracewell.operators import features
+import itertools
+
+from tracewell.operators import features, sharing
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
 
@@ -18,3 +20,16 @@ def test_features_shuffle_both_sides_twice_and_nothing_after(spark, monkeypatch)
     assert text.count("Exchange hashpartitioning(account") + text.count("RepartitionByExpression") == 2
     physical = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 2
+
+
+def test_receivers_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharing, "PAIRS", 2)
+    edges = {(s, d) for s in range(12) for d in range(9) if (s * 7 + d * 5) % 3}
+    want = {}
+    for x, y in itertools.combinations(range(9), 2):
+        both = [s for s in range(12) if (s, x) in edges and (s, y) in edges]
+        if len(both) >= 5:
+            want[x, y] = both
+    frame = spark.createDataFrame(sorted(edges), "s int, d int")
+    assert want and {(r.d1, r.d2): r.shared for r in sharing.pairs_sharing(frame, 5).collect()} == want
+    assert {(r.d1, r.d2): r.shared for r in sharing.pairs_sharing(frame, 5, heavy=5).collect()} == want

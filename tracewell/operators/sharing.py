@@ -9,12 +9,15 @@ from tracewell.session import cut
 
 #: Receivers from which on a sender is heavy: its receivers aren't paired.
 HEAVY = 1000
+#: Pairs that a task counts, about.
+PAIRS = 3_000_000
 
 
 def pairs_sharing(edges: DataFrame, least: int, heavy: int = HEAVY) -> DataFrame:
     """d1, d2, shared: pairs of receivers (d1 < d2) with at least `least` senders in common and the sorted senders; edges: distinct (s, d).
 
-    Receivers of a light sender are paired, heavy * heavy rows a sender at most. The heavy senders of a receiver are one sorted array
+    Receivers of a light sender are paired, heavy * heavy rows a sender at most. A pair is made where it is counted: a receiver gets the
+    sorted later receivers of each of its senders, and tasks are as many as the pairs need. Where no sender is heavy, senders are listed for pairs with enough only. The heavy senders of a receiver are one sorted array
     each, as long as there are heavy senders, which are fewer than edges / heavy; pairs that share a light sender look up there what else
     they share. Pairs that share heavy senders only are found by their arrays: equal arrays are one class, and classes
     meet at an element that both have among their first; only classes with enough in common are given out as pairs, which then are results.
@@ -24,10 +27,17 @@ def pairs_sharing(edges: DataFrame, least: int, heavy: int = HEAVY) -> DataFrame
     e = cut(edges.select("s", "d").join(able, "d", "left_semi").join(degree, "s"))  # receivers of fewer senders are in no pair
     light = e.where(F.col("n") <= heavy).select("s", "d")
     big = cut(e.where(F.col("n") > heavy).groupBy("d").agg(F.array_sort(F.collect_list("s")).alias("big")))
-    met = light.withColumnRenamed("d", "d1").join(light.withColumnRenamed("d", "d2"), "s").where("d1 < d2")
-    met = met.groupBy("d1", "d2").agg(F.collect_list("s").alias("few"))
+    pairs = light.groupBy("s").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    tasks = max(1, min(int(pairs // PAIRS) + 1, 20_000))
+    lists = light.repartition(tasks // 4 + 1, "s").groupBy("s").agg(F.array_sort(F.collect_list("d")).alias("ds")).where(F.size("ds") > 1)  # `heavy` at most
+    later = lists.select("s", F.posexplode("ds").alias("at", "d1"), "ds").where(F.col("at") + 1 < F.size("ds"))
+    later = later.select("s", "d1", F.slice("ds", F.col("at") + 2, F.size("ds")).alias("ds"))
     if big.isEmpty():
-        return met.where(F.size("few") >= least).select("d1", "d2", F.array_sort("few").alias("shared"))
+        met = later.select("d1", "ds").repartition(tasks, "d1").select("d1", F.explode("ds").alias("d2")).groupBy("d1", "d2").agg(F.count("*").alias("n"))
+        met = cut(met.where(F.col("n") >= least).select("d1", "d2"))
+        both = met.join(light.withColumnRenamed("d", "d1"), "d1").join(light.withColumnRenamed("d", "d2"), ["d2", "s"])
+        return both.groupBy("d1", "d2").agg(F.array_sort(F.collect_list("s")).alias("shared"))
+    met = later.repartition(tasks, "d1").select("s", "d1", F.explode("ds").alias("d2")).groupBy("d1", "d2").agg(F.collect_list("s").alias("few"))
     met = cut(met)
     of = lambda k: big.select(F.col("d").alias(f"d{k}"), F.col("big").alias(f"b{k}"))
     both = met.join(of(1), "d1", "left").join(of(2), "d2", "left")
