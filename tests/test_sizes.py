@@ -2,7 +2,7 @@
 
 import itertools
 
-from tracewell.operators import features, sharing
+from tracewell.operators import features, graph, sharing
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
 
@@ -33,3 +33,12 @@ def test_receivers_in_several_tasks(spark, monkeypatch):
     frame = spark.createDataFrame(sorted(edges), "s int, d int")
     assert want and {(r.d1, r.d2): r.shared for r in sharing.pairs_sharing(frame, 5).collect()} == want
     assert {(r.d1, r.d2): r.shared for r in sharing.pairs_sharing(frame, 5, heavy=5).collect()} == want
+
+
+def test_legs_of_a_cycle_are_compared_before_the_leg_between(spark):
+    rows = [(1, 1, 2, 100.0), (2, 2, 3, 7.0), (3, 3, 1, 90.0), (4, 1, 4, 100.0), (5, 4, 3, 1.0), (6, 5, 6, 9.0), (7, 6, 5, 8.0), (8, 2, 1, 10.0)]
+    txn = spark.createDataFrame(rows, "txn_id long, src long, dst long, amount double")
+    got = graph.short_cycles(txn, 0.85)
+    assert {tuple(r) for r in got.collect()} == {(3, 1, 2, 3, 0.9), (3, 1, 4, 3, 0.9), (2, 5, 6, None, 0.888889)}
+    joins = [line for line in plan(got).splitlines() if "Join Inner" in line]
+    assert any("0.85" in line and "s1" in line and "d3" in line for line in joins), joins

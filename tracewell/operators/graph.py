@@ -55,16 +55,21 @@ def roles(txn: DataFrame) -> DataFrame:
 
 
 def short_cycles(txn: DataFrame, min_ratio: float = 0.0) -> DataFrame:
-    """Cycles of two and three accounts, each once, starting at its least account; return_ratio = last over first leg."""
+    """Cycles of two and three accounts, each once, starting at its least account; return_ratio = last over first leg.
+
+    First and last leg meet at that account, where their ratio is known, so only pairs that reach min_ratio go on to the leg between.
+    """
     e = collapsed(txn).where("src <> dst")
     a, b, c = (e.select(F.col("src").alias(f"s{i}"), F.col("dst").alias(f"d{i}"), F.col("total").alias(f"t{i}")) for i in (1, 2, 3))
     two = a.where("s1 < d1").join(b, (F.col("d1") == F.col("s2")) & (F.col("d2") == F.col("s1")))
     two = two.select(F.lit(2).alias("length"), F.col("s1").alias("n1"), F.col("d1").alias("n2"), F.lit(None).cast(dict(txn.dtypes)["src"]).alias("n3"), F.col("t1").alias("first"), F.col("t2").alias("last"))
-    three = a.where("s1 < d1").join(b.where("s2 <> d2"), F.col("d1") == F.col("s2")).where("s1 < d2 and d2 <> d1")
-    three = three.join(c, (F.col("d2") == F.col("s3")) & (F.col("d3") == F.col("s1")))
-    three = three.select(F.lit(3).alias("length"), F.col("s1").alias("n1"), F.col("d1").alias("n2"), F.col("d2").alias("n3"), F.col("t1").alias("first"), F.col("t3").alias("last"))
-    ratio = F.coalesce(F.try_divide(F.least("first", "last"), F.greatest("first", "last")), F.lit(0.0))
-    return two.unionByName(three).withColumn("return_ratio", F.round(ratio, 6)).where(F.col("return_ratio") >= min_ratio).drop("first", "last")
+    ratio = lambda x, y: F.round(F.coalesce(F.try_divide(F.least(x, y), F.greatest(x, y)), F.lit(0.0)), 6)
+    ends = a.where("s1 < d1").join(c.where("d3 < s3"), F.col("s1") == F.col("d3")).where("d1 <> s3").withColumn("return_ratio", ratio("t1", "t3"))
+    ends = ends.where(F.col("return_ratio") >= min_ratio).select("s1", "d1", "s3", "return_ratio")
+    three = ends.join(b.select("s2", "d2"), (F.col("d1") == F.col("s2")) & (F.col("s3") == F.col("d2")))
+    three = three.select(F.lit(3).alias("length"), F.col("s1").alias("n1"), F.col("d1").alias("n2"), F.col("s3").alias("n3"), "return_ratio")
+    two = two.withColumn("return_ratio", ratio("first", "last")).where(F.col("return_ratio") >= min_ratio).drop("first", "last")
+    return two.unionByName(three)
 
 
 def hop_distances(txn: DataFrame, starts: list, radius: int = 2) -> DataFrame:
