@@ -2,6 +2,7 @@
 
 import itertools
 
+from tracewell.investigation import networks
 from tracewell.operators import features, graph, sharing
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
@@ -42,3 +43,11 @@ def test_legs_of_a_cycle_are_compared_before_the_leg_between(spark):
     assert {tuple(r) for r in got.collect()} == {(3, 1, 2, 3, 0.9), (3, 1, 4, 3, 0.9), (2, 5, 6, None, 0.888889)}
     joins = [line for line in plan(got).splitlines() if "Join Inner" in line]
     assert any("0.85" in line and "s1" in line and "d3" in line for line in joins), joins
+
+
+def test_customers_of_one_number_meet_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(networks, "PAIRS", 50)
+    who = spark.range(40).selectExpr("id AS customer_id", "CAST(NULL AS string) AS name", "IF(id < 30, 'a', 'b') AS tax_id")
+    found = networks.related_customers(who, b"k").where("attribute = 'tax_id'")
+    assert sorted((r.entity_a, r.entity_b) for r in found.collect()) == sorted([*itertools.combinations(range(30), 2), *itertools.combinations(range(30, 40), 2)])
+    assert len([n for n in found.rdd.glom().map(len).collect() if n]) >= 8

@@ -13,6 +13,9 @@ from tracewell.operators.sets import touching
 from tracewell.session import cut
 from tracewell.sources.ledgers import sides_in_one_scan
 
+#: Pairs of customers of one tax number that a task makes, about.
+PAIRS = 3_000_000
+
 
 def filtered_ego(txn: DataFrame, centre, radius: int = 2, edge: Column | None = None, node: Column | None = None, nodes: DataFrame | None = None, direction: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of an ego network: edge filters first, then nodes without an edge leave (the centre stays), then node filters
@@ -107,12 +110,18 @@ def path_ranks(chains: DataFrame, scores: DataFrame) -> DataFrame:
 def related_customers(customers: DataFrame, key: bytes, min_ratio: float = 0.85, blocks: list[str] | None = None) -> DataFrame:
     """entity_a, entity_b, attribute, confidence, value_hash of customers (customer_id, name, tax_id) that look related.
 
-    The same tax number: an equal join, 0.95, with the number's keyed hash. Similar names: names.similar_names, which loses none;
+    The same tax number: an equal join, 0.95, with the number's keyed hash; a number's customers meet in as many tasks as their pairs need. Similar names: names.similar_names, which loses none;
     blocks are columns that two related customers share, such as a city. Each pair once, the lesser first.
     """
     tax = customers.where("tax_id IS NOT NULL AND trim(tax_id) <> ''").select("customer_id", F.upper(F.trim("tax_id")).alias("t"))
-    a, b = tax.select(F.col("customer_id").alias("entity_a"), "t"), tax.select(F.col("customer_id").alias("entity_b"), "t")
-    same = a.join(b, "t").where("entity_a < entity_b").select("entity_a", "entity_b", F.lit("tax_id").alias("attribute"), F.lit(0.95).alias("confidence"), keyed_hash(F.col("t"), key).alias("value_hash"))
+    sizes = tax.groupBy("t").agg((F.count("*") * F.count("*")).alias("n"))
+    tasks = min((sizes.agg(F.sum("n")).first()[0] or 0) // PAIRS + 1, 20_000)
+    dealt = tax.join(sizes, "t").withColumn("parts", F.ceil(F.col("n") / PAIRS))
+    a = dealt.select(F.col("customer_id").alias("entity_a"), "t", F.pmod(F.xxhash64("customer_id"), F.col("parts")).alias("part"))
+    b = dealt.select(F.col("customer_id").alias("entity_b"), "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # few bytes make many pairs: the number of tasks follows pairs, and neither side is sent whole
+    same = a.repartition(tasks, "t", "part").join(b.repartition(tasks, "t", "part").hint("merge"), ["t", "part"]).where("entity_a < entity_b")
+    same = same.select("entity_a", "entity_b", F.lit("tax_id").alias("attribute"), F.lit(0.95).alias("confidence"), keyed_hash(F.col("t"), key).alias("value_hash"))
     pairs = similar_names(customers.select(F.col("customer_id").alias("id"), "name", *(blocks or [])), min_ratio, tuple(blocks or ()))
     like = pairs.select(F.col("id_a").alias("entity_a"), F.col("id_b").alias("entity_b"), F.lit("name").alias("attribute"), F.round("ratio", 4).alias("confidence"), F.lit(None).cast("string").alias("value_hash"))
     return same.unionByName(like)
