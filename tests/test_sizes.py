@@ -3,7 +3,7 @@
 import itertools
 
 from tracewell.investigation import networks
-from tracewell.operators import features, graph, sharing
+from tracewell.operators import features, graph, scoring, sharing
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
 
@@ -51,3 +51,17 @@ def test_customers_of_one_number_meet_in_several_tasks(spark, monkeypatch):
     found = networks.related_customers(who, b"k").where("attribute = 'tax_id'")
     assert sorted((r.entity_a, r.entity_b) for r in found.collect()) == sorted([*itertools.combinations(range(30), 2), *itertools.combinations(range(30, 40), 2)])
     assert len([n for n in found.rdd.glom().map(len).collect() if n]) >= 8
+
+
+def test_the_ensemble_reads_centralities_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    central = spark.createDataFrame([(k, k / 10, k / 20) for k in range(8)], "account long, pagerank double, betweenness double")
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame([(1, "layering")], "account long, kind string")
+    assert scoring.ensemble(found, central.mapInArrow(count, central.schema)).count() == 8
+    assert read.value == 8

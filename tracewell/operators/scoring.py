@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.aggregates import counts_below
 from tracewell.operators.features import PATTERN_WEIGHTS, ratio
 from tracewell.operators.rules import SEVERITIES
+from tracewell.session import cut
 
 #: Centralities from which on an account counts as central.
 HIGH_PAGERANK, HIGH_BETWEENNESS = 0.005, 0.01
@@ -28,7 +29,7 @@ def temporal_split(txn: DataFrame, train: float = 0.7, validate: float = 0.85) -
     The order is taken by ranges of time, so no task holds all accounts. Shares are decimals: 0.7 of 90,000 as doubles is a little less than 63,000.
     """
     last = txn.select(F.explode(F.array("src", "dst")).alias("account"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("account").agg(F.max("t").alias("t"))
-    placed = counts_below(last.select("account", F.struct("t", "account").alias("o"), F.lit(1).alias("one")), "o", "one", "place")
+    placed = counts_below(cut(last).select("account", F.struct("t", "account").alias("o"), F.lit(1).alias("one")), "o", "one", "place")
     n = F.broadcast(placed.agg(F.count("*").alias("n")))
     until = lambda share: F.floor(F.col("n") * F.lit(Decimal(str(share))))
     part = F.when(F.col("place") < until(train), "train").when(F.col("place") < until(validate), "validation").otherwise("test")
@@ -55,6 +56,7 @@ def ensemble(kinds: DataFrame, centrality: DataFrame, fraud: DataFrame | None =
     """
     weight = F.create_map(*(F.lit(x) for p in PATTERN_WEIGHTS.items() for x in p))
     flags = kinds.select("account", "kind").distinct().groupBy("account").agg(F.sum(F.coalesce(weight[F.col("kind")], F.lit(10))).alias("raw"))
+    centrality = cut(centrality)  # read five times below
     receiving = centrality.where("pagerank IS NOT NULL")
     by_rank = percentile_rank(receiving.select("account", "pagerank"), "pagerank", "pr_pct").select("account", "pr_pct")
     by_between = percentile_rank(centrality.select("account", "betweenness"), "betweenness", "bc_pct", receiving).select("account", "bc_pct")
@@ -118,11 +120,11 @@ def rl_context(alerts: DataFrame) -> DataFrame:
     alerts: alert_id, risk, score, kind, n_accounts, amount, n_txns, age_days, prior_alerts, velocity; missing numbers are 0.
     """
     n = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    cut = lambda c, top: F.least(F.greatest(c, F.lit(0.0)), F.lit(top))
+    upto = lambda c, top: F.least(F.greatest(c, F.lit(0.0)), F.lit(top))
     kinds = list(PATTERN_WEIGHTS)
     parts = [
-        cut(n("risk") / 100, 1.0), cut(n("score"), 1.0), cut(n("n_accounts") / 10, 1.0), cut(F.log1p(n("amount")) / 20, 1.0), cut(F.log1p(n("n_txns")) / 10, 1.0),
-        cut(n("age_days") / 365, 1.0), cut(n("prior_alerts") / 10, 1.0), cut(n("velocity") / 10, 1.0), *((F.col("kind") == k).cast("double") for k in kinds), F.lit(1.0),
+        upto(n("risk") / 100, 1.0), upto(n("score"), 1.0), upto(n("n_accounts") / 10, 1.0), upto(F.log1p(n("amount")) / 20, 1.0), upto(F.log1p(n("n_txns")) / 10, 1.0),
+        upto(n("age_days") / 365, 1.0), upto(n("prior_alerts") / 10, 1.0), upto(n("velocity") / 10, 1.0), *((F.col("kind") == k).cast("double") for k in kinds), F.lit(1.0),
     ]
     return alerts.select("alert_id", F.array(*(F.coalesce(p, F.lit(0.0)) for p in parts)).alias("context"))
 
@@ -134,6 +136,7 @@ def ranked_queue(alerts: DataFrame, scores: DataFrame, top: int = 200) -> DataFr
     others follow in order of risk. Places beyond the top are found by ranges.
     """
     rows = alerts.groupBy("account").agg(F.max("risk").alias("risk"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    rows = cut(rows)  # read by the top, by the rest, and by the sample of ranges
     first = rows.orderBy(F.desc("risk"), "account").limit(top).join(scores, "account", "left")
     rest = rows.join(first.select("account"), "account", "left_anti").withColumn("rank_score", F.lit(None).cast("double"))
     order = F.struct(F.lit(0).alias("g"), (-F.coalesce("rank_score", F.lit(0.0))).alias("s"), "account"), F.struct(F.lit(1).alias("g"), (-F.col("risk")).alias("s"), "account")
