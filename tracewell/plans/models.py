@@ -19,10 +19,10 @@ def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
-    """Features, written once, their columns, labels and parts."""
+    """Features, their columns, labels and parts, each table written once: training and scoring read them several times."""
     rows, columns = _features(spark, sf_dir)
     txn = orders_ledger(spark, sf_dir)
-    return cut(rows), columns, scoring.labels(txn.where("amount >= 90000")), scoring.temporal_split(txn)
+    return cut(rows), columns, cut(scoring.labels(txn.where("amount >= 90000"))), cut(scoring.temporal_split(txn))
 
 
 def isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def features_to_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From transfers to the order of work: one table of features, trees, detectors, ensemble, and the accounts that stand out in order."""
     txn, who = orders_ledger(spark, sf_dir), accounts(spark, sf_dir)
     rows, columns, labels, parts = _training(spark, sf_dir)
-    fraud = ml.fraud_scores(rows, columns, labels, parts).select("account", "fraud_prob", "fraud_pred")
+    fraud = cut(ml.fraud_scores(rows, columns, labels, parts).select("account", "fraud_prob", "fraud_pred"))
     odd = ml.isolation_scores(rows, columns)
     named = lambda found, account, kind: found.select(F.col(account).alias("account"), F.lit(kind).alias("kind"), "score")
     found = named(detectors.amount_band_count(txn, 90_000, 100_000, 3, 30), "src", "structuring").unionByName(named(detectors.income_mismatch(txn, who), "account", "profile_mismatch"))
