@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.scalars import halves_up
 from tracewell.operators.aggregates import counts_below
 from tracewell.operators.features import PATTERN_WEIGHTS, ratio
 from tracewell.operators.rules import SEVERITIES
@@ -70,7 +71,7 @@ def ensemble(kinds: DataFrame, centrality: DataFrame, fraud: DataFrame | None =
     graph = F.when(flagged, (over(F.col("pr_pct")) + over(F.col("bc_pct"))) * 0.3).otherwise(0.0)
     bonus = F.when(flagged & (p > 0.5), (p - 0.5) / 0.5 * 15).otherwise(0.0)
     parts = {"ml": ml, "pattern": pattern, "graph": graph, "bonus": bonus}
-    return rows.select("account", *(F.round(c, 4).alias(n) for n, c in parts.items()), F.round(F.least(ml + pattern + graph + bonus, F.lit(100.0)), 2).alias("score"))
+    return rows.select("account", *(F.round(c, 4).alias(n) for n, c in parts.items()), halves_up(F.least(ml + pattern + graph + bonus, F.lit(100.0)), 2).alias("score"))
 
 
 def indicator_count(n_kinds: Column, fraud_prob: Column, pagerank: Column, betweenness: Column) -> Column:
