@@ -3,7 +3,7 @@
 import itertools
 
 from tracewell.investigation import networks
-from tracewell.operators import features, graph, scoring, sharing
+from tracewell.operators import features, graph, scoring, sharing, walks
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
 
@@ -65,3 +65,12 @@ def test_the_ensemble_reads_centralities_once(spark):
     found = spark.createDataFrame([(1, "layering")], "account long, kind string")
     assert scoring.ensemble(found, central.mapInArrow(count, central.schema)).count() == 8
     assert read.value == 8
+
+
+def test_components_cut_no_table_larger_than_accounts(spark, monkeypatch):
+    rows, real = [], walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df: rows.append(df.count()) or real(df))
+    txn = spark.createDataFrame([(a, b) for a in range(40) for b in range(40)] + [(50, 60), (60, 50), (70, 60), (80, 80), (None, 1)], "src long, dst long")
+    got = {r.account: r.component for r in walks.components(txn).collect()}
+    assert got == {a: 0 for a in range(40)} | {50: 50, 60: 50, 70: 50, 80: 80}
+    assert max(rows) <= 44
