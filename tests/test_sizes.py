@@ -1,8 +1,9 @@
 """What a step reads, shuffles and deals out, where results alone don't tell."""
 
+import datetime as dt
 import itertools
 
-from tracewell.investigation import networks
+from tracewell.investigation import behaviour, networks
 from tracewell.operators import features, graph, scoring, sharing, walks
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
@@ -74,3 +75,23 @@ def test_components_cut_no_table_larger_than_accounts(spark, monkeypatch):
     got = {r.account: r.component for r in walks.components(txn).collect()}
     assert got == {a: 0 for a in range(40)} | {50: 50, 60: 50, 70: 50, 80: 80}
     assert max(rows) <= 44
+
+
+def test_reactivations_read_the_ledger_once_where_no_day_is_split(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(k)
+    rows = [(1, 2, 5.0, day(k), "x") for k in (0, 100, 101, 107, 108)] + [(1, 3, 5.0, day(107) + dt.timedelta(hours=1), "x")]
+    txn = spark.createDataFrame(rows, "src long, dst long, amount double, ts timestamp, channel string")
+    whole = txn.where("dst = 2")
+    found = behaviour.reactivations(whole.mapInArrow(count, whole.schema)).collect()
+    assert read.value == 5 and sorted((r.account, r.gap_days, r.burst) for r in found) == [(1, 100, 3), (2, 100, 3)]
+    # 107 and an hour lies after the burst's end of account 1, on the day that it falls on
+    assert sorted((r.account, r.burst) for r in behaviour.reactivations(txn).collect()) == [(1, 3), (2, 3)]
+    rates = behaviour.velocity(txn, 2).collect()
+    assert {r.account: r.recent for r in rates} == {1: 2.5, 2: 2.0, 3: 0.0}

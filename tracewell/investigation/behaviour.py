@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import cut, few
+
 DAY = 86_400_000_000
 #: What a behaviour bundle names as not computed.
 DEFERRED = ["salary_mismatch", "seasonal_trends"]
@@ -50,31 +52,47 @@ def _days(rows: DataFrame) -> DataFrame:
     return rows.groupBy("account", "day").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
-def _counts_upto(rows: DataFrame, days: DataFrame, marks: DataFrame) -> DataFrame:
-    """account, mark, upto: how many of an account's rows lie at its mark (account, mark) or before.
-
-    Whole days are taken from the counts by day; rows are read only on the day that the mark lies in.
-    """
+def _read_upto(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """account, mark, part: how many of an account's rows lie on the day of its mark (account, mark), at the mark or before."""
     marks = marks.select("account", "mark", F.floor(F.col("mark") / F.lit(DAY)).alias("mark_day"))
-    whole = days.join(marks, "account").where("day < mark_day").groupBy("account", "mark").agg(F.sum("n").alias("k"))
-    part = rows.select("account", "t", F.col("day").alias("mark_day")).join(marks, ["account", "mark_day"]).where("t <= mark")
-    part = part.groupBy("account", "mark").agg(F.count("*").alias("k"))
-    counted = whole.unionByName(part).groupBy("account", "mark").agg(F.sum("k").alias("k"))
-    return marks.join(counted, ["account", "mark"], "left").select("account", "mark", F.coalesce("k", F.lit(0)).alias("upto"))
+    part = rows.select("account", "t", F.col("day").alias("mark_day")).join(few(marks), ["account", "mark_day"]).where("t <= mark")
+    return part.groupBy("account", "mark").agg(F.count("*").alias("part"))
+
+
+def _with_parts(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """marked (account, mark, upto, split) with what a day that a mark splits adds to upto; rows are read only if a day is split."""
+    marked = cut(marked)
+    split = marked.where("split")
+    if split.isEmpty():
+        return marked.drop("split")
+    parts = _read_upto(rows, split)
+    return marked.join(parts, ["account", "mark"], "left").withColumn("upto", F.col("upto") + F.coalesce("part", F.lit(0))).drop("split", "part")
 
 
 def reactivations(txn: DataFrame, gap_days: int = 90, burst_days: int = 7, burst_min: int = 3) -> DataFrame:
-    """account, gap_start, gap_end (microseconds), gap_days, burst: rests of gap_days at least with burst_min transfers within burst_days of their end."""
+    """account, gap_start, gap_end (microseconds), gap_days, burst: rests of gap_days at least with burst_min transfers within burst_days of their end.
+
+    One window over an account's days tells the rest before a day, the transfers of the days that the burst covers whole, and the
+    first and last moment of the day that its end, burst_days later to the microsecond, falls on.
+    """
     if gap_days < 1:
         raise ValueError("a gap has a day at least")
+    if burst_days < 0:
+        raise ValueError("a burst doesn't end before it begins")
     rows = _own_rows(txn, F.lit(True))
-    days = _days(rows)
     by_day = Window.partitionBy("account").orderBy("day")  # a row for each day of an account, whatever the number of its transfers
+    that = by_day.rangeBetween(burst_days, burst_days)
+    whole = F.sum("n").over(by_day.rangeBetween(0, burst_days - 1)) if burst_days else F.lit(0)
     # a gap of a day and more lies between two of its days, so its ends are the last of one and the first of the next
-    before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gaps = days.select("account", F.col("first").alias("gap_end"), F.lag("last").over(by_day).alias("gap_start"), before.alias("before"))
-    gaps = gaps.where(F.col("gap_end") - F.col("gap_start") >= gap_days * DAY).withColumn("mark", F.col("gap_end") + burst_days * DAY)
-    found = gaps.join(_counts_upto(rows, days, gaps), ["account", "mark"]).withColumn("burst", F.col("upto") - F.col("before"))
+    gaps = _days(rows).select(
+        "account", F.col("first").alias("gap_end"), F.lag("last").over(by_day).alias("gap_start"), whole.alias("whole"),
+        F.coalesce(F.sum("n").over(that), F.lit(0)).alias("k"), F.min("first").over(that).alias("from"), F.max("last").over(that).alias("to"),
+    )
+    gaps = gaps.where((F.col("gap_end") - F.col("gap_start") >= gap_days * DAY) & (F.col("whole") + F.col("k") >= burst_min))
+    gaps = gaps.withColumn("mark", F.col("gap_end") + burst_days * DAY)
+    upto = F.col("whole") + F.when(F.col("to") <= F.col("mark"), F.col("k")).otherwise(0)
+    split = F.coalesce((F.col("from") <= F.col("mark")) & (F.col("to") > F.col("mark")), F.lit(False))
+    found = _with_parts(rows, gaps.select("account", "gap_start", "gap_end", "mark", upto.alias("upto"), split.alias("split"))).withColumnRenamed("upto", "burst")
     rest = F.floor((F.col("gap_end") - F.col("gap_start")) / F.lit(DAY)).alias("gap_days")
     return found.where(F.col("burst") >= burst_min).select("account", "gap_start", "gap_end", rest, "burst")
 
@@ -87,7 +105,13 @@ def velocity(txn: DataFrame, recent_weeks: int = 4, threshold: float = 2.0) -> D
     days = _days(rows)
     ends = days.groupBy("account").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     ends = ends.withColumn("mark", F.col("last") - recent_weeks * 7 * DAY)
-    joined = ends.join(_counts_upto(rows, days, ends), ["account", "mark"])
+    day = F.floor(F.col("mark") / F.lit(DAY))
+    on_it = F.col("day") == day
+    before = F.when((F.col("day") < day) | (on_it & (F.col("day_last") <= F.col("mark"))), F.col("k"))
+    split = on_it & (F.col("day_first") <= F.col("mark")) & (F.col("day_last") > F.col("mark"))
+    each = days.select("account", "day", F.col("n").alias("k"), F.col("first").alias("day_first"), F.col("last").alias("day_last"))
+    whole = ends.join(each, "account").groupBy("account", "n", "first", "mark").agg(F.coalesce(F.sum(before), F.lit(0)).alias("upto"), F.max(split).alias("split"))
+    joined = _with_parts(rows, whole)
     weeks = F.greatest(F.floor((F.col("mark") - F.col("first")) / F.lit(DAY)), F.lit(1)) / 7.0
     several = F.col("n") >= 2
     recent = F.when(several, (F.col("n") - F.col("upto")) / recent_weeks).otherwise(0.0)
