@@ -40,3 +40,14 @@ def test_each_pair_once_and_nothing(spark):
     frame = spark.createDataFrame([(i, "Supplier#00000000" + str(i)) for i in range(9)], "id long, name string")
     assert names.similar_names(frame).count() == 36
     assert names.similar_names(frame.limit(0)).collect() == []
+
+
+def test_equal_names_are_compared_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(names, "cut", lambda df: kept.append(df) or df)
+    rows = [(i, f"Supplier#{i % 6:03}", i % 2) for i in range(60)] + [(60, "abcd", 0), (61, "abcd ", 1)]
+    got = names.similar_names(spark.createDataFrame(rows, "id long, name string, block int"), 0.85, ("block",)).collect()
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2}
+    assert {(r.id_a, r.id_b) for r in got} == want and len(got) == len(want)
+    assert all(r.ratio == 1.0 for r in got if r.id_a % 6 == r.id_b % 6)
+    assert max(df.count() for df in kept if "ratio" in df.columns) <= 12
