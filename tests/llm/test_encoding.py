@@ -187,3 +187,13 @@ def test_long_words_equal_library():
         began = time.time()
         flat, _ = c.encode([text])
         assert time.time() - began < 20 and flat.tolist() == c.library.encode(text)
+
+
+def test_units_of_words_are_the_same_wherever_they_stand():
+    path = packing.default_tokenizer()
+    tokenizer, encoder = Tokenizer.from_file(path), encoders.library_encoder(path, False)
+    odd = ["", " ", "\n\n", "a\nb c\n", " a", "it's 's\t't \x1c x\x85y", "e\u0301 \u0301e", "<|endoftext|> a<|endoftext|>b", "ΟΔΟΣ ΣΑΣ", "İ İ", "1 23 4", "\0 a\0b", "ab\r\ncd", "\u1100\u1161 \u1161", "word " * 40, None]
+    flat, lengths = encoder(odd)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
+    encoder(["word\nword word"])
+    assert {u for u in encoder.codes if "word" in u} == {"word"}

@@ -13,6 +13,7 @@ import gc
 import os
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,8 @@ class UnitEncoder:
         known, used = len(self.codes), self.used
         parts = [self.split(t) for t in texts]
         counts = np.fromiter((0 if p is None else len(p) for p in parts), np.int64, len(parts))
-        get = self.codes.__getitem__
-        codes = np.fromiter((get(u) for p in parts if p is not None for u in p), np.int64, int(counts.sum()))
+        units = chain.from_iterable(p for p in parts if p is not None)
+        codes = np.fromiter(map(self.codes.__getitem__, units), np.int64, int(counts.sum()))
         self._learn()
         size, begin = self.size[codes], self.begin[codes]
         edge = np.concatenate([[0], np.cumsum(counts)])
@@ -130,6 +131,11 @@ def _by_blank(text: str) -> list[str] | None:
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
+def _between_blanks(text: str) -> list[str]:
+    """Units between spaces and line ends, which are in none of them: a word is one unit wherever it stands."""
+    return (text.replace("\n", " ") if "\n" in text else text).split(" ")
+
+
 def _next_to_space(unit: str) -> bool:
     """White space right after the unit's first character, or at its end: a run of white space goes on in a neighbour."""
     return unit[1:2].isspace() or unit[-1:].isspace()
@@ -155,7 +161,9 @@ def library_encoder(path: str, blanks_count: bool) -> UnitEncoder:
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         return np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())), sizes
 
-    return UnitEncoder(_by_blank, encode, whole, _next_to_space if blanks_count else lambda unit: False)
+    if blanks_count:
+        return UnitEncoder(_by_blank, encode, whole, _next_to_space)
+    return UnitEncoder(_between_blanks, encode, whole, lambda unit: False)
 
 
 def trim() -> None:
