@@ -5,6 +5,7 @@ import itertools
 
 from tracewell.investigation import behaviour, networks
 from tracewell.operators import features, graph, parts, scoring, sharing, walks
+from tracewell.plans import parts as part_plans
 
 LEDGER = "txn_id long, src long, dst long, amount double, ts timestamp, channel string, from_bank int, to_bank long, is_laundering int"
 
@@ -104,3 +105,19 @@ def test_strong_parts_cut_no_table_larger_than_accounts(spark, monkeypatch):
     got = {tuple(r) for r in parts.strong_parts(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {(a, 0, 40) for a in range(40)} | {(50, 50, 2), (60, 50, 2), (70, 70, 1), (80, 80, 1)}
     assert max(rows) <= 44
+
+
+def test_part_round_trips_read_the_ledger_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    rows = [(1, 2, 10.0, at(1, 0)), (2, 3, 9.0, at(1, 6)), (3, 1, 9.0, at(2, 0)), (1, 2, 2.0, at(1, 1)), (4, 5, 1.0, at(3, 0)), (4, 4, 7.0, at(3, 0)), (2, 1, 5.0, dt.datetime(2024, 2, 1))]
+    txn = spark.createDataFrame(rows, "src long, dst long, amount double, ts timestamp")
+    monkeypatch.setattr(part_plans, "orders_ledger", lambda *_: txn.mapInArrow(count, txn.schema))
+    assert [tuple(r) for r in part_plans.part_round_trips(spark, "").collect()] == [("2024-01", "1>2>3", 3, 4, 30.0, 24.0, 0.75, 0.400024, "MEDIUM")]
+    assert read.value == len(rows)

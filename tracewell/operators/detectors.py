@@ -237,12 +237,21 @@ def round_trips(txn: DataFrame, cycles: DataFrame, min_return: float = 0.85, uni
 
     by: columns of both that slice the ledger; a cycle's transfers are those of its slice. return_ratio is what comes back to the first account over what it sends within the cycle, 0 if it sends nothing.
     """
+    return trips_of(flows(txn, by), cycles, min_return, unit, by)
+
+
+def flows(txn: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst, n, amount, first, last (microseconds) of the transfers of each pair in each slice."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return txn.groupBy(*by, "src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min(t).alias("first"), F.max(t).alias("last"))
+
+
+def trips_of(moved: DataFrame, cycles: DataFrame, min_return: float = 0.85, unit: float = 5_000_000.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of round_trips from flows."""
     c = cycles.select(*by, F.xxhash64(*by, "nodes").alias("c"), "nodes")
     ends = F.posexplode(F.arrays_zip(F.col("nodes").alias("src"), F.concat(F.slice("nodes", 2, 1000), F.slice("nodes", 1, 1)).alias("dst")))
     legs = c.select(*by, "c", F.size("nodes").alias("length"), ends.alias("leg", "e")).select(*by, "c", "length", "leg", "e.src", "e.dst")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    flows = txn.groupBy(*by, "src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min(t).alias("first"), F.max(t).alias("last"))
-    sums = legs.join(flows, [*by, "src", "dst"]).groupBy("c", "length").agg(
+    sums = legs.join(moved, [*by, "src", "dst"]).groupBy("c", "length").agg(
         F.sum("n").alias("n_txns"), F.sum("amount").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.sum(F.when(F.col("leg") == 0, F.col("amount"))).alias("sent"), F.sum(F.when(F.col("leg") == F.col("length") - 1, F.col("amount"))).alias("back"),
     )

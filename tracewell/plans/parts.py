@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import materialise
 from tracewell.operators import detectors, parts, walks
 from tracewell.plans.registry import E, L, query
+from tracewell.session import cut, few
 from tracewell.sources.ledgers import events_ledger, orders_ledger
 
 
@@ -56,8 +58,11 @@ SELECT month, array_to_string(nodes, '>') AS cycle, CAST(len(nodes) AS BIGINT) A
        round(least(1, CASE WHEN ratio >= 0.85 THEN 0.4 ELSE 0.1 END + least(len(nodes) / 10, 0.3) + least(total / 1234567, 0.3)), 6) AS score,
        CASE WHEN ratio >= 0.85 AND len(nodes) >= 3 THEN 'CRITICAL' WHEN ratio >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM x""", "RECURSIVE " + L)
 def part_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txn = _monthly(spark, sf_dir)
-    return detectors.round_trips(txn, parts.cycle_nodes(txn, by=("month",)), unit=1_234_567.0, by=("month",))
+    """What moved between each pair of a month is written once: cycles are looked for in it, and their few legs find their sums there."""
+    moved = materialise(detectors.flows(_monthly(spark, sf_dir), ("month",)), "flows")
+    pairs = moved.where((F.col("src") != F.col("dst")) & (F.round("amount", 2) >= 0)).select("month", "src", "dst")
+    cycles = few(cut(parts.cycles_among(pairs, by=("month",))))
+    return detectors.trips_of(moved, cycles, unit=1_234_567.0, by=("month",))
 
 
 @query("g6_used_once", """
