@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -197,3 +198,29 @@ def test_units_of_words_are_the_same_wherever_they_stand():
     assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
     encoder(["word\nword word"])
     assert {u for u in encoder.codes if "word" in u} == {"word"}
+
+
+def test_unknown_words_do_not_go_to_the_library_unit_by_unit():
+    path = packing.default_tokenizer()
+    tokenizer, asked = Tokenizer.from_file(path), []
+    whole = lambda units: asked.extend(units) or [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    encode = encoders._by_words(tokenizer, whole)
+    units = ["Orndth.", "(orndth)", "ÉcrÖx,", "", "a1-22", "it's", "e\u0301x", "x\u00d7y", "a<|endoftext|>b", "Σς"]
+    for some in (units[:5], units, units[::-1]):
+        flat, sizes = encode(some)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [tokenizer.encode(u, add_special_tokens=False).ids for u in some]
+    assert set(asked) == {"it's", "e\u0301x", "x\u00d7y", "a<|endoftext|>b", "Σς"}
+
+
+def test_texts_of_any_characters_equal_the_library_beyond_the_cache():
+    path = packing.default_tokenizer()
+    tokenizer, encoder = Tokenizer.from_file(path), encoders.library_encoder.__wrapped__(path, False)
+    rng = random.Random(3)
+    signs = [chr(c) for c in range(0x20, 0x250)] + list("'stredvml <|>KÅẞΣςİ日本\u0301\u3000 \t\r\x1c\0") * 8
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)] + ["x" + chr(c) + "y " + chr(c) for c in range(0x2200)]
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for limit in (0, 50, 200_000):
+        encoder.limit = limit
+        encoder._reset()
+        flat, lengths = encoder(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == want
