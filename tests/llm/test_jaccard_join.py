@@ -150,3 +150,18 @@ def test_scans_in_pieces_equal_scans_at_once(texts, monkeypatch):
     assert (bytescan.counts_before(w.inside, edges) == want).all()
     pieces = w.hashes()
     assert (pieces[~long] == whole[~long]).all() and len(set(pieces[long].tolist())) == len({bytes(data[s:e]) for s, e in zip(w.start[long], w.end[long], strict=True)})
+
+
+def test_buckets_of_several_classes_are_looked_up_by_shares_of_rows(spark):
+    rows = [(b, str(m % 3 if b else 0), m, b) for b in range(3) for m in range(600)]
+    rows = spark.createDataFrame(rows, "bucket long, label string, member long, times long")
+    asked = []
+
+    def scratch(table, name):
+        table = table.localCheckpoint()
+        asked.append((name, table.count()))
+        return table
+
+    got = jaccard_join._mixed(rows, scratch)
+    assert sorted(map(tuple, got.select(rows.columns).collect())) == sorted(map(tuple, rows.where("bucket > 0").collect()))
+    assert dict(asked)["bucket-shares"] <= 3 * jaccard_join.SHARES < 600

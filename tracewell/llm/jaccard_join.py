@@ -54,6 +54,8 @@ PAIRS_TOP = 32
 ID = 12
 PART, FLUSH = 1_000_000, 750_000
 BROADCAST_ROWS = 2_000_000
+#: Parts that a large bucket's rows are gathered in.
+SHARES = 32
 #: Hashes in a block of a family.
 BLOCK = 65_536
 
@@ -514,9 +516,18 @@ def _often(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of buckets that hold several classes."""
-    buckets = rows.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("bucket")
-    return scratch(rows.join(broadcast_if_small(scratch(buckets, "mixed-buckets"), BROADCAST_ROWS), "bucket", "left_semi"), "mixed-members")
+    """The rows of buckets that hold several classes; a bucket's rows lie in SHARES parts, of which each is looked up once."""
+    rest = [c for c in rows.columns if c != "bucket"]
+    shares = rows.groupBy("bucket", F.pmod(F.xxhash64("member"), F.lit(SHARES)).alias("share"))
+    shares = scratch(shares.agg(F.collect_list(F.struct(*rest)).alias("held"), F.min("label").alias("l"), F.max("label").alias("g")), "bucket-shares")
+    buckets = shares.groupBy("bucket").agg(F.min("l").alias("l"), F.max("g").alias("g")).where("l < g").select("bucket")
+    several = shares.join(broadcast_if_small(scratch(buckets, "mixed-buckets"), BROADCAST_ROWS), "bucket", "left_semi")
+    return scratch(several.select("bucket", F.explode("held").alias("x")).select("bucket", "x.*"), "mixed-members")
+
+
+def _of_nodes(rows: DataFrame, often: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of the nodes in often (member, band)."""
+    return rows.join(broadcast_if_small(scratch(often, "nodes-often"), BROADCAST_ROWS), ["member", "band"], "left_semi")
 
 
 def _classes(met: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratch, width: int) -> DataFrame:
@@ -543,8 +554,11 @@ def _classes(met: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratc
     each = _labelled(small.select("bucket", "band", "times", F.explode("ms").alias("x")).select("bucket", "band", "times", "x.*"), labels)
     several = each.groupBy("bucket", "band", "times").agg(F.collect_list(F.struct("member", "n", "s", "label")).alias("ms"), F.min("label").alias("l"), F.max("label").alias("g"))
     several = scratch(several.where("l < g").drop("l", "g"), "mixed-small-buckets")
-    mixed = _mixed(_labelled(large, labels), scratch)
-    meeting = several.select("band", "times", F.explode("ms").alias("x")).select("x.member", "band", "times", "x.s").unionByName(mixed.select("member", "band", "times", "s"))
+    counted = ["member", "band", "times", "s"]
+    in_small = scratch(several.select("band", "times", F.explode("ms").alias("x")).select("x.member", "band", "times", "x.s"), "mixed-small-members")
+    # nodes that all buckets together don't allow a link leave large ones before these are asked for their classes, and are counted again after that
+    mixed = _mixed(_labelled(_of_nodes(large, _often(in_small.unionByName(large.select(counted))), scratch), labels), scratch)
+    meeting = in_small.unionByName(mixed.select(counted))
     often = broadcast_if_small(scratch(_often(meeting), "nodes-mixed"), BROADCAST_ROWS)
     one = several.select("band", "ms", F.explode("ms").alias("x")).select("band", "ms", "x.member", F.col("x.n").alias("m"), "x.label").join(often, ["member", "band"], "left_semi")
     other = F.explode(F.filter("ms", lambda y: (y["label"] != F.col("label")) & (y["member"] > F.col("member")))).alias("y")
@@ -553,10 +567,11 @@ def _classes(met: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratc
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = scratch.note(components(links))
+        mixed = _labelled(mixed.drop("label"), labels)
 
     # pairs that meet in no small bucket: large buckets of one pivot are a family
-    mixed = _mixed(_labelled(large, labels), scratch)
-    members = scratch(mixed.join(broadcast_if_small(scratch(_often(mixed), "nodes-mixed"), BROADCAST_ROWS), ["member", "band"], "left_semi"), "undecided")
+    mixed = _mixed(_of_nodes(mixed, _often(mixed), scratch), scratch)
+    members = scratch(_of_nodes(mixed, _often(mixed), scratch), "undecided")
     if not members.isEmpty():
         family = scratch(members.groupBy("bucket").agg(F.max(F.struct("w", "member")).alias("p")).select("bucket", F.col("p.member").alias("family")), "bucket-families")
         family = scratch(members.join(family, "bucket").select("family", "member", "label", "n").distinct(), "family-members")
