@@ -224,3 +224,14 @@ def test_texts_of_any_characters_equal_the_library_beyond_the_cache():
         encoder._reset()
         flat, lengths = encoder(texts)
         assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == want
+
+
+def test_a_worker_gives_memory_back_after_each_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(encoders, "trim", lambda: calls.append(1))
+    run = encoders.trimmed(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 4] and len(calls) == 1
+    half = run(iter([1, 2]))
+    assert next(half) == 2 and len(calls) == 1
+    half.close()
+    assert len(calls) == 2

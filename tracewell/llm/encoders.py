@@ -13,7 +13,7 @@ import gc
 import json
 import os
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -242,3 +242,15 @@ def release() -> None:
     if library_encoder.cache_info().currsize:
         library_encoder.cache_clear()
         trim()
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work on a task's batches, after which its worker gives memory back: it waits for the next task, perhaps of another step, meanwhile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run

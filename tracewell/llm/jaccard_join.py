@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.bytescan import Words, mix, slices, text_buffers, windows
 from tracewell.llm.common import Scratch, broadcast_if_small, components
-from tracewell.llm.encoders import release
+from tracewell.llm.encoders import release, trimmed
 
 WIDTH = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
@@ -52,7 +52,7 @@ SEEDS = 6
 PAIRS_TOP = 32
 #: Bytes of a set's identity.
 ID = 12
-PART, FLUSH = 1_000_000, 750_000
+PART, FLUSH = 1_000_000, 500_000
 BROADCAST_ROWS = 2_000_000
 #: Parts that a large bucket's rows are gathered in.
 SHARES = 32
@@ -197,7 +197,7 @@ def document_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
                 columns = [batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), id_array(set_ids(key, doc, sizes), sizes), sketches]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return texts.mapInArrow(scan, "doc_id long, n_shingles long, set_id binary, sketch binary")
+    return texts.mapInArrow(trimmed(scan), "doc_id long, n_shingles long, set_id binary, sketch binary")
 
 
 def parts_of_bands(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -257,7 +257,7 @@ def packed_signatures(texts: DataFrame, first_part: np.ndarray, n_parts: np.ndar
         if held:
             yield from flush()
 
-    return texts.mapInArrow(scan, "part int, sigs binary, refs binary, sets binary, spares binary, sizes binary")
+    return texts.mapInArrow(trimmed(scan), "part int, sigs binary, refs binary, sets binary, spares binary, sizes binary")
 
 
 def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +341,7 @@ def meetings(packed: DataFrame, first_part: np.ndarray, parts: int) -> DataFrame
 
     names_in = ["part", "sigs", "refs", "sets", "spares", "sizes"]
     dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "kind int, bucket long, band int, members binary, times long, weight long, spare int, n long")
+    return dealt.mapInArrow(trimmed(meet), "kind int, bucket long, band int, members binary, times long, weight long, spare int, n long")
 
 
 def sketch(key: np.ndarray) -> bytes:
@@ -376,7 +376,7 @@ def member_sets(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataF
                 yield pa.RecordBatch.from_arrays([id_array(set_ids(key, doc, sizes), sizes), hashes], ["set_id", "hashes"])
 
     ids = broadcast_if_small(nodes.select(F.col("doc_id").alias("wanted")).distinct(), BROADCAST_ROWS)
-    scanned = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(scan, "set_id binary, hashes binary")
+    scanned = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(trimmed(scan), "set_id binary, hashes binary")
     # an id may stand for several texts: only the sets that were asked for go on
     return scanned.join(broadcast_if_small(nodes.select("set_id"), BROADCAST_ROWS), "set_id", "left_semi").dropDuplicates(["set_id"])
 
@@ -392,7 +392,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a binary, b binary")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(trimmed(test), "a binary, b binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     x, y = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(trimmed(test), "a binary, b binary")
 
 
 def bitmap(key: np.ndarray) -> np.ndarray:
@@ -481,7 +481,7 @@ def family_links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataF
                 columns = [ids_x.take(pa.array([f[0] for f in found], pa.int64())), ids_y.take(pa.array([f[1] for f in found], pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    return meetings.join(x, ["family", "bx"]).join(y, ["family", "ay", "by"]).select("x", "y").mapInArrow(compare, "a binary, b binary")
+    return meetings.join(x, ["family", "bx"]).join(y, ["family", "ay", "by"]).select("x", "y").mapInArrow(trimmed(compare), "a binary, b binary")
 
 
 def true_links(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame, nodes: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, DataFrame]:

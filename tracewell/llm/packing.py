@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import broadcast_if_small, materialise, vocabulary
-from tracewell.llm.encoders import library_encoder, release, trim
+from tracewell.llm.encoders import library_encoder, release, trim, trimmed
 from tracewell.llm.token_output import crc_of_lists, id_lists, with_end
 
 ENCODED = "doc_id long, ids array<int>, n_tokens long, part int, tail int, tail_rank long, full_rank long"
@@ -182,7 +182,7 @@ def pack(
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return placed.mapInArrow(lambda b: _digest(cut(b)), DIGEST) if digest else placed.mapInArrow(cut, PIECES)
+    return placed.mapInArrow(trimmed(lambda b: _digest(cut(b))), DIGEST) if digest else placed.mapInArrow(trimmed(cut), PIECES)
 
 
 def padded_length(length: int, window: int = 2048) -> int:
