@@ -1,6 +1,19 @@
 """Registered queries that take every row, pair and cycle of their tables."""
 
-from tracewell.plans import networks
+import datetime as dt
+import itertools
+import random
+
+from tracewell.plans import networks, queries
+
+
+def orders_tables(spark, folder, n, moved):
+    """Tables whose orders_ledger has n accounts and the transfers moved (src, dst, amount, ts)."""
+    spark.createDataFrame([(i, i % 3) for i in range(n)], "c_custkey long, c_nationkey long").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(i, s, "x") for i, (s, *_) in enumerate(moved)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    lines = [(i, 1, n + d, 0, a, t, "R") for i, (_, d, a, t) in enumerate(moved)]
+    schema = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{folder}/lineitem.parquet")
 
 
 def test_same_tax_number_takes_every_customer(spark, tmp_path):
@@ -8,3 +21,17 @@ def test_same_tax_number_takes_every_customer(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     got = sorted((r.entity_a, r.entity_b) for r in networks.related(spark, str(tmp_path)).collect())
     assert got == [(a, b) for a in keys for b in keys if a < b and a % 400 == b % 400]
+
+
+def test_long_cycles_take_every_pair_whatever_it_moved(spark, tmp_path):
+    rng, n, day = random.Random(4), 9, dt.datetime(2024, 1, 1)
+    moved = [(rng.randrange(n), rng.randrange(n), rng.choice([100_000.0, 94_999.0, 0.01, 0.0, -5.0, None]), day) for _ in range(30)]
+    orders_tables(spark, tmp_path, n, moved)
+    pairs = {(s, d) for s, d, *_ in moved if s != d}
+    best = {}
+    for k in range(2, 6):
+        for way in itertools.permutations(range(n), k):
+            if way[0] == min(way) and all(leg in pairs for leg in zip(way, way[1:] + way[:1])):
+                best[frozenset(way)] = min(best.get(frozenset(way), way), way)
+    got = sorted((r.length, r.cycle) for r in queries.more_cycles(spark, str(tmp_path)).collect())
+    assert got == sorted((len(way), ">".join(map(str, way))) for way in best.values()) and {k for k, _ in got} == {2, 3, 4, 5}
