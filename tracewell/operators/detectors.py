@@ -249,7 +249,7 @@ def flows(txn: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def trips_of(moved: DataFrame, cycles: DataFrame, min_return: float = 0.85, unit: float = 5_000_000.0, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows of round_trips from flows."""
     c = cycles.select(*by, F.xxhash64(*by, "nodes").alias("c"), "nodes")
-    ends = F.posexplode(F.arrays_zip(F.col("nodes").alias("src"), F.concat(F.slice("nodes", 2, 1000), F.slice("nodes", 1, 1)).alias("dst")))
+    ends = F.posexplode(F.arrays_zip(F.col("nodes").alias("src"), F.concat(F.slice("nodes", F.lit(2), F.size("nodes")), F.slice("nodes", 1, 1)).alias("dst")))
     legs = c.select(*by, "c", F.size("nodes").alias("length"), ends.alias("leg", "e")).select(*by, "c", "length", "leg", "e.src", "e.dst")
     sums = legs.join(moved, [*by, "src", "dst"]).groupBy("c", "length").agg(
         F.sum("n").alias("n_txns"), F.sum("amount").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"),

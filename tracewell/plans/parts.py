@@ -26,28 +26,29 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_ledger(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
 
 
-#: Cycles within the parts of 2 to 500 accounts of each month: c (month, nodes), by growing paths from a cycle's least account.
-_CYCLES = """
+def _cycles_sql(size: str = "", longer: str = "") -> str:
+    """Cycles within each month's parts: c (month, nodes), by growing paths from a cycle's least account; conditions on a part's size and on paths that grow."""
+    return f"""
 , e AS MATERIALIZED (SELECT DISTINCT strftime(ts, '%Y-%m') AS month, src, dst FROM L WHERE src <> dst),
 r AS (SELECT month, src, dst FROM e UNION SELECT r.month, r.src, e.dst FROM r JOIN e ON r.month = e.month AND r.dst = e.src),
 m AS (SELECT a.month, a.src, a.dst FROM r a JOIN r b ON a.month = b.month AND a.src = b.dst AND a.dst = b.src),
 z AS (SELECT month, src AS account, count(*) AS size FROM m GROUP BY ALL),
 i AS MATERIALIZED (
-  SELECT e.month, e.src, e.dst FROM e JOIN m ON e.month = m.month AND e.src = m.src AND e.dst = m.dst JOIN z ON z.month = e.month AND z.account = e.src AND size BETWEEN 2 AND 500),
+  SELECT e.month, e.src, e.dst FROM e JOIN m ON e.month = m.month AND e.src = m.src AND e.dst = m.dst JOIN z ON z.month = e.month AND z.account = e.src{size}),
 p AS (
   SELECT month, [src, dst] AS nodes FROM i WHERE src < dst
-  UNION ALL SELECT p.month, list_append(nodes, i.dst) FROM p JOIN i ON p.month = i.month AND p.nodes[-1] = i.src AND i.dst > nodes[1] AND NOT list_contains(nodes, i.dst) WHERE len(nodes) < 12),
+  UNION ALL SELECT p.month, list_append(nodes, i.dst) FROM p JOIN i ON p.month = i.month AND p.nodes[-1] = i.src AND i.dst > nodes[1] AND NOT list_contains(nodes, i.dst){longer}),
 o AS (SELECT p.month, nodes FROM p JOIN i ON p.month = i.month AND i.src = nodes[-1] AND i.dst = nodes[1]),
 c AS (SELECT month, min(nodes) AS nodes FROM o GROUP BY month, list_sort(nodes))"""
 
 
-@query("g5_part_cycles", _CYCLES + "SELECT month, CAST(len(nodes) AS BIGINT) AS length, array_to_string(nodes, '>') AS cycle FROM c", "RECURSIVE " + L)
+@query("g5_part_cycles", _cycles_sql(" AND size BETWEEN 2 AND 500", " WHERE len(nodes) < 12") + "SELECT month, CAST(len(nodes) AS BIGINT) AS length, array_to_string(nodes, '>') AS cycle FROM c", "RECURSIVE " + L)
 def part_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parts.cycle_nodes(_monthly(spark, sf_dir), by=("month",))
     return found.select("month", F.size("nodes").cast("long").alias("length"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
-@query("p4_part_round_trips", _CYCLES + """
+@query("p4_part_round_trips", _cycles_sql() + """
 , k AS (SELECT month, nodes, unnest(range(1, len(nodes) + 1)) AS leg FROM c),
 t AS (SELECT strftime(ts, '%Y-%m') AS month, src, dst, amount, epoch_us(ts) AS t FROM L),
 s AS (
@@ -60,8 +61,8 @@ SELECT month, array_to_string(nodes, '>') AS cycle, CAST(len(nodes) AS BIGINT) A
 def part_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What moved between each pair of a month is written once: cycles are looked for in it, and their few legs find their sums there."""
     moved = materialise(detectors.flows(_monthly(spark, sf_dir), ("month",)), "flows")
-    pairs = moved.where((F.col("src") != F.col("dst")) & (F.round("amount", 2) >= 0)).select("month", "src", "dst")
-    cycles = few(cut(parts.cycles_among(pairs, by=("month",))))
+    pairs = moved.where(F.col("src") != F.col("dst")).select("month", "src", "dst")
+    cycles = few(cut(parts.every_cycle(pairs, ("month",))))
     return detectors.trips_of(moved, cycles, unit=1_234_567.0, by=("month",))
 
 
